@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -75,15 +75,15 @@ def _scan_states(df: DataFrame, states: np.ndarray, fold: Callable, enter: Calla
             state, _ = fold(state, i, x)
         return pd.DataFrame({"run": [key[0]], "block": [key[1]], "exits": [state.tolist()]})
 
-    def walk(key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values("block")
-        state, previous, entries = first, None, []
+    def walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        state, previous, entries = first, 0, []
         for block, exits in zip(pdf["block"], pdf["exits"]):
-            state = enter(state, 0 if previous is None else (block - previous) * size)
+            state = enter(state, (block - previous) * size)
             entries.append(state)
             state = exits[int(np.searchsorted(states, state))]
             previous = block
-        yield pd.DataFrame({"run": key[0], "block": pdf["block"].to_numpy(), "entry": entries})
+        return pd.DataFrame({"run": key[0], "block": pdf["block"].to_numpy(), "entry": entries})
 
     def flag(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
@@ -137,26 +137,8 @@ def keep_reward(parsed: DataFrame, size: int = BLOCK, gap: int = 20) -> DataFram
     def enter(state: float, moved: float) -> float:
         return max(0.0, state - moved)
 
-    # nothing is kept before line gap - 1: the last kept line starts at -1
-    return _scan_first(lines, states, fold, enter, float(gap - 1), size)
-
-
-def _scan_first(lines, states, fold, enter, first, size):
-    """Start position counts from line 0, whatever the first block with lines is."""
-
-    def enter_from_zero(state: float, moved: float) -> float:
-        return enter(state, moved)
-
-    anchors = lines.select("run").distinct().select(
-        "run", F.lit(0).cast("bigint").alias("idx"), F.lit(-1.0).alias("x")
-    )
-
-    def fold_anchor(state, i, x):
-        if x < 0:
-            return state, np.zeros(len(state), dtype=bool)
-        return fold(state, i, x)
-
-    return _scan_states(lines.unionByName(anchors), states, fold_anchor, enter_from_zero, first, size)
+    # the last kept line starts at -1, so nothing is kept before line gap - 1
+    return _scan_states(lines, states, fold, enter, float(gap - 1), size)
 
 
 def condense(lines: DataFrame, size: int = BLOCK) -> DataFrame:

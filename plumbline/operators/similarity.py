@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 from plumbline import config as C
 from plumbline.functions.text import WORD
 from plumbline.operators.ordering import hash_order, take_ranked
+from plumbline.session import written
 
 _SLACK = 1e-6
 
@@ -66,7 +67,7 @@ def has_partner(queries: DataFrame, partners: DataFrame, threshold: float, same_
     points = _pivots(partners, pivots)
     if len(points) == 0:
         return queries.select("rep").limit(0)
-    located = _with_home(partners, points)
+    located = written(_with_home(partners, points))
     by_angle = W.partitionBy("cell").orderBy("angle", "rep")
     nearest = located.select("cell", "angle", "rep").withColumn("r", F.row_number().over(by_angle)).where("r <= 2")
     sizes = located.groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n"))
@@ -108,7 +109,7 @@ def has_partner(queries: DataFrame, partners: DataFrame, threshold: float, same_
 
     rep_type = queries.schema["rep"].dataType.simpleString()
     vec_type = queries.schema["v"].dataType.simpleString()
-    routed = queries.select("rep", "v").mapInPandas(visits, f"rep {rep_type}, v {vec_type}, cell int")
+    routed = written(queries.select("rep", "v").mapInPandas(visits, f"rep {rep_type}, v {vec_type}, cell int"))
     sure = routed.where("cell < 0").select("rep")
     open_queries = routed.where("cell >= 0")
     q_sizes = {r["cell"]: max(1, math.ceil(r["n"] / block))
@@ -153,8 +154,8 @@ def _drop_vectors(df: DataFrame, vectors: DataFrame, vec: str) -> DataFrame:
 def near_dup_existing(new: DataFrame, existing: DataFrame, threshold: float, key: str = "vec_id",
                       vec: str = "embedding", **options) -> DataFrame:
     """New rows whose highest cosine to the existing set is below the threshold."""
-    queries = _distinct_vectors(new, key, vec)
-    partners = _distinct_vectors(existing, key, vec)
+    queries = written(_distinct_vectors(new, key, vec))
+    partners = written(_distinct_vectors(existing, key, vec))
     flagged = has_partner(queries, partners, threshold, same_table=False, **options)
     return _drop_vectors(new, _expand(flagged, queries), vec)
 
@@ -162,7 +163,7 @@ def near_dup_existing(new: DataFrame, existing: DataFrame, threshold: float, key
 def near_dup_within(df: DataFrame, threshold: float, key: str = "vec_id", vec: str = "embedding",
                     **options) -> DataFrame:
     """Rows without a near copy in the same table; both members of a pair go."""
-    reps = _distinct_vectors(df, key, vec)
+    reps = written(_distinct_vectors(df, key, vec))
     flagged = has_partner(reps, reps, threshold, same_table=True, **options)
     copies = reps.where("copies > 1").select("v")
     return _drop_vectors(df, _expand(flagged, reps).union(copies), vec)
@@ -178,37 +179,31 @@ def near_dup(new: DataFrame, existing: DataFrame | None, threshold: float, key:
 # --- TF-IDF closeness to a core set -------------------------------------------------
 
 
-def words(text: str, stop_words: list[str]):
-    """Lower-cased words of two or more characters that are no stop words."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(f"[{WORD}]{{2,}}"), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in stop_words]) if stop_words else F.array().cast("array<string>")
-    return F.filter(found, lambda w: ~F.array_contains(stop, w))
+def words(text: str):
+    """Lower-cased words of two or more characters."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"[{WORD}]{{2,}}"), F.lit(0))
 
 
 def core_weights(core: DataFrame, key: str, text: str, stop_words: list[str] | None = None) -> DataFrame:
     """(core_id, term, idf, weight): smooth idf fitted on the core, rows of unit length."""
     stop = C.STOP_WORDS if stop_words is None else stop_words
-    tf = core.select(F.col(key).alias("core_id"), F.explode(words(text, stop)).alias("term")).groupBy(
-        "core_id", "term"
-    ).agg(F.count(F.lit(1)).alias("tf"))
-    n = core.agg(F.count(F.lit(1)).alias("n_docs"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(n).select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+    tf = core.select(F.col(key).alias("core_id"), F.explode(words(text)).alias("term")).where(
+        ~F.col("term").isin(stop)
+    ).groupBy("core_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    idf = tf.groupBy("term").agg((F.log((1 + F.lit(core.count())) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
     raw = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = raw.groupBy("core_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, "core_id").select("core_id", "term", "idf", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def core_similarity(docs: DataFrame, key: str, text: str, weights: DataFrame,
-                    stop_words: list[str] | None = None) -> DataFrame:
+def core_similarity(docs: DataFrame, key: str, text: str, weights: DataFrame) -> DataFrame:
     """Highest cosine of each document to any core row; documents sharing no term are absent.
 
     Words outside the core vocabulary leave at the first join, before anything
     is shuffled; the counts per document and term are combined map-side.
     """
-    stop = C.STOP_WORDS if stop_words is None else stop_words
     vocabulary = weights.select("term", "idf").distinct()
-    terms = docs.select(F.col(key).alias("doc"), F.explode(words(text, stop)).alias("term"))
+    terms = docs.select(F.col(key).alias("doc"), F.explode(words(text)).alias("term"))
     tf = terms.join(vocabulary, "term").groupBy("doc", "term").agg(
         (F.count(F.lit(1)) * F.first("idf")).alias("w")
     )
@@ -264,14 +259,13 @@ def tfidf_near_core(docs: DataFrame, core: DataFrame, threshold: float, key: str
     size = weights.agg(F.count_distinct("term").alias("t"), F.count_distinct("core_id").alias("c")).first()
     if 0 < size["t"] * size["c"] <= max_task_cells:
         highest = _core_udf(weights.collect(), size["c"])
-        scored = docs.withColumn("similarity", highest(words(text, stop)))
+        scored = docs.withColumn("similarity", highest(words(text)))
     else:
-        close = core_similarity(docs, key, text, weights, stop)
+        close = core_similarity(docs, key, text, weights)
         scored = docs.join(close, key, "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     return scored.withColumn("near_core", F.col("similarity") >= threshold)
 
 
 def scan_core_set(core: DataFrame, minimum: int = 40) -> DataFrame:
     """The reference set, or nothing at all if it has fewer than `minimum` rows."""
-    size = core.agg(F.count(F.lit(1)).alias("__n"))
-    return core.join(size).where(F.col("__n") >= minimum).drop("__n")
+    return core if core.limit(minimum).count() >= minimum else core.limit(0)
