@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from plumbline.functions.scores import round_exact
+
 
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
@@ -48,12 +50,16 @@ def evaluator_label(family: Column, model: Column) -> Column:
     return F.when(model.isNotNull(), F.format_string("%s (%s)", family, model)).otherwise(family)
 
 
+def fixed(value: Column, digits: int) -> Column:
+    return F.format_string(f"%.{digits}f", round_exact(value, digits))
+
+
 def percent(value: Column, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f%%", value * 100)
+    return F.concat(fixed(value * 100, digits), F.lit("%"))
 
 
 def score3(value: Column) -> Column:
-    return F.format_string("%.3f", value)
+    return fixed(value, 3)
 
 
 def improvement(baseline: Column, candidate: Column, lower_is_better: Column | bool = False) -> Column:
@@ -67,8 +73,8 @@ def improvement(baseline: Column, candidate: Column, lower_is_better: Column | b
     up = F.when(lower, pct >= 0).otherwise(pct > 0)
     return (
         F.when(baseline == 0, "N/A")
-        .when(up, F.format_string("↑ %.1f%%", F.abs(pct)))
-        .otherwise(F.format_string("↓ %.1f%%", F.abs(pct)))
+        .when(up, F.concat(F.lit("↑ "), fixed(F.abs(pct), 1), F.lit("%")))
+        .otherwise(F.concat(F.lit("↓ "), fixed(F.abs(pct), 1), F.lit("%")))
     )
 
 

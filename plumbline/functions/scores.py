@@ -19,6 +19,21 @@ def _lookup(key: Column, table: dict, default) -> Column:
     return expr.otherwise(F.lit(default))
 
 
+def round_exact(x: Column, digits: int) -> Column:
+    """Round the exact binary value, ties to even.
+
+    `round` and `bround` work on the shortest decimal text of a double, which
+    moves values that only look like a tie. Here x is split into two parts
+    whose products with the scale are exact, so the side of the tie is exact.
+    """
+    scale = 10.0 ** digits
+    high = x.cast("float").cast("double")
+    low = F.floor(x * scale).cast("double")
+    above = (high * (2 * scale) - (2 * low + 1)) + (x - high) * (2 * scale)
+    up = (above > 0) | ((above == 0) & (low % 2 != 0))
+    return F.when(up, low + 1).otherwise(low) / scale
+
+
 def label_part(scope: Column) -> Column:
     return F.substring_index(scope, ":", 1)
 
@@ -83,7 +98,7 @@ def helpfulness_raw(clarity: Column, completeness: Column, relevance: Column, em
 
 
 def helpfulness_score(clarity: Column, completeness: Column, relevance: Column, empathy: Column) -> Column:
-    return F.bround(helpfulness_raw(clarity, completeness, relevance, empathy), 4)
+    return round_exact(helpfulness_raw(clarity, completeness, relevance, empathy), 4)
 
 
 def combined_score(a: Column, d: Column, h: Column, weights: dict | None = None) -> Column:

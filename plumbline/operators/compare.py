@@ -167,7 +167,7 @@ def model_metric_table(long: DataFrame, metrics: list[str]) -> DataFrame:
     `long` has model, metric, value and is_int.
     """
     text = F.when(F.col("is_int"), F.format_string("%d", F.col("value").cast("bigint"))).otherwise(
-        F.format_string("%.4f", F.col("value"))
+        N.fixed(F.col("value"), 4)
     )
     wide = long.withColumn("text", text).groupBy("model").pivot("metric", metrics).agg(F.first("text"))
     return wide.select("model", *[F.coalesce(F.col(f"`{m}`"), F.lit("N/A")).alias(m) for m in metrics])

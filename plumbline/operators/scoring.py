@@ -42,7 +42,7 @@ def score_helpfulness(df: DataFrame) -> DataFrame:
     parts = [F.col(f"{n}_score") for n in ("clarity", "completeness", "relevance", "empathy")]
     return (
         df.withColumn("raw_helpfulness_score", S.helpfulness_raw(*parts))
-        .withColumn("helpfulness_score", F.bround("raw_helpfulness_score", 4))
+        .withColumn("helpfulness_score", S.round_exact(F.col("raw_helpfulness_score"), 4))
         .withColumn("helpfulness_violation", F.col("helpfulness_score") < C.VIOLATION_THRESHOLD)
     )
 
