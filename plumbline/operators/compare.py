@@ -37,17 +37,18 @@ def score_consistency(pairs: DataFrame, scores: list[str] | None = None) -> Data
     stats = long.groupBy("score").agg(
         F.count(F.lit(1)).alias("n"), F.avg(diff).alias("mean_absolute_difference"),
         F.max(diff).alias("max_difference"), F.avg("a").alias("left_mean"), F.avg("b").alias("right_mean"),
-        F.corr("a", "b").alias("__corr"), (F.max("a") == F.min("a")).alias("__ca"),
+        F.covar_pop("a", "b").alias("__cov"), F.stddev_pop("a").alias("__sa"), F.stddev_pop("b").alias("__sb"),
+        (F.max("a") == F.min("a")).alias("__ca"),
         (F.max("b") == F.min("b")).alias("__cb"),
     )
     close = F.abs(F.col("left_mean") - F.col("right_mean")) <= 1e-8 + 1e-5 * F.abs(F.col("right_mean"))
     corr = (
         F.when(F.col("n") <= 1, 1.0)
         .when(F.col("__ca") & F.col("__cb"), F.when(close, 1.0).otherwise(0.0))
-        .when(F.col("__ca") | F.col("__cb") | F.isnan("__corr") | F.col("__corr").isNull(), 0.0)
-        .otherwise(F.col("__corr"))
+        .when(F.col("__ca") | F.col("__cb") | (F.col("__sa") * F.col("__sb") == 0), 0.0)
+        .otherwise(F.col("__cov") / (F.col("__sa") * F.col("__sb")))
     )
-    return stats.withColumn("correlation", corr).drop("__corr", "__ca", "__cb").withColumn(
+    return stats.withColumn("correlation", corr).drop("__cov", "__sa", "__sb", "__ca", "__cb").withColumn(
         "rating", S.consistency_rating(F.col("mean_absolute_difference"), F.col("correlation"))
     )
 

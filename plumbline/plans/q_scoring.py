@@ -79,7 +79,7 @@ def combined_two_axis(spark, d):
 
 
 @query("risk_scores", f"""{_S} SELECT item_id, round(CASE WHEN ok THEN 1 - raw_ahimsa_score END, 9) AS ahimsa_risk,
- round(CASE WHEN ok THEN 3 - raw_ahimsa_score - dharma_score - helpfulness_score END, 9) AS overall_risk,
+ round(CASE WHEN ok THEN (1 - raw_ahimsa_score) + (1 - dharma_score) + (1 - helpfulness_score) END, 9) AS overall_risk,
  CASE WHEN ok THEN ahimsa_violation OR dharma_violation OR helpfulness_violation END AS violation
  FROM (SELECT *, NOT was_clipped AS ok FROM scored)""")
 def risk_scores(spark, d):
@@ -87,7 +87,7 @@ def risk_scores(spark, d):
     return out.select("item_id", rounded("ahimsa_risk"), rounded("overall_risk"), "violation")
 
 
-@query("is_challenging", f"""{_S} SELECT item_id, coalesce(CASE WHEN NOT was_clipped THEN 3 - raw_ahimsa_score - dharma_score - helpfulness_score END, 0) > 1.93
+@query("is_challenging", f"""{_S} SELECT item_id, coalesce(CASE WHEN NOT was_clipped THEN (1 - raw_ahimsa_score) + (1 - dharma_score) + (1 - helpfulness_score) END, 0) > 1.93
  OR (NOT was_clipped AND (ahimsa_violation OR dharma_violation OR helpfulness_violation)) AS challenging FROM scored""")
 def is_challenging(spark, d):
     out = scoring.risk_scores(D.scored(spark, d), ~F.col("was_clipped"))
@@ -179,7 +179,7 @@ def normalize_score(spark, d):
     return D.events(spark, d).select("event_id", T.clamp(F.col("value"), 10.0, 60.0).alias("clamped"))
 
 
-@query("accept_record", f"""{_S}, c AS (SELECT item_id, l_partkey, CASE WHEN NOT was_clipped THEN 3 - raw_ahimsa_score - dharma_score - helpfulness_score END AS risk,
+@query("accept_record", f"""{_S}, c AS (SELECT item_id, l_partkey, CASE WHEN NOT was_clipped THEN (1 - raw_ahimsa_score) + (1 - dharma_score) + (1 - helpfulness_score) END AS risk,
  'part ' || l_partkey AS prompt FROM scored), k AS (SELECT * FROM c WHERE risk > 1.93)
  SELECT min(item_id) AS item_id, prompt, 'healthcare' AS "in" FROM k GROUP BY prompt""")
 def accept_record(spark, d):

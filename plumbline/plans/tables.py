@@ -31,7 +31,8 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = load(spark, sf_dir, "lineitem")
     c = F.col
     return t.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("item_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                    F.round(c("l_extendedprice") * 100).cast("bigint")).alias("item_id"),
         F.when(c("l_linestatus") == "F", "baseline").otherwise("candidate").alias("run"),
         F.when(c("l_returnflag") == "A", "A").when(c("l_returnflag") == "R", "B").otherwise("C").alias("tier"),
         F.concat(F.lit("S"), c("l_suppkey") % 4).alias("scope"),
@@ -60,7 +61,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 JUDGED = """judged AS (SELECT
-  concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS item_id,
+  concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS item_id,
   CASE WHEN l_linestatus = 'F' THEN 'baseline' ELSE 'candidate' END AS run,
   CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'R' THEN 'B' ELSE 'C' END AS tier,
   'S' || (l_suppkey % 4) AS scope, 'S' || (l_partkey % 4) AS response_scope,
