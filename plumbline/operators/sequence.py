@@ -109,7 +109,7 @@ def ema_mean_std(audit: DataFrame, run: str = "run", step: str = "step",
 
 def _normalised(w: Column) -> Column:
     total = F.aggregate(w, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(w, lambda x: x / total)
+    return F.transform(w, lambda x: F.try_divide(x, total))
 
 
 def adaptive_weights(means: DataFrame, run: str = "run", step: str = "step", strategy: str = "mean_inverse",
@@ -118,7 +118,8 @@ def adaptive_weights(means: DataFrame, run: str = "run", step: str = "step", str
     """Axis weights after each step, from running means of the axis scores.
 
     `means` holds ahimsa, dharma, helpfulness per step, and <axis>_std for the
-    equal_contribution strategy (0.1 where unknown).
+    equal_contribution strategy (0.1 where unknown). Where all deviations are
+    zero the equal_contribution weights are undefined (null).
     """
     axes = ["ahimsa", "dharma", "helpfulness"]
     complete = means.where(" AND ".join(f"{a} IS NOT NULL" for a in axes))

@@ -146,7 +146,7 @@ def hour_block() -> Column:
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as audit rows: user is the run, the day is the step."""
     e = events(spark, sf_dir)
-    v = F.col("value") / 100
+    v = F.col("value") / 97
     return e.select(
         F.col("user_id").alias("run"),
         F.floor((epoch(F.col("ts")) - 1_704_067_200_000_000) / 86_400_000_000).alias("step"),
@@ -157,8 +157,8 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STEPS = """steps AS (SELECT user_id AS run, CAST(floor((epoch_us(ts) - 1704067200000000) / 86400000000) AS BIGINT) AS step,
-  value / 100 AS ahimsa_score, 1 / (1 + value / 100) AS dharma_score, sqrt(abs(value / 100)) AS helpfulness_score,
-  0.3::DOUBLE * (value / 100) + 0.4::DOUBLE * (1 / (1 + value / 100)) + 0.3::DOUBLE * sqrt(abs(value / 100)) AS combined_score,
+  value / 97 AS ahimsa_score, 1 / (1 + value / 97) AS dharma_score, sqrt(abs(value / 97)) AS helpfulness_score,
+  0.3::DOUBLE * (value / 97) + 0.4::DOUBLE * (1 / (1 + value / 97)) + 0.3::DOUBLE * sqrt(abs(value / 97)) AS combined_score,
   event_id, event_type FROM events)"""
 
 

@@ -13,13 +13,12 @@ from plumbline.schemas import EVAL_REPORT, SCENARIO
 def scan_jsonl(spark: SparkSession, path: str | list[str], schema: str = SCENARIO,
                pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Good rows and, apart from them, the lines that could not be read. Blank lines vanish."""
-    reader = spark.read.schema(schema + ", _bad STRING").option("mode", "PERMISSIVE").option(
-        "columnNameOfCorruptRecord", "_bad"
-    )
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    rows = reader.json(path)
-    bad = rows.where("_bad IS NOT NULL AND trim(_bad) <> ''").select("_bad")
+    wide = schema + ", _bad STRING"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    glob = {"pathGlobFilter": pattern} if pattern else {}
+    rows = spark.read.schema(wide).options(**options, **glob).json(path)
+    lines = spark.read.options(**glob).text(path).where(strip(F.col("value")) != "")
+    bad = lines.where(F.from_json("value", wide, options)["_bad"].isNotNull()).select(F.col("value").alias("_bad"))
     return rows.where("_bad IS NULL").drop("_bad"), bad
 
 
