@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import labels as L, text as T
+from plumbline.session import written
 
 
 def validate_required(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
@@ -38,14 +39,15 @@ def clean_prompts(df: DataFrame, column: str = "prompt") -> DataFrame:
 def lexicon_gate(df: DataFrame, matched: Column, batch: str, enforce: bool) -> DataFrame:
     """Keep matching rows; a batch without any match is kept whole unless enforced.
 
-    Enforcing needs no batches at all. Otherwise the few batch ids that have a
-    match are found by a partial aggregate, not by a window over each batch.
+    Enforcing needs no batches at all. Otherwise the batch ids that have a
+    match are found by a partial aggregate, not by a window over each batch,
+    and written, so that their real size decides how they are joined.
     """
     marked = df.withColumn("__match", matched)
     hits = marked.where("__match").drop("__match")
     if enforce:
         return hits
-    matching = marked.where("__match").select(batch).distinct()
+    matching = written(marked.where("__match").select(batch).distinct())
     return hits.unionByName(marked.where("NOT __match").drop("__match").join(matching, batch, "left_anti"))
 
 

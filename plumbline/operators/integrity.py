@@ -64,8 +64,8 @@ def batch_digest(df: DataFrame, batch: str, order: str, block: Column, columns:
                  size: int = 1024) -> DataFrame:
     """A stable id per batch over its rows in order.
 
-    Rows are digested, digests of up to `size` rows are digested again, and so
-    are those: no batch is ever put into one array of rows.
+    Digests of up to `size` rows are digested again, and so on until one is
+    left: no batch is ever put into one array, however long it is.
     """
     row = F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
     ranked = add_rank(df.select(batch, order, row.alias("__row")), [order], block, by=[batch])
@@ -77,6 +77,13 @@ def batch_digest(df: DataFrame, batch: str, order: str, block: Column, columns:
     blocks = ranked.groupBy(batch, F.floor((F.col("rn") - 1) / size).alias("__part")).agg(
         fold(F.col("rn"), "__row").alias("__digest"), F.count(F.lit(1)).alias("__n")
     )
+    parts = (ranked.agg(F.max("rn")).first()[0] or 0) // size + 1
+    while parts > size:
+        up = F.floor(F.col("__part") / size).alias("__up")
+        blocks = blocks.groupBy(batch, up).agg(
+            fold(F.col("__part"), "__digest").alias("__digest"), F.sum("__n").alias("__n")
+        ).withColumnRenamed("__up", "__part")
+        parts = parts // size + 1
     return blocks.groupBy(batch).agg(
         F.concat(F.lit("batch_"), F.substring(fold(F.col("__part"), "__digest"), 1, 16)).alias("batch_id"),
         F.sum("__n").alias("n_rows"),

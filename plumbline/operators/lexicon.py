@@ -19,7 +19,9 @@ def lexicon_match_table(df: DataFrame, key: str, text: str, terms: DataFrame, te
     cuts = F.array(*[F.lit(n) for n in lengths])
     heads = (
         df.select(key, F.explode(words).alias("__word"))
-        .select(key, F.explode(F.transform(cuts, lambda n: F.substring("__word", F.lit(1), n))).alias("__term"))
+        .select(key, F.explode(F.transform(
+            F.filter(cuts, lambda n: n <= F.length("__word")), lambda n: F.substring("__word", F.lit(1), n)
+        )).alias("__term"))
     )
     found = heads.join(lex, "__term", "left_semi").select(key).distinct().withColumn("__hit", F.lit(True))
     return (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline import config as C
 from plumbline.functions import logs as G, names as N
 from plumbline.functions.text import quote
-from plumbline.operators.ordering import add_rank, fill_forward, join_blocks
+from plumbline.operators.ordering import add_rank, fill_forward
+from plumbline.session import written
 
 BLOCK = 8192
 
@@ -43,8 +44,8 @@ def metric_history(lines: DataFrame) -> DataFrame:
 
 def keep_static(parsed: DataFrame) -> DataFrame:
     """The keep rules that need only the line, its index and the number of lines."""
-    sizes = parsed.groupBy("run").agg((F.max("idx") + 1).alias("n_lines"))
-    out = join_blocks(parsed, sizes, ["run"])
+    sizes = written(parsed.groupBy("run").agg((F.max("idx") + 1).alias("n_lines")))
+    out = parsed.join(sizes, "run")
     kind, idx = F.col("line_type"), F.col("idx")
     tracked = F.col("message").rlike("|".join(quote(w) for w in C.LOG_TRACKING_KEEP))
     rule = (
@@ -59,47 +60,61 @@ def keep_static(parsed: DataFrame) -> DataFrame:
 
 def _scan_states(df: DataFrame, states: np.ndarray, fold: Callable, enter: Callable, first: float,
                  size: int) -> DataFrame:
-    """Run a small state machine along each run and flag the rows it keeps.
+    """Run a small state machine along each run and return the rows it keeps.
 
     A block of lines is folded from every possible entry state at once, which
     gives a map from entry state to exit state; the maps of a run (one short
     array per `size` lines) are walked to find the true entry states, and a
-    second fold from that state flags the rows.
+    second fold from that state picks the rows. Every pass streams over sorted
+    partitions and holds one state, never a block or a run.
     """
     blocked = df.withColumn("block", F.floor(F.col("idx") / size))
-
-    def maps(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        state = states.copy()
-        pdf = pdf.sort_values("idx")
-        for i, x in zip(pdf["idx"].to_numpy() - key[1] * size, pdf["x"].to_numpy()):
-            state, _ = fold(state, i, x)
-        return pd.DataFrame({"run": [key[0]], "block": [key[1]], "exits": [state.tolist()]})
-
-    def walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        state, previous, entries = first, 0, []
-        for block, exits in zip(pdf["block"], pdf["exits"]):
-            state = enter(state, (block - previous) * size)
-            entries.append(state)
-            state = exits[int(np.searchsorted(states, state))]
-            previous = block
-        return pd.DataFrame({"run": key[0], "block": pdf["block"].to_numpy(), "entry": entries})
-
-    def flag(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        state, kept = np.array([pdf["entry"].iloc[0]]), []
-        for i, x in zip(pdf["idx"].to_numpy() - key[1] * size, pdf["x"].to_numpy()):
-            state, keep = fold(state, i, x)
-            if keep[0]:
-                kept.append(i + key[1] * size)
-        return pd.DataFrame({"run": key[0], "idx": np.array(kept, dtype="int64")})
-
     run = df.schema["run"].dataType.simpleString()
-    by_block = blocked.groupBy("run", "block")
-    exits = by_block.applyInPandas(maps, f"run {run}, block bigint, exits array<double>")
-    entries = exits.groupBy("run").applyInPandas(walk, f"run {run}, block bigint, entry double")
-    located = join_blocks(blocked, entries, ["run", "block"])
-    return located.groupBy("run", "block").applyInPandas(flag, f"run {run}, idx bigint")
+
+    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for pdf in batches:
+            done = []
+            for r, b, i, x in zip(pdf["run"], pdf["block"], pdf["idx"], pdf["x"]):
+                if key != (r, b):
+                    if key is not None:
+                        done.append((*key, state.tolist()))
+                    key, state = (r, b), states.copy()
+                state, _ = fold(state, i - b * size, x)
+            yield pd.DataFrame(done, columns=["run", "block", "exits"])
+        if key is not None:
+            yield pd.DataFrame([(*key, state.tolist())], columns=["run", "block", "exits"])
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run_now, state, previous = None, first, 0
+        for pdf in batches:
+            found = []
+            for r, b, exits in zip(pdf["run"], pdf["block"], pdf["exits"]):
+                if r != run_now:
+                    run_now, state, previous = r, first, 0
+                state = enter(state, (b - previous) * size)
+                found.append((r, b, state))
+                state, previous = exits[int(np.searchsorted(states, state))], b
+            yield pd.DataFrame(found, columns=["run", "block", "entry"])
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for pdf in batches:
+            kept = []
+            for r, b, i, x, entry in zip(pdf["run"], pdf["block"], pdf["idx"], pdf["x"], pdf["entry"]):
+                if key != (r, b):
+                    key, state = (r, b), np.array([entry])
+                state, keep = fold(state, i - b * size, x)
+                if keep[0]:
+                    kept.append((r, i))
+            yield pd.DataFrame(kept, columns=["run", "idx"])
+
+    by_block = blocked.repartition("run", "block").sortWithinPartitions("run", "block", "idx")
+    exits = by_block.mapInPandas(maps, f"run {run}, block bigint, exits array<double>")
+    in_order = exits.repartition("run").sortWithinPartitions("run", "block")
+    entries = in_order.mapInPandas(walk, f"run {run}, block bigint, entry double")
+    located = blocked.join(entries, ["run", "block"]).repartition("run", "block")
+    return located.sortWithinPartitions("run", "block", "idx").mapInPandas(pick, f"run {run}, idx bigint")
 
 
 def keep_progress(parsed: DataFrame, size: int = BLOCK, jump: int = 5) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from plumbline import config as C
 from plumbline.operators.ordering import add_rank, hash_block, hash_order, take_ranked
+from plumbline.session import written
 
 
 def quota_targets(n: int, ratios: dict[str, float]) -> dict[str, int]:
@@ -20,12 +21,10 @@ def quota_sample(df: DataFrame, key: str, tier: str, n: int, ratios: dict[str, f
                  seed: int = 42) -> DataFrame:
     """Up to the target per tier in seeded order, then leftovers of any tier up to n."""
     targets = quota_targets(n, ratios)
-    spark = df.sparkSession
-    wanted = spark.createDataFrame([(t, max(0, c)) for t, c in targets.items() if t in C.TIERS],
-                                   f"{tier} STRING, wanted BIGINT")
+    wanted = {t: max(0, c) for t, c in targets.items() if t in C.TIERS}
     labelled = df.withColumn(tier, F.coalesce(F.col(tier), F.lit("C")))
     digest = hash_order(F.col(key), seed)
-    chosen = take_ranked(labelled, digest, key, wanted, by=tier)
+    chosen = written(take_ranked(labelled, digest, key, wanted, by=tier))  # at most n rows
     got = chosen.groupBy(tier).agg(F.count(F.lit(1)).alias("c")).collect()  # one row per tier
     missing = n - sum(r["c"] for r in got)
     if missing <= 0:
@@ -44,7 +43,7 @@ def split_dataset(df: DataFrame, key: str, ratios: tuple[float, float, float] =
         raise ValueError("Split ratios must sum to 1.0")
     digest = hash_order(F.col(key), seed)
     blocked = df.withColumn("__digest", digest).withColumn("__block", hash_block(F.col("__digest")))
-    sizes = blocked.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))  # at most 4096 rows
+    sizes = blocked.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
     upto = W.orderBy("__block").rowsBetween(W.unboundedPreceding, W.currentRow)
     everything = W.partitionBy()
     plan = sizes.select(
@@ -59,7 +58,7 @@ def split_dataset(df: DataFrame, key: str, ratios: tuple[float, float, float] =
     for bound in ("__train", "__held"):
         straddles = straddles | ((F.col("__start") < F.col(bound)) & (end > F.col(bound)))
     plan = plan.withColumn("__cut", straddles)
-    marked = blocked.join(plan, "__block")
+    marked = blocked.join(F.broadcast(plan), "__block")  # one row per hash block
 
     def part(position):
         return (

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from plumbline import config as C
 from plumbline.functions import names as N
 from plumbline.operators.ordering import (
-    add_rank, fill_forward, join_blocks, running_sums, with_preceding,
+    add_rank, fill_forward, running_sums, with_preceding,
 )
 
 _FAN = 256
@@ -52,7 +52,7 @@ def _carry_in(blocks: DataFrame, by: list[str], n_blocks: int, start: Column | N
             F.col("maps")[0]["first"].alias("first"),
         )
         above = _carry_in(upper, by, math.ceil(n_blocks / _FAN) + 1, start).withColumnRenamed("block", "sup")
-        carries = join_blocks(folded, above, [*by, "sup"])
+        carries = folded.join(above, [*by, "sup"])
     entry = F.col("s")
     return carries.select(*by, "carry", F.explode("fold.seen").alias("s")).select(
         *by, entry["block"].alias("block"), _pairs(F.col("carry"), entry["b"], entry["a"]).alias("carry")
@@ -63,7 +63,7 @@ def ema_scan(df: DataFrame, by: list[str], step: str, columns: list[str], alpha:
              start: float | None = None, prefix: str = "ema_") -> DataFrame:
     """Exponential moving averages of `columns` along whole-number steps.
 
-    One row per `by` and `step`. Without `start` the first value seeds the
+    One row per `by` (not null) and `step`. Without `start` the first value seeds the
     average. Steps are cut into short blocks: inside a block the recurrence is
     a window sum with weights that stay far from overflow, across blocks it is
     a composition of affine maps.
@@ -74,7 +74,7 @@ def ema_scan(df: DataFrame, by: list[str], step: str, columns: list[str], alpha:
     size = max(1, min(512, int(100 * math.log(10) / -math.log(decay))))
     span = df.agg(F.min(step), F.max(step)).first()
     low, high = (span[0] or 0), (span[1] or 0)
-    blocked = df.withColumn("block", F.floor((F.col(step) - F.lit(low)) / size))
+    blocked = df.where(F.col(step).isNotNull()).withColumn("block", F.floor((F.col(step) - F.lit(low)) / size))
     window = W.partitionBy(*by, "block").orderBy(step)
     rows = blocked.withColumn("__i", F.row_number().over(window))
     weight = F.pow(F.lit(decay), -F.col("__i").cast("double")) * alpha
@@ -89,7 +89,7 @@ def ema_scan(df: DataFrame, by: list[str], step: str, columns: list[str], alpha:
     )
     n_blocks = int((high - low) // size) + 1
     carry = _carry_in(maps, by, n_blocks, None if start is None else F.lit(start))
-    joined = join_blocks(rows, carry, [*by, "block"])
+    joined = rows.join(carry, [*by, "block"])
     return joined.withColumns({
         f"{prefix}{c}": F.col("__local")[i] + F.col("__fade") * F.col("carry")[i] for i, c in enumerate(columns)
     }).drop("block", "__i", "__fade", "__local", "carry")

@@ -255,7 +255,7 @@ def tfidf_near_core(docs: DataFrame, core: DataFrame, threshold: float, key: str
     goes through joins.
     """
     stop = C.STOP_WORDS if stop_words is None else stop_words
-    weights = core_weights(core, core_key, core_text, stop)
+    weights = written(core_weights(core, core_key, core_text, stop))
     size = weights.agg(F.count_distinct("term").alias("t"), F.count_distinct("core_id").alias("c")).first()
     if 0 < size["t"] * size["c"] <= max_task_cells:
         highest = _core_udf(weights.collect(), size["c"])

@@ -78,7 +78,7 @@ def adaptive_weights_equal_contribution(spark, d):
 @query("trailing_values", """SELECT event_id, count(*) OVER w AS n_recent, round(sum(value) OVER w, 6) AS recent_sum, round(first_value(value) OVER w, 6) AS oldest FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
 def trailing_values(spark, d):
     e = D.events(spark, d).select("user_id", "ts", "event_id", "value")
-    out = sequence.trailing_values(e, "user_id", ["ts", "event_id"], D.hour_block(), "value")
+    out = sequence.trailing_values(e, "user_id", ["ts", "event_id"], D.time_block(e), "value")
     total = F.aggregate("recent", F.lit(0.0), lambda acc, x: acc + x)
     return out.select("event_id", F.size("recent").cast("bigint").alias("n_recent"), F.round(total, 6).alias("recent_sum"), F.round(F.col("recent")[0], 6).alias("oldest"))
 
@@ -86,7 +86,7 @@ def trailing_values(spark, d):
 @query("metric_delta", """SELECT event_id, round(value - lag(value) OVER w, 6) AS change, CASE WHEN lag(value) OVER w IS NULL THEN '' WHEN value > lag(value) OVER w THEN '↑' WHEN value < lag(value) OVER w THEN '↓' ELSE '−' END AS trend FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def metric_delta(spark, d):
     e = D.events(spark, d).select("user_id", "ts", "event_id", "value")
-    out = sequence.metric_delta(e, "user_id", ["ts", "event_id"], D.hour_block(), "value")
+    out = sequence.metric_delta(e, "user_id", ["ts", "event_id"], D.time_block(e), "value")
     return out.select("event_id", F.round("change", 6).alias("change"), "trend")
 
 
@@ -94,7 +94,8 @@ def metric_delta(spark, d):
  b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM r WHERE event_type = 'error' AND calls >= 20 AND errors / calls > 0.05)
  SELECT user_id, event_id, errors::BIGINT AS errors, calls, round(errors / calls, 9) AS error_rate FROM b WHERE k = 1""")
 def error_rate_alarm(spark, d):
-    out = sequence.error_rate_alarm(D.events(spark, d), "user_id", ["ts", "event_id"], D.hour_block(), F.col("event_type") == "error")
+    e = D.events(spark, d)
+    out = sequence.error_rate_alarm(e, "user_id", ["ts", "event_id"], D.time_block(e), F.col("event_type") == "error")
     return out.select("user_id", "event_id", "errors", "calls", rounded("error_rate"))
 
 
@@ -149,12 +150,12 @@ _REWARD = f"""{_L.replace('WITH', 'WITH RECURSIVE', 1)}, {_MSG}, p AS (SELECT ru
 
 @query("log_keep_progress", _PROGRESS + " SELECT run, idx FROM g WHERE keep")
 def log_keep_progress(spark, d):
-    return logs.keep_progress(logs.parse_log(D.numbered_lines(spark, d)), size=32)
+    return logs.keep_progress(logs.parse_log(D.numbered_lines(spark, d)))
 
 
 @query("log_keep_reward", _REWARD + " SELECT run, idx FROM g WHERE keep")
 def log_keep_reward(spark, d):
-    return logs.keep_reward(logs.parse_log(D.numbered_lines(spark, d)), size=32)
+    return logs.keep_reward(logs.parse_log(D.numbered_lines(spark, d)))
 
 
 @query("condense_log")

@@ -55,7 +55,7 @@ def sink_jsonl_append(spark, d):
 _REPORTS = "WITH " + D.SCORED + """, m AS (SELECT l_suppkey, count(*) AS n, avg(combined_score) AS c, count_if(ahimsa_violation) AS v FROM scored GROUP BY 1)"""
 
 
-def report_files(spark, d, max_items):
+def report_files(spark, d):
     s = D.scored(spark, d).withColumns({
         "run": F.concat(F.lit("sup-"), F.col("l_suppkey")), "scenario_id": F.col("item_id"),
         "prompt": F.concat(F.lit("prompt "), F.col("l_partkey")),
@@ -63,29 +63,29 @@ def report_files(spark, d, max_items):
     })
     summary = metrics.summary_metrics(s, ["run"])
     fields = ["scenario_id", "prompt", "response", "ahimsa_score", "combined_score"]
-    docs = writers.report_documents(summary, s, "run", fields, max_items)
+    docs = writers.report_documents(summary, s, "run", "scenario_id", fields, max_items=200)
     path = shared_dir(spark)
     # a stray document without the needed parts is skipped on reading
     with_stray = F.when(F.col("run") == "sup-0", F.lit('{"unrelated": true}')).otherwise(F.col("document"))
-    docs.select(F.concat(F.lit("r-"), F.col("run")).alias("name"), with_stray.alias("value")).write.partitionBy("name").text(path)
+    docs.select(F.concat_ws("-", F.lit("r"), "run", "part").alias("name"), with_stray.alias("value")).write.partitionBy("name").text(path)
     return path
 
 
 @query("scan_eval_report", _REPORTS + " SELECT 'sup-' || l_suppkey AS raw_model_name, n AS num_scenarios, round(c, 9) AS average_combined_score, v::BIGINT AS ahimsa_violations FROM m WHERE l_suppkey <> 0")
 def scan_eval_report(spark, d):
-    rows = readers.report_rows(readers.scan_eval_reports(spark, report_files(spark, d, 0)))
-    return rows.select("raw_model_name", "num_scenarios", rounded("average_combined_score"), "ahimsa_violations")
+    rows = readers.report_rows(readers.scan_eval_reports(spark, report_files(spark, d)))
+    return rows.select("raw_model_name", "num_scenarios", rounded("average_combined_score"), "ahimsa_violations").distinct()
 
 
 @query("scan_glob", _REPORTS + " SELECT 'sup-' || l_suppkey AS raw_model_name, n AS num_scenarios FROM m WHERE l_suppkey <> 0")
 def scan_glob(spark, d):
-    rows = readers.report_rows(readers.scan_eval_reports(spark, report_files(spark, d, 0) + "/name=r-*", pattern="*.txt"))
-    return rows.select("raw_model_name", "num_scenarios")
+    rows = readers.report_rows(readers.scan_eval_reports(spark, report_files(spark, d) + "/name=r-*", pattern="*.txt"))
+    return rows.select("raw_model_name", "num_scenarios").distinct()
 
 
 @query("explode_results", _REPORTS + " SELECT item_id AS scenario_id, 'prompt ' || l_partkey AS prompt, 'C' AS tier, 'S0' AS scope FROM scored WHERE l_suppkey <> 0 AND NOT was_clipped")
 def explode_results(spark, d):
-    reports = readers.scan_eval_reports(spark, report_files(spark, d, 1_000_000))
+    reports = readers.scan_eval_reports(spark, report_files(spark, d))
     return readers.explode_results(reports).select("scenario_id", "prompt", "tier", "scope")
 
 

@@ -49,7 +49,7 @@ def stream_adaptive_weights(spark, d):
 @query("stream_error_alarm", "SELECT user_id, event_id, errors, calls FROM (" + ORACLES["error_rate_alarm"] + ")")
 def stream_error_alarm(spark, d):
     out = jobs.stream_error_alarm(
-        _stream(spark, d), shared_dir(spark), "user_id", ["ts", "event_id"], D.hour_block(), F.col("event_type") == "error")
+        _stream(spark, d), shared_dir(spark), "user_id", ["ts", "event_id"], D.time_block, F.col("event_type") == "error")
     return out.select("user_id", "event_id", "errors", "calls")
 
 

@@ -252,23 +252,31 @@ def symptom_override(spark, d):
     return D.judged(spark, d).select("item_id", L.symptom_override(F.col("scope"), answer).alias("scope"))
 
 
-_CHATS = "chats AS (SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS messages FROM conversations GROUP BY conv_id)"
+# each turn with the next one, as a message list
+_CHATS = """chats AS (SELECT a.conv_id, a.turn, CASE WHEN b.turn IS NULL THEN [{'role': a.role, 'content': a.text}]
+ ELSE [{'role': a.role, 'content': a.text}, {'role': b.role, 'content': b.text}] END AS messages
+ FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn)"""
 
 
 def chats(spark, d):
-    talk = D.load(spark, d, "conversations").select("conv_id", F.struct("turn", "role", F.col("text").alias("content")).alias("m"))
-    ordered = F.array_sort(F.collect_list("m"))
-    return talk.groupBy("conv_id").agg(F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+    def message():
+        return F.struct("role", F.col("text").alias("content"))
 
+    talk = D.load(spark, d, "conversations")
+    here = talk.select("conv_id", "turn", message().alias("a"))
+    after = talk.select("conv_id", (F.col("turn") - 1).alias("turn"), message().alias("b"))
+    both = F.when(F.col("b").isNull(), F.array("a")).otherwise(F.array("a", "b"))
+    return here.join(after, ["conv_id", "turn"], "left").select("conv_id", "turn", both.alias("messages"))
 
-@query("chat_user_text", f"WITH {_CHATS} SELECT conv_id, coalesce(list_filter(messages, lambda m: m.role = 'user')[1].content, '') AS user_text FROM chats")
+
+@query("chat_user_text", f"WITH {_CHATS} SELECT conv_id, turn, coalesce(list_filter(messages, lambda m: m.role = 'user')[1].content, '') AS user_text FROM chats")
 def chat_user_text(spark, d):
-    return chats(spark, d).select("conv_id", L.user_text(F.col("messages")).alias("user_text"))
+    return chats(spark, d).select("conv_id", "turn", L.user_text(F.col("messages")).alias("user_text"))
 
 
-@query("chat_completion_text", f"WITH {_CHATS} SELECT conv_id, coalesce(messages[1].content, '') AS completion FROM chats")
+@query("chat_completion_text", f"WITH {_CHATS} SELECT conv_id, turn, coalesce(messages[1].content, '') AS completion FROM chats")
 def chat_completion_text(spark, d):
-    return chats(spark, d).select("conv_id", L.completion_text(F.col("messages")).alias("completion"))
+    return chats(spark, d).select("conv_id", "turn", L.completion_text(F.col("messages")).alias("completion"))
 
 
 @query("chat_format", "SELECT conv_id, turn, 2 AS n_messages, 'system' AS first_role, 'user' AS second_role, text AS second_content FROM conversations")

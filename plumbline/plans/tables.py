@@ -11,6 +11,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from plumbline.operators.ordering import add_rank, key_blocks
 from plumbline.operators.scoring import score_all
 
 
@@ -139,8 +140,8 @@ def epoch(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def hour_block() -> Column:
-    return F.floor(epoch(F.col("ts")) / 3_600_000_000)
+def time_block(events: DataFrame) -> Column:
+    return key_blocks(events, epoch(F.col("ts")))
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,9 +212,8 @@ LINES = """raw_lines AS (SELECT user_id AS run, ts, event_id, event_type, value,
 
 
 def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from plumbline.operators.ordering import add_rank
-
-    ranked = add_rank(log_lines(spark, sf_dir), ["ts", "event_id"], hour_block(), by=["run"])
+    lines = log_lines(spark, sf_dir)
+    ranked = add_rank(lines, ["ts", "event_id"], time_block(lines), by=["run"])
     return ranked.select("run", (F.col("rn") - 1).alias("idx"), "line")
 
 

@@ -17,25 +17,24 @@ def sink_eval_report(summary: DataFrame, items: DataFrame, path: str, run: str =
     items.write.mode("overwrite").partitionBy(run).parquet(f"{path}/items")
 
 
-def report_documents(summary: DataFrame, items: DataFrame, run: str, fields: list[str],
-                     max_items: int | None = None) -> DataFrame:
-    """One JSON document per run: configuration, summary and, for small runs, the results.
+def report_documents(summary: DataFrame, items: DataFrame, run: str, key: str, fields: list[str],
+                     max_items: int = 10_000) -> DataFrame:
+    """JSON documents with configuration, summary and item results of a run.
 
-    A document cannot be split, so it holds the item results only where the
-    run has at most `max_items` of them; larger runs keep them in the item table.
+    A document cannot be split on reading, so a run with more than `max_items`
+    results gives several documents with a share of the results each.
     """
     sizes = items.groupBy(run).agg(F.count(F.lit(1)).alias("__n"))
-    small = sizes.where(F.col("__n") <= max_items) if max_items is not None else sizes.limit(0)
-    listed = items.join(small.select(run), run, "left_semi").groupBy(run).agg(
-        F.collect_list(F.struct(*fields)).alias("individual_results")
-    )
+    heads = summary.join(sizes, run).withColumn("__parts", F.ceil(F.col("__n") / max_items))
+    shares = items.select(run, key, F.struct(*fields).alias("__item")).join(heads.select(run, "__parts"), run)
+    part = F.pmod(F.xxhash64(key), F.col("__parts")).alias("part")
+    listed = shares.groupBy(run, part).agg(F.collect_list("__item").alias("individual_results"))
     metrics = [c for c in summary.columns if c != run]
-    joined = summary.join(sizes, run).join(listed, run, "left")
     document = F.to_json(F.struct(
         F.struct(F.col(run).alias("model_name"), F.col("__n").alias("num_scenarios")).alias("evaluation_config"),
         F.struct(*metrics).alias("summary_metrics"), "individual_results",
     ))
-    return joined.select(run, document.alias("document"))
+    return listed.join(heads, run).select(run, "part", document.alias("document"))
 
 
 def markdown_table(df: DataFrame, formats: dict | None = None) -> str:

@@ -6,6 +6,8 @@ where it stopped. Results are read back as tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline import config as C
@@ -167,7 +169,7 @@ def stream_adaptive_weights(stream: DataFrame, path: str, run: str, step: Column
     return stream.sparkSession.read.parquet(f"{path}/out").select(run, "step", *[f"weight_{a}" for a in axes])
 
 
-def stream_error_alarm(stream: DataFrame, path: str, run: str, order: list[str], block: Column, failed: Column,
+def stream_error_alarm(stream: DataFrame, path: str, run: str, order: list[str], block: Callable[[DataFrame], Column], failed: Column,
                        threshold: float = C.ERROR_RATE_THRESHOLD,
                        min_calls: int = C.ERROR_RATE_MIN_CALLS) -> DataFrame:
     """One alarm row per run at its first failed call above the error rate.
@@ -181,7 +183,7 @@ def stream_error_alarm(stream: DataFrame, path: str, run: str, order: list[str],
     def handle(batch: DataFrame, batch_id: int) -> None:
         prior = state.before(batch_id)
         calls = batch.select(run, *order, failed.alias("__failed"))
-        running = running_sums(calls, order, block, [run], {
+        running = running_sums(calls, order, block(calls), [run], {
             "calls": F.lit(1), "errors": F.col("__failed").cast("int"),
         })
         if prior is not None:
