@@ -33,7 +33,7 @@ def _distinct_vectors(df: DataFrame, key: str, vec: str) -> DataFrame:
 def _pivots(vectors: DataFrame, count: int) -> np.ndarray:
     """A fixed number of vectors in hash order; they shape the work, not the result."""
     rows = take_ranked(vectors.select("rep", "v"), hash_order(F.col("rep")), "rep", count).collect()
-    return _unit(pd.Series([r["v"] for r in rows]))
+    return _unit(pd.Series([r["v"] for r in rows])) if rows else np.empty((0, 0))
 
 
 def _angles(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:

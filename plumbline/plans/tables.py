@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.operators.ordering import add_rank, key_blocks
 from plumbline.operators.scoring import score_all
+from plumbline.schemas import EVENTS
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,7 +134,8 @@ TURNS = """turns AS (SELECT conv_id, turn, text AS prompt, response FROM (
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "events")
+    """Times are read as instants, so that nothing depends on the session's time zone."""
+    return spark.read.schema(EVENTS).parquet(os.path.join(sf_dir, "events.parquet"))
 
 
 def epoch(ts: Column) -> Column:
@@ -165,7 +167,7 @@ STEPS = """steps AS (SELECT user_id AS run, CAST(floor((epoch_us(ts) - 170406720
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as training-log lines (run, ts, event_id, line)."""
-    e = events(spark, sf_dir)
+    e = load(spark, sf_dir, "events")  # wall-clock times, as they are printed
     n = F.get_json_object("props", "$.k").cast("int")
     pct = F.floor("value").cast("int") % 101
     money = F.format_string("%.2f", F.col("value"))
