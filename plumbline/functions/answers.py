@@ -50,8 +50,8 @@ def sanitize(raw: Column) -> Column:
     s = F.when(table, _sub(_sub(s, r"\\begin\{tabular\}.*?\\hline", ""), r"\\end\{tabular\}", "")).otherwise(s)
     s = _sub(s, r"\\[a-zA-Z]+(\{.*?\})?", "")
     s = _sub(s, r"[\n\t\r\x08\f]", " ")
-    s = _sub(s, r"(?<!\\)\{(?!\s*[\"'a-zA-Z0-9_]+\s*:)", "(")
-    s = _sub(s, r"(?<!\\)\}(?!\s*,?\s*[\"'a-zA-Z0-9_]+\s*:)", ")")
+    s = _sub(s, r"(?U)(?<!\\)\{(?!\s*[\"'a-zA-Z0-9_]+\s*:)", "(")
+    s = _sub(s, r"(?U)(?<!\\)\}(?!\s*,?\s*[\"'a-zA-Z0-9_]+\s*:)", ")")
     s = _sub(s, r"[\x00-\x1F\x7F]", "")
     return F.trim(_sub(s, r"(?U)\s+", " "))
 
@@ -65,9 +65,13 @@ def invalid_reason(sanitized: Column, raw: Column) -> Column:
 
 
 def fallback_response(raw: Column, reason: Column) -> Column:
-    plain = F.trim(_sub(_sub(raw, r"(?U)[^\w\s.,?!]", " "), r"(?U)\s+", " "))
+    """Plain words of a long enough raw text, else a placeholder with the reason."""
+    plain = F.trim(_sub(_sub(raw, r"(?U)[^\p{L}\p{N}_\s.,?!]", " "), r"(?U)\s+", " "))
+    message = reason
+    for code, text in C.INVALID_MESSAGES.items():
+        message = F.when(reason == code, text).otherwise(message)
     return F.when((F.length(raw) > 20) & (F.length(plain) > 20), plain).otherwise(
-        F.format_string("[Invalid response that could not be processed. Error: %s]", reason)
+        F.format_string("[Invalid response that could not be processed. Error: %s]", message)
     )
 
 

@@ -193,7 +193,7 @@ def batch_answer_expand(spark, d):
     return out.select("item_id", F.col("fields")["score"].cast("bigint").alias("score"))
 
 
-@query("is_truncated", "WITH " + D.JUDGED + """ SELECT item_id, CASE WHEN l_linenumber = 7 THEN true ELSE true END AS truncated FROM judged""")
+@query("is_truncated", "WITH " + D.JUDGED + """ SELECT item_id, true AS truncated FROM judged""")
 def is_truncated(spark, d):
     return raw_answers(spark, d).select("item_id", A.is_truncated(F.col("raw")).alias("truncated"))
 
@@ -262,17 +262,25 @@ def model_texts(spark, d):
     return D.load(spark, d, "documents").select("doc_id", raw.alias("raw"))
 
 
-@query("sanitize_response")
-def sanitize_response(spark, d):
-    return metrics.sanitize_table(model_texts(spark, d)).select("doc_id", "sanitized", "processed")
+_KEY = r"""\s*["\'a-zA-Z0-9_]+\s*:""".replace("'", "''")
+_UNI = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# look-around is not available, so braces to keep are set aside as private characters
+_SANITIZED = rf"""raws AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN text WHEN 1 THEN '\textbf{{{{bold}}}} ' || text WHEN 2 THEN text || ' {{{{note}}}} {{{{"k": 1}}}}'
+ WHEN 3 THEN '{{{{}}}}[] \' WHEN 4 THEN '\alpha{{{{' || repeat('x', 60) || '}}}} ok now enough text' ELSE 'short' END AS raw FROM documents),
+ z1 AS (SELECT *, regexp_replace(regexp_replace(raw, '\\[a-zA-Z]+(\{{{{.*?\}}}})?', '', 'g'), '[\n\t\r\x08\f]', ' ', 'g') AS s FROM raws),
+ z2 AS (SELECT *, replace(replace(replace(replace(regexp_replace(replace(s, '\{{{{', chr(57344)), '\{{{{({_KEY})', chr(57345) || '\1', 'g'), '{{{{', '('), chr(57345), '{{{{'), chr(57344), '\{{{{'), chr(57346), '') AS s2 FROM z1),
+ z3 AS (SELECT *, replace(replace(replace(regexp_replace(replace(s2, '\}}}}', chr(57344)), '\}}}}(\s*,?{_KEY})', chr(57345) || '\1', 'g'), '}}}}', ')'), chr(57345), '}}}}'), chr(57344), '\}}}}') AS s3 FROM z2),
+ z4 AS (SELECT doc_id, raw, trim(regexp_replace(regexp_replace(s3, '[\x00-\x1F\x7F]', '', 'g'), '{_UNI}+', ' ', 'g')) AS sanitized FROM z3),
+ z5 AS (SELECT *, CASE WHEN length(sanitized) < 10 THEN 'Response too short or empty after sanitization' WHEN regexp_matches(sanitized, '^[\s\\{{{{}}}}\[\]]*$') THEN 'Response contains only formatting characters'
+ WHEN length(sanitized) < length(raw) * 0.3 THEN 'Sanitization removed too much content' END AS reason,
+ trim(regexp_replace(regexp_replace(raw, '[^\p{{{{L}}}}\p{{{{N}}}}_.,?!' || substr('{_UNI}', 2), ' ', 'g'), '{_UNI}+', ' ', 'g')) AS plain FROM z4)""".replace("{{", "{").replace("}}", "}")
 
 
-@query("sanitize_response_plain", r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, '{', '('), '}', ')'), '[\n\t\r\x08\f]', ' ', 'g'), '[\x00-\x1F\x7F]', '', 'g'), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))) AS digest
- FROM documents WHERE NOT contains(text, '\') AND NOT regexp_matches(text, '\{\s*["''a-zA-Z0-9_]+\s*:|\}\s*,?\s*["''a-zA-Z0-9_]+\s*:')""")
-def sanitize_response_plain(spark, d):
-    """Documents without backslashes and JSON-like braces, for which the rules need no look-around."""
-    plain = ~F.contains("text", F.lit("\\")) & ~F.col("text").rlike(r"""\{\s*["'a-zA-Z0-9_]+\s*:|\}\s*,?\s*["'a-zA-Z0-9_]+\s*:""")
-    return D.load(spark, d, "documents").where(plain).select("doc_id", F.md5(A.sanitize(F.col("text"))).alias("digest"))
+@query("sanitize_response", f"""WITH {_SANITIZED} SELECT doc_id, md5(sanitized) AS sanitized, md5(CASE WHEN reason IS NULL THEN sanitized WHEN length(raw) > 20 AND length(plain) > 20 THEN plain
+ ELSE '[Invalid response that could not be processed. Error: ' || reason || ']' END) AS processed FROM z5""")
+def sanitize_response(spark, d):
+    out = metrics.sanitize_table(model_texts(spark, d))
+    return out.select("doc_id", F.md5("sanitized").alias("sanitized"), F.md5("processed").alias("processed"))
 
 
 @query("validate_response", """SELECT doc_id, CASE WHEN length(s) < 10 THEN 'too_short' WHEN length(s) < n_chars * 0.3 THEN 'lost_content' END AS invalid_reason
@@ -285,19 +293,18 @@ def validate_response(spark, d):
     return docs.select("doc_id", A.invalid_reason(F.col("s"), F.col("text")).alias("invalid_reason"))
 
 
-@query("fallback_response", r"""SELECT event_id, CASE WHEN length(r) > 20 AND length(p) > 20 THEN p ELSE '[Invalid response that could not be processed. Error: too_short]' END AS response
+@query("fallback_response", r"""SELECT event_id, CASE WHEN length(r) > 20 AND length(p) > 20 THEN p ELSE '[Invalid response that could not be processed. Error: Response too short or empty after sanitization]' END AS response
  FROM (SELECT *, trim(regexp_replace(regexp_replace(r, '[^\w\s.,?!]', ' ', 'g'), '\s+', ' ', 'g')) AS p FROM (SELECT event_id, CASE WHEN event_type = 'click' THEN '{{' || props || '}} and some ' || event_type || '!' ELSE event_type END AS r FROM events))""")
 def fallback_response(spark, d):
     raw = F.when(F.col("event_type") == "click", F.concat(F.lit("{{"), F.col("props"), F.lit("}} and some "), F.col("event_type"), F.lit("!"))).otherwise(F.col("event_type"))
     return D.events(spark, d).select("event_id", A.fallback_response(raw, F.lit("too_short")).alias("response"))
 
 
-@query("sanitize_stats", """SELECT doc_id % 6 AS kind, count(*) AS processed, count_if(doc_id % 6 IN (3, 4, 5))::BIGINT AS invalid,
- count_if(doc_id % 6 IN (3, 4, 5))::BIGINT AS fallback_used FROM documents WHERE length(text) >= 100 GROUP BY 1""")
+@query("sanitize_stats", f"""WITH {_SANITIZED} SELECT doc_id % 6 AS kind, count(*) AS processed, count_if(sanitized <> raw)::BIGINT AS sanitized,
+ count_if(reason IS NOT NULL)::BIGINT AS invalid, count_if(reason IS NOT NULL)::BIGINT AS fallback_used FROM z5 GROUP BY 1""")
 def sanitize_stats(spark, d):
-    long_enough = D.load(spark, d, "documents").where(F.length("text") >= 100).select("doc_id")
-    texts = model_texts(spark, d).join(long_enough, "doc_id", "left_semi").withColumn("kind", F.col("doc_id") % 6)
-    return metrics.sanitize_stats(texts, by=["kind"]).select("kind", "processed", "invalid", "fallback_used")
+    texts = model_texts(spark, d).withColumn("kind", F.col("doc_id") % 6)
+    return metrics.sanitize_stats(texts, by=["kind"])
 
 
 @query("detect_control_chars", "SELECT page_id, page_id % 3 = 1 AS found FROM pages")

@@ -139,29 +139,33 @@ def log_keep_static(spark, d):
     return logs.keep_static(logs.parse_log(D.numbered_lines(spark, d))).select("run", "idx", "keep")
 
 
-_PROGRESS = f"""{_L.replace('WITH', 'WITH RECURSIVE', 1)}, {_MSG}, p AS (SELECT run, idx, pct, row_number() OVER (PARTITION BY run ORDER BY idx) AS k FROM typed WHERE line_type = 'progress_bar'),
+_KEPT = f"""{_L.replace('WITH', 'WITH RECURSIVE', 1)}, {_MSG}, p AS (SELECT run, idx, pct, row_number() OVER (PARTITION BY run ORDER BY idx) AS k FROM typed WHERE line_type = 'progress_bar'),
  g AS (SELECT run, 0::BIGINT AS k, 0::BIGINT AS idx, -1 AS last, false AS keep FROM p WHERE k = 1 UNION ALL
  SELECT p.run, p.k, p.idx, CASE WHEN p.pct >= g.last + 5 OR p.pct IN (0, 1, 5, 10, 25, 50, 75, 90, 95, 100) THEN p.pct ELSE g.last END, p.pct >= g.last + 5 OR p.pct IN (0, 1, 5, 10, 25, 50, 75, 90, 95, 100)
- FROM g JOIN p ON p.run = g.run AND p.k = g.k + 1)"""
-_REWARD = f"""{_L.replace('WITH', 'WITH RECURSIVE', 1)}, {_MSG}, p AS (SELECT run, idx, row_number() OVER (PARTITION BY run ORDER BY idx) AS k FROM typed WHERE line_type = 'reward_summary'),
- g AS (SELECT run, 0::BIGINT AS k, 0::BIGINT AS idx, -1::BIGINT AS last, false AS keep FROM p WHERE k = 1 UNION ALL
- SELECT p.run, p.k, p.idx, CASE WHEN p.idx >= g.last + 20 THEN p.idx ELSE g.last END, p.idx >= g.last + 20 FROM g JOIN p ON p.run = g.run AND p.k = g.k + 1)"""
+ FROM g JOIN p ON p.run = g.run AND p.k = g.k + 1),
+ rp AS (SELECT run, idx, row_number() OVER (PARTITION BY run ORDER BY idx) AS k FROM typed WHERE line_type = 'reward_summary'),
+ rg AS (SELECT run, 0::BIGINT AS k, 0::BIGINT AS idx, -1::BIGINT AS last, false AS keep FROM rp WHERE k = 1 UNION ALL
+ SELECT rp.run, rp.k, rp.idx, CASE WHEN rp.idx >= rg.last + 20 THEN rp.idx ELSE rg.last END, rp.idx >= rg.last + 20 FROM rg JOIN rp ON rp.run = rg.run AND rp.k = rg.k + 1),
+ st AS (SELECT run, idx FROM (SELECT *, count(*) OVER (PARTITION BY run) AS total FROM typed) WHERE line_type IN ('configuration', 'checkpoint', 'error_warning', 'training_metrics', 'wandb')
+ OR (line_type = 'judge_evaluation' AND idx % 100 = 0) OR (line_type = 'other' AND (idx < 200 OR idx > total - 200)))"""
 
 
-@query("log_keep_progress", _PROGRESS + " SELECT run, idx FROM g WHERE keep")
+@query("log_keep_progress", _KEPT + " SELECT run, idx FROM g WHERE keep")
 def log_keep_progress(spark, d):
     return logs.keep_progress(logs.parse_log(D.numbered_lines(spark, d)))
 
 
-@query("log_keep_reward", _REWARD + " SELECT run, idx FROM g WHERE keep")
+@query("log_keep_reward", _KEPT + " SELECT run, idx FROM rg WHERE keep")
 def log_keep_reward(spark, d):
     return logs.keep_reward(logs.parse_log(D.numbered_lines(spark, d)))
 
 
-@query("condense_log")
+@query("condense_log", _KEPT + """ SELECT run, original_lines, condensed_lines, round(condensed_lines / original_lines, 9) AS compression_ratio FROM (SELECT run, count(*) AS original_lines FROM typed GROUP BY 1)
+ JOIN (SELECT run, count(*) AS condensed_lines FROM (SELECT run, idx FROM st UNION ALL SELECT run, idx FROM g WHERE keep UNION ALL SELECT run, idx FROM rg WHERE keep) GROUP BY 1) USING (run)""")
 def condense_log(spark, d):
     lines = D.numbered_lines(spark, d)
-    return logs.condense_summary(lines, logs.condense(lines))
+    out = logs.condense_summary(lines, logs.condense(lines))
+    return out.select("run", "original_lines", "condensed_lines", rounded("compression_ratio"))
 
 
 _HISTORY = f"{_L}, {_MSG}, h AS (SELECT run, idx, value, n, row_number() OVER (PARTITION BY run ORDER BY idx) AS a, row_number() OVER (PARTITION BY run ORDER BY idx DESC) AS z, count(*) OVER (PARTITION BY run) AS c FROM typed WHERE line_type = 'training_metrics')"
