@@ -13,6 +13,7 @@ from plumbline.operators import judge, metrics
 from plumbline.operators.sequence import chunk_items
 from plumbline.plans import tables as D
 from plumbline.plans.registry import query, rounded
+from plumbline.session import spread_single_file
 
 
 def _tenth(name):
@@ -21,7 +22,7 @@ def _tenth(name):
 
 def raw_answers(spark, d, axis="ahimsa"):
     """item_id, l_linenumber and the answer text of one axis."""
-    j = D.judged(spark, d)
+    j = spread_single_file(D.judged(spark, d))
     yes_no = F.when(F.col("has_professional_referral"), "yes").otherwise("no")
     bodies = {
         "ahimsa": F.concat(

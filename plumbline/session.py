@@ -47,3 +47,14 @@ def written(df: DataFrame, partitions: list[str] | None = None) -> DataFrame:
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_single_file(df: DataFrame) -> DataFrame:
+    """Spread a one-file table over the cores before costly work per row.
+
+    Such a file is often one row group, which a scan gives to one task. Tables
+    of several files have splits enough and are not exchanged.
+    """
+    if len(df.inputFiles()) != 1:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -22,11 +22,17 @@ def test_expressions_need_no_python(spark, sf, name):
     assert not re.search(r"BatchEvalPython|ArrowEvalPython|MapInPandas", text)
 
 
-@pytest.mark.parametrize("name", ["cross_mode", "parse_answers_dharma", "filter_prompt_artifacts", "scope_penalty", "tfidf_near_core", "token_estimate"])
+@pytest.mark.parametrize("name", ["cross_mode", "filter_prompt_artifacts", "scope_penalty", "tfidf_near_core", "token_estimate"])
 def test_row_jobs_do_not_shuffle(spark, sf, name):
     assert "Exchange" not in plan(Q[name](spark, sf))
 
 
+def test_parsing_does_not_shuffle_split_tables(spark):
+    from plumbline.operators.judge import parse_answers
+
+    assert "Exchange" not in plan(parse_answers(spark.createDataFrame([("{}",)], "raw string"), "dharma"))
+
+
 def test_scan_reads_only_needed_columns(spark, sf):
     text = plan(Q["summary_two_axis"](spark, sf))
     assert "l_extendedprice" not in text and "l_shipdate" not in text
