@@ -63,7 +63,7 @@ def report_files(spark, d):
     })
     summary = metrics.summary_metrics(s, ["run"])
     fields = ["scenario_id", "prompt", "response", "ahimsa_score", "combined_score"]
-    docs = writers.report_documents(summary, s, "run", "scenario_id", fields, max_items=200)
+    docs = writers.report_documents(summary, s, "run", "scenario_id", fields, max_items=1000)
     path = shared_dir(spark)
     # a stray document without the needed parts is skipped on reading
     with_stray = F.when(F.col("run") == "sup-0", F.lit('{"unrelated": true}')).otherwise(F.col("document"))
