@@ -15,6 +15,7 @@ from plumbline.operators.ordering import add_rank, fill_forward
 from plumbline.session import written
 
 BLOCK = 8192
+MAX_STATES = 1000
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def keep_static(parsed: DataFrame) -> DataFrame:
     return out.withColumn("keep", rule)
 
 
-def _scan_states(df: DataFrame, states: np.ndarray, fold: Callable, enter: Callable, first: float,
+def _scan_states(df: DataFrame, states: np.ndarray | None, fold: Callable, enter: Callable, first: float,
                  size: int) -> DataFrame:
     """Run a small state machine along each run and return the rows it keeps.
 
@@ -66,7 +67,8 @@ def _scan_states(df: DataFrame, states: np.ndarray, fold: Callable, enter: Calla
     gives a map from entry state to exit state; the maps of a run (one short
     array per `size` lines) are walked to find the true entry states, and a
     second fold from that state picks the rows. Every pass streams over sorted
-    partitions and holds one state, never a block or a run.
+    partitions and holds one state, never a block or a run. Without a list of
+    states each run is one sorted stream.
     """
     blocked = df.withColumn("block", F.floor(F.col("idx") / size))
     run = df.schema["run"].dataType.simpleString()
@@ -109,6 +111,9 @@ def _scan_states(df: DataFrame, states: np.ndarray, fold: Callable, enter: Calla
                     kept.append((r, i))
             yield pd.DataFrame(kept, columns=["run", "idx"])
 
+    if states is None:
+        whole = df.withColumn("block", F.lit(0).cast("bigint")).withColumn("entry", F.lit(first)).repartition("run")
+        return whole.sortWithinPartitions("run", "idx").mapInPandas(pick, f"run {run}, idx bigint")
     by_block = blocked.repartition("run", "block").sortWithinPartitions("run", "block", "idx")
     exits = by_block.mapInPandas(maps, f"run {run}, block bigint, exits array<double>")
     in_order = exits.repartition("run").sortWithinPartitions("run", "block")
@@ -118,12 +123,16 @@ def _scan_states(df: DataFrame, states: np.ndarray, fold: Callable, enter: Calla
 
 
 def keep_progress(parsed: DataFrame, size: int = BLOCK, jump: int = 5) -> DataFrame:
-    """Progress lines at a milestone, or at least `jump` points above the last kept one."""
+    """Progress lines at a milestone, or at least `jump` points above the last kept one.
+
+    Percentages take about a hundred values, which are the states; a log with
+    more than MAX_STATES different ones is streamed run by run.
+    """
     lines = parsed.where("line_type = 'progress_bar'").select(
         "run", "idx", F.coalesce("progress_pct", F.lit(0)).cast("double").alias("x")
     )
-    seen = [r[0] for r in lines.select("x").distinct().collect()]  # percentages, about a hundred values
-    states = np.array(sorted({-1.0, *seen}))
+    seen = [r[0] for r in lines.select("x").distinct().limit(MAX_STATES + 1).collect()]
+    states = np.array(sorted({-1.0, *seen})) if len(seen) <= MAX_STATES else None
     milestones = set(C.PROGRESS_MILESTONES)
 
     def fold(state, i, x):
