@@ -188,11 +188,12 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: lis
     """`keep` columns with lang_pred, score (0 to 1) and ambiguous for every row."""
     kept = keep or ["doc_id"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
+    read = text if text in kept else "__text"
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text"):
-                texts = part.column("__text")
+            for part in slices(batch, read):
+                texts = part.column(read)
                 lettered = np.array([t is not None and next(filter(str.isalpha, t), None) is not None
                                      for t in texts.to_pylist()], bool)
                 if model.languages:
@@ -208,4 +209,5 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: lis
                 )
 
     schema = f"{fields}, lang_pred string, score double, ambiguous boolean"
-    return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(predicted, schema)
+    rows = docs.select(*kept) if read == text else docs.select(*kept, F.col(text).alias(read))
+    return rows.mapInArrow(predicted, schema)

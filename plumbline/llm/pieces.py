@@ -24,6 +24,7 @@ from heapq import heapify, heappop, heappush
 from itertools import repeat
 from operator import add
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -220,12 +221,12 @@ def encode_texts(docs: DataFrame, model: str, id_column: str = "doc_id", text: s
                  with_ids: bool = False, keep: list[str] | None = None) -> DataFrame:
     """One row per document: its id, number of ids, digests of ids and of the decoded text.
 
-    `with_ids` adds the ids as one string; `keep` names further columns to pass on.
+    `with_ids` adds the ids; `keep` names further columns to pass on.
     """
     kept = [id_column, *(keep or [])]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
     schema = f"{fields}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    schema += ", ids string" if with_ids else ""
+    schema += ", ids array<int>" if with_ids else ""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from plumbline.llm.packed import slices
@@ -240,7 +241,9 @@ def encode_texts(docs: DataFrame, model: str, id_column: str = "doc_id", text: s
                             pa.array([_sha(r[2]) for r in rows], pa.string())]
                 names = [*kept, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    columns.append(pa.array([r[0] for r in rows], pa.string()))
+                    flat = np.fromstring(" ".join([r[0] for r in rows]), np.int32, sep=" ")
+                    ends = np.cumsum([0, *[r[1] for r in rows]]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
