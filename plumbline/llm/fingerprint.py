@@ -4,7 +4,8 @@ Terms are the distinct words of a text with A-Z lowered. The lexicon keeps the
 terms found in more than `LOW` and at most `HIGH` of all documents: a band of
 inverse document frequency, whose lower end bounds the lexicon by the mean
 number of terms of a document over LOW, however many documents there are. A
-document's lexicon terms are sorted and hashed: once all of them, and once for
+term stands as a number: 39 bits of its digest, then one bit for each
+sub-lexicon. A document's lexicon terms are sorted by it and hashed: once all of them, and once for
 each of `SUBSETS` randomised sub-lexicons, which hold 1/2 to 1/256 of the
 lexicon. Two fingerprints are as alike as the share of hashes they have in
 common among those that either has. Small subsets often survive an edit, the
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from plumbline.operators.ordering import key_blocks
 from plumbline.session import written
 
-LOW, HIGH = 0.001, 0.02
+LOW, HIGH = 0.005, 0.02
 SUBSETS = 24
 RATES = 8
 BROADCAST_TERMS = 1_000_000
@@ -39,9 +40,10 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(folded(text), BLANKS), ""))
 
 
-def subset_mask(term: Column) -> Column:
-    """Bit k tells that the term is in sub-lexicon k, which holds 2 ** -(k % RATES + 1) of all terms."""
-    mask = F.lit(0).cast("bigint")
+def term_number(term: Column) -> Column:
+    """The term's number. Bit k: it is in sub-lexicon k, which holds 2 ** -(k % RATES + 1) of all terms."""
+    code = F.conv(F.substring(F.md5(term.cast("binary")), 1, 12), 16, 10).cast("bigint") % (1 << 39)
+    mask = code * (1 << SUBSETS)
     for k in range(SUBSETS):
         digits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{k}:"), term).cast("binary")), 1, 8), 16, 10).cast("bigint")
         mask = mask + F.when(digits % (2 ** (k % RATES + 1)) == 0, F.lit(1 << k).cast("bigint")).otherwise(
@@ -50,27 +52,27 @@ def subset_mask(term: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float = HIGH) -> tuple[DataFrame, int]:
-    """Written table (term, mask) of the terms in the band, and its number of rows."""
+    """Written table (term, number) of the terms in the band, and its number of rows."""
     total = docs.count()
     counted = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(
         F.count(F.lit(1)).alias("n"))
     kept = written(counted.where((F.col("n") > low * total) & (F.col("n") <= F.greatest(F.lit(high * total), F.lit(2.0)))).select(
-        "term", subset_mask(F.col("term")).alias("mask")))
+        "term", term_number(F.col("term")).alias("number")))
     return kept, kept.count()
 
 
 def _digest(found: Column) -> Column:
     """Short hash of sorted terms; empty if there are none."""
     return F.when(F.size(found) > 0, F.substring(F.md5(F.array_join(
-        F.transform(found, lambda t: t["term"]), " ").cast("binary")), 1, 8)).otherwise("")
+        F.transform(found, lambda t: F.shiftright(t, SUBSETS).cast("string")), " ").cast("binary")), 1, 8)).otherwise("")
 
 
 def _subset(found: Column, k: int) -> Column:
-    return F.filter(found, lambda t: t["mask"].bitwiseAND(F.lit(1 << k).cast("bigint")) != 0)
+    return F.filter(found, lambda t: t.bitwiseAND(F.lit(1 << k).cast("bigint")) != 0)
 
 
 def signatures(found: Column, whole: Column) -> Column:
-    """Hashes of a sorted array of (term, mask): of all, then of each subset; `whole` where there are none."""
+    """Hashes of sorted term numbers: of all, then of each subset; `whole` where there are none."""
     first = F.when(F.size(found) > 0, _digest(found)).otherwise(F.concat(F.lit("t"), F.substring(whole, 1, 16)))
     return F.array(first, *[_digest(_subset(found, k)) for k in range(SUBSETS)])
 
@@ -87,13 +89,15 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (id, text, place, next_text, next_place): the next by falling id; the first follows the last.
 
+    A place is a number: that of an id range, then the row's in it.
+
     The table is cut into id ranges; the first row of each is copied to the end
     of the one before it, so one exchange and a window inside the ranges do.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = rows.count()
-    # Blocks fall with the id; null ids are the last block.
-    block = F.coalesce(-key_blocks(rows, "id", rows=max(4_000, total // 65_536)), F.lit(2**40)).cast("bigint")
+    # Blocks rise as ids fall; null ids are the last block.
+    block = F.coalesce(F.lit(2**30) - key_blocks(rows, "id", rows=max(4_000, total // 65_536)), F.lit(2**30 + 1)).cast("bigint")
     blocked = rows.withColumn("block", block)
     heads = blocked.groupBy("block").agg(F.max("id").alias("head"))
     order, every = W.orderBy("block"), W.partitionBy(F.lit(1))
@@ -109,9 +113,9 @@ def with_next(docs: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     seen = dealt.withColumns({"rn": F.row_number().over(inside), "next_text": F.lead("text").over(inside),
                               "next_copy": F.lead("copy").over(inside)})
     return seen.where("copy = 0").select(
-        "id", "text", F.struct("at", "rn").alias("place"), "next_text",
-        F.when(F.col("next_copy") == 1, F.struct(F.col("later").alias("at"), F.lit(1).alias("rn"))).otherwise(
-            F.struct(F.col("at"), (F.col("rn") + 1).alias("rn"))).alias("next_place"))
+        "id", "text", (F.shiftleft("at", 32) + F.col("rn")).alias("place"), "next_text",
+        F.when(F.col("next_copy") == 1, F.shiftleft("later", 32) + 1).otherwise(
+            F.shiftleft("at", 32) + F.col("rn") + 1).alias("next_place"))
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -124,27 +128,27 @@ def edited(text: Column, following: Column) -> Column:
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: fingerprints of its text and its edited text, and their likeness."""
     band, size = lexicon(docs, text)
+    # The empty term is in no text; its row carries what is known of the document.
+    band = band.unionByName(docs.sparkSession.createDataFrame([("", None)], "term string, number bigint"))
     band = F.broadcast(band) if size <= BROADCAST_TERMS else band
     paired = with_next(docs, id_column, text).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    facts = paired.select(
-        "id", "place", "next_place", F.length("text").cast("bigint").alias("n_chars"),
+    facts = F.struct(
+        "id", "next_place", F.length("text").cast("bigint").alias("n_chars"),
         F.sha2(F.col("edited"), 256).alias("edited_sha256"),
         F.md5(folded(F.col("text")).cast("binary")).alias("whole"),
-        F.md5(folded(F.col("edited")).cast("binary")).alias("edited_whole"),
-        F.explode(F.array(F.struct(F.lit(0).alias("v"), terms(F.col("text")).alias("terms")),
-                          F.struct(F.lit(1).alias("v"), terms(F.col("edited")).alias("terms")))).alias("side"))
-    single = facts.select(
-        "id", "place", "next_place", "n_chars", "edited_sha256", "whole", "edited_whole", F.col("side.v").alias("v"),
-        F.explode_outer("side.terms").alias("term"))
-    known = single.join(band, "term", "left")
-    hit = F.when(F.col("mask").isNotNull(), F.struct("term", "mask"))
+        F.md5(folded(F.col("edited")).cast("binary")).alias("edited_whole"))
+    none = F.lit(None).cast(paired.select(facts.alias("f")).schema["f"].dataType)
+    sides = paired.select("place", F.explode(F.array(
+        F.struct(F.lit(0).alias("v"), facts.alias("facts"), F.array(F.lit("")).alias("terms")),
+        F.struct(F.lit(1).alias("v"), none.alias("facts"), terms(F.col("text")).alias("terms")),
+        F.struct(F.lit(2).alias("v"), none.alias("facts"), terms(F.col("edited")).alias("terms")))).alias("side"))
+    single = sides.select("place", "side.v", "side.facts", F.explode("side.terms").alias("term"))
+    known = single.join(band, "term")
     # Rows of one document lie together, so the partial sums leave one row each.
     grouped = known.groupBy("place").agg(
-        F.first("id").alias("id"), F.first("next_place").alias("next_place"), F.first("n_chars").alias("n_chars"),
-        F.first("edited_sha256").alias("edited_sha256"), F.first("whole").alias("whole"),
-        F.first("edited_whole").alias("edited_whole"),
-        F.collect_set(F.when(F.col("v") == 0, hit)).alias("a"), F.collect_set(F.when(F.col("v") == 1, hit)).alias("b"))
-    ordered = grouped.withColumns({"a": F.array_sort("a"), "b": F.array_sort("b")})
+        F.max("facts").alias("facts"), F.collect_list(F.when(F.col("v") == 1, F.col("number"))).alias("a"),
+        F.collect_list(F.when(F.col("v") == 2, F.col("number"))).alias("b"))
+    ordered = grouped.select("place", "facts.*", F.array_sort("a").alias("a"), F.array_sort("b").alias("b"))
     marked = written(ordered.select(
         "id", "place", "next_place", "n_chars", "edited_sha256",
         signatures(F.col("a"), F.col("whole")).alias("own"),

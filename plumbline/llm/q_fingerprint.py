@@ -13,19 +13,20 @@ def _words(text: str) -> str:
 
 
 _FOLD = f"translate({{}}, '{fp.UPPER}', '{fp.LOWER}')"
-_MASK = " + ".join(
+_NUMBER = f"(('0x' || substr(md5(term), 1, 12))::BIGINT % {1 << 39}) * {1 << fp.SUBSETS} + " + " + ".join(
     f"CASE WHEN ('0x' || substr(md5('{k}:' || term), 1, 8))::BIGINT % {2 ** (k % fp.RATES + 1)} = 0 THEN {1 << k}::BIGINT ELSE 0::BIGINT END"
     for k in range(fp.SUBSETS))
 
 
 def _digest(found: str) -> str:
-    return f"CASE WHEN len({found}) > 0 THEN substr(md5(array_to_string({found}, ' ')), 1, 8) ELSE '' END"
+    codes = f"list_transform({found}, lambda t: t >> {fp.SUBSETS})"
+    return f"CASE WHEN len({found}) > 0 THEN substr(md5(array_to_string({codes}, ' ')), 1, 8) ELSE '' END"
 
 
 def _signatures(found: str, whole: str) -> str:
-    parts = [_digest(f"list_transform(list_filter({found}, lambda t: t.mask & {1 << k} <> 0), lambda t: t.term)")
+    parts = [_digest(f"list_filter({found}, lambda t: t & {1 << k} <> 0)")
              for k in range(fp.SUBSETS)]
-    first = (f"CASE WHEN len({found}) > 0 THEN {_digest(f'list_transform({found}, lambda t: t.term)')} "
+    first = (f"CASE WHEN len({found}) > 0 THEN {_digest(found)} "
              f"ELSE 't' || substr({whole}, 1, 16) END")
     return f"[{first}, {', '.join(parts)}]"
 
@@ -49,13 +50,13 @@ e AS (
 t AS (
   SELECT rn, {_words(_FOLD.format('text'))} AS own, {_words(_FOLD.format('edited'))} AS changed FROM e),
 lex AS (
-  SELECT term, {_MASK} AS mask FROM (
+  SELECT term, {_NUMBER} AS number FROM (
     SELECT term, count(*) AS c FROM (SELECT unnest(own) AS term FROM t) GROUP BY term)
   WHERE c > {fp.LOW} * (SELECT count(*) FROM d) AND c <= greatest({fp.HIGH} * (SELECT count(*) FROM d), 2.0)),
 hits AS (
   SELECT rn, 0 AS v, unnest(own) AS term FROM t UNION ALL SELECT rn, 1, unnest(changed) FROM t),
 found AS (
-  SELECT rn, v, list({{'term': term, 'mask': mask}} ORDER BY term) AS found FROM hits JOIN lex USING (term) GROUP BY rn, v),
+  SELECT rn, v, list(number ORDER BY number) AS found FROM hits JOIN lex USING (term) GROUP BY rn, v),
 both_ AS (
   SELECT e.*, coalesce(a.found, []) AS fa, coalesce(b.found, []) AS fb FROM e
   LEFT JOIN found a ON a.rn = e.rn AND a.v = 0 LEFT JOIN found b ON b.rn = e.rn AND b.v = 1),
