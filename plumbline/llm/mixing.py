@@ -65,21 +65,24 @@ def copies(rate: Column, chance: Column) -> Column:
     return (whole + F.when(chance < rate - whole, 1).otherwise(0)).cast("bigint")
 
 
+def _planned(docs: DataFrame, kept: list[str], id_column: str, text: str, source: str, seed: int) -> DataFrame:
+    """The kept columns as a struct `__row`, with size, source_size, target and copies."""
+    sized = docs.select(F.struct(*kept).alias("__row"), F.col(id_column).alias("__id"), size_of(text).alias("__size"),
+                        F.struct(F.col(source).alias("s")).alias("__source"))
+    table = rates(sized.withColumn("__s", F.col("__source.s")), "__s", "__size")
+    joined = join_bounded(sized, table, "__source", F.col("__id"))
+    return joined.select("__row", F.col("__size").alias("size"), "source_size", "target",
+                         copies(F.col("__rate"), draw("__id", seed)).alias("copies"))
+
+
 def plan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source",
-         seed: int = 7, keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns with size, source_size, target and the number of copies of each document."""
-    kept = keep or [id_column]
-    sized = docs.select(*kept, *[c for c in (id_column, source) if c not in kept], size_of(text).alias("__size"))
-    table = rates(sized, source, "__size")
-    keyed = sized.withColumn("__source", F.struct(F.col(source).alias("s")))
-    joined = join_bounded(keyed, table, "__source", F.col(id_column))
-    return joined.select(
-        *kept, F.col("__size").alias("size"), "source_size", "target",
-        copies(F.col("__rate"), draw(id_column, seed)).alias("copies"))
+         seed: int = 7) -> DataFrame:
+    """The id of every row with its size, source_size, target and number of copies."""
+    return _planned(docs, [id_column], id_column, text, source, seed).select(
+        f"__row.{id_column}", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7) -> DataFrame:
     """The mixed table: every row as often as its copies say."""
-    planned = plan(docs, id_column, text, source, seed, docs.columns).withColumn(
-        "__copy", F.explode(F.expr("array_repeat(1, cast(copies as int))")))
-    return planned.select(*docs.columns)
+    planned = _planned(docs, docs.columns, id_column, text, source, seed)
+    return planned.select("__row", F.explode(F.expr("array_repeat(1, cast(copies as int))"))).select("__row.*")
