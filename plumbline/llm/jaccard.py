@@ -14,9 +14,10 @@ exact; no pair of a class of copies is formed, and no bucket is capped.
    becomes one sorted segment per fragment.
 3. Candidates. A linked pair shares one of the first n - ceil(percent % n) + 1
    shingles of either set. Per shingle, the set with the most common shingles is
-   the centre, and each set is first compared with its best centre only. Then
-   sets that are not yet in one component are compared, if their sizes and their
-   shared shingles can reach the threshold.
+   the centre, and each set is first compared with its best centre only. Sets of
+   one centre that are not yet in one component are compared by what they have
+   beyond their centre and lack of it, in pairs of blocks; sets of different
+   centres by the shingles they share, if their sizes can reach the threshold.
 4. Verification. Per fragment and pair the segments' overlap is counted; the
    partial overlaps are summed per pair and compared with the union.
 
@@ -42,6 +43,12 @@ from plumbline.session import written
 PREFIX_PERCENT = 30
 SEGMENTS = 8
 FLUSH_SHINGLES = 2_000_000
+FLUSH_TEXTS = 60_000
+#: Bytes of a hash in the filter; equal cut hashes only let a set pass.
+CUT_BYTES = 5
+#: Sets per block when the members of one centre are compared.
+BLOCK_SETS = 512
+BROADCAST_SETS = 500_000
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +119,7 @@ def _unshared(docs: DataFrame, text: str, n: int, fragments: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        total = 0
+        total = texts_held = 0
         for batch in batches:
             for part in slices(batch):
                 rows, grams = shingle_sets(part.column("text"), n)
@@ -123,9 +130,10 @@ def _unshared(docs: DataFrame, text: str, n: int, fragments: int) -> DataFrame:
                 taken = np.arange(len(rows)) - at[rows] < -(-size[rows] * PREFIX_PERCENT // 100)
                 held.append((one[rows[taken]], grams[taken]))
                 total += int(taken.sum())
-                if total >= FLUSH_SHINGLES:
+                texts_held += part.num_rows
+                if total >= FLUSH_SHINGLES or texts_held > FLUSH_TEXTS:
                     yield from _fragment_rows(held, fragments)
-                    held, total = [], 0
+                    held, total, texts_held = [], 0, 0
         if held:
             yield from _fragment_rows(held, fragments)
 
@@ -138,8 +146,9 @@ def _unshared(docs: DataFrame, text: str, n: int, fragments: int) -> DataFrame:
                     yield _lonely(held)
                     held = []
                 now = fragment
-                held.append(tuple(np.frombuffer(batch.column(c)[k].as_buffer(), t)
-                                  for c, t in (("grams", np.uint64), ("owner", np.uint32), ("sets", np.uint64))))
+                held.append((_wide(batch.column("grams")[k].as_py()),
+                             np.frombuffer(batch.column("owner")[k].as_buffer(), np.uint16),
+                             np.frombuffer(batch.column("sets")[k].as_buffer(), np.uint64)))
         if held:
             yield _lonely(held)
 
@@ -149,8 +158,18 @@ def _unshared(docs: DataFrame, text: str, n: int, fragments: int) -> DataFrame:
     return dealt.mapInArrow(counted, "s1 bigint, unshared bigint").groupBy("s1").agg(F.sum("unshared").alias("unshared"))
 
 
+def _narrow(values: np.ndarray) -> bytes:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CUT_BYTES].tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // CUT_BYTES, 8), np.uint8)
+    out[:, :CUT_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, CUT_BYTES)
+    return out.reshape(-1).view("<u8")
+
+
 #: Owner of a shingle that several sets of one task have.
-_MANY = np.uint32(0xFFFFFFFF)
+_MANY = np.uint16(0xFFFF)
 
 
 def _fragment_rows(held: list[tuple[np.ndarray, np.ndarray]], fragments: int) -> Iterator[pa.RecordBatch]:
@@ -158,10 +177,11 @@ def _fragment_rows(held: list[tuple[np.ndarray, np.ndarray]], fragments: int) ->
     sets, grams = (np.concatenate(c) for c in zip(*held))
     known, owner_ = np.unique(sets, return_inverse=True)
     fragment = grams % np.uint64(fragments)
+    grams = grams >> np.uint64(64 - 8 * CUT_BYTES)
     order = np.lexsort((owner_, grams, fragment))
-    grams, owner_, fragment = grams[order], owner_[order].astype(np.uint32), fragment[order]
+    grams, owner_, fragment = grams[order], owner_[order].astype(np.uint16), fragment[order]
     new = np.ones(len(grams), bool)
-    new[1:] = grams[1:] != grams[:-1]
+    new[1:] = (grams[1:] != grams[:-1]) | (fragment[1:] != fragment[:-1])
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(grams)]]) - 1
     one = owner_[first].copy()
@@ -175,9 +195,9 @@ def _fragment_rows(held: list[tuple[np.ndarray, np.ndarray]], fragments: int) ->
             mine = one[a:b]
             single = mine != _MANY
             used, place = np.unique(mine[single], return_inverse=True)
-            packed = np.full(b - a, _MANY, np.uint32)
+            packed = np.full(b - a, _MANY, np.uint16)
             packed[single] = place
-            out.append((f, grams[a:b].tobytes(), packed.tobytes(), known[used].tobytes()))
+            out.append((f, _narrow(grams[a:b]), packed.tobytes(), known[used].tobytes()))
     kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
                                      names=["fragment", "grams", "owner", "sets"])
@@ -223,17 +243,6 @@ def _can_link(a: str, b: str, percent: int) -> Column:
     return most * (100 + percent) >= (F.col(f"{a}.size") + F.col(f"{b}.size")) * percent
 
 
-def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, size_a, size_b) that link: segment overlaps per fragment, summed per pair."""
-    left = segments.select(F.col("v").alias("a"), "fragment", F.col("grams").alias("grams_a"))
-    right = segments.select(F.col("v").alias("b"), "fragment", F.col("grams").alias("grams_b"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select(
-        "a", "b", "size_a", "size_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("part"))
-    summed = partial.groupBy("a", "b", "size_a", "size_b").agg(F.sum("part").alias("overlap"))
-    return summed.where(F.col("overlap") * 100 >= (F.col("size_a") + F.col("size_b") - F.col("overlap")) * percent).select(
-        "a", "b")
-
-
 def _ordered(docs: DataFrame, sets: DataFrame, n: int, percent: int, id_column: str, text: str) -> DataFrame:
     """Sets that may have a partner: (v, size, shared, weight, grams by the global order, rarest first)."""
     fragments = 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -241,38 +250,149 @@ def _ordered(docs: DataFrame, sets: DataFrame, n: int, percent: int, id_column:
     alive = sets.join(lonely, "s1", "left").where(
         F.coalesce("unshared", F.lit(0)) * 100 <= F.col("size") * (100 - percent)).select("v", "tie")
     texts = docs.select(F.col(id_column).alias("v"), _tie(text).alias("tie"), F.col(text).alias("text"))
+    alive = written(alive)
+    # Few sets remain; texts move only if they are many.
+    alive = F.broadcast(alive) if alive.count() <= BROADCAST_SETS else alive
     chosen = texts.join(alive, ["v", "tie"]).groupBy("v", "tie").agg(F.min("text").alias("text"))
     grams = written(_grams_of(chosen.select("v", "text"), n))
     common = grams.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # The global order: how many sets have a shingle, then its hash as a fraction.
-    place = F.col("df") + (F.col("h") / F.lit(2.0**64) + 0.5)
+    # The global order: how many sets have a shingle, then its hash.
     return written(grams.join(common, "h").groupBy("v", "size").agg(
         F.count(F.lit(1)).alias("shared"), F.sum("df").alias("weight"),
-        F.sort_array(F.collect_list(F.struct(place.alias("o"), "h"))).alias("grams")).where(
+        F.sort_array(F.collect_list(F.struct(F.col("df").cast("int").alias("df"), "h"))).alias("grams")).where(
             F.col("shared") >= _reach(F.col("size"), percent)))
 
 
+def _place(g: Column) -> Column:
+    """Place in the global order as one number."""
+    return g["df"] + (g["h"] / F.lit(2.0**64) + 0.5)
+
+
 def _segments(ordered: DataFrame) -> DataFrame:
     """(v, fragment, grams): each set cut where quantiles cut the global order."""
-    places = ordered.select(F.explode("grams.o").alias("o"))
+    places = ordered.select(F.explode("grams").alias("g")).select(_place(F.col("g")).alias("o"))
     cuts = places.select(F.percentile_approx("o", [i / SEGMENTS for i in range(1, SEGMENTS)], 1000)).first()[0] or []
     bounds = [None, *sorted(set(cuts)), None]
 
     def within(low: float | None, high: float | None) -> Column:
         def inside(g: Column) -> Column:
-            above = F.lit(True) if low is None else g["o"] >= low
-            return above if high is None else above & (g["o"] < high)
+            above = F.lit(True) if low is None else _place(g) >= low
+            return above if high is None else above & (_place(g) < high)
 
         return F.transform(F.filter("grams", inside), lambda g: g["h"])
 
     cut = F.array(*[within(low, high) for low, high in zip(bounds[:-1], bounds[1:])])
-    return ordered.select("v", F.posexplode(cut).alias("fragment", "grams")).where(F.size("grams") > 0)
+    return ordered.select("v", F.posexplode(cut).alias("fragment", "grams"))
+
+
+def _overlaps(pairs: DataFrame, segments: DataFrame, differences: bool) -> DataFrame:
+    """The pairs' columns with their overlap: counted per fragment, summed per pair.
+
+    With `differences` also the shingles only a has (more) and only b has (less).
+    """
+    left = segments.select(F.col("v").alias("a"), "fragment", F.col("grams").alias("x"))
+    right = segments.select(F.col("v").alias("b"), "fragment", F.col("grams").alias("y"))
+    joined = pairs.join(left, "a").join(right, ["b", "fragment"])
+    sums = [F.sum(F.size(F.array_intersect("x", "y"))).alias("overlap")]
+    if differences:
+        sums += [F.flatten(F.collect_list(F.array_except("x", "y"))).alias("more"),
+                 F.flatten(F.collect_list(F.array_except("y", "x"))).alias("less")]
+    return joined.groupBy(*pairs.columns).agg(*sums)
+
+
+def _linked(overlap: str, a: str, b: str, percent: int) -> Column:
+    return F.col(overlap) * 100 >= (F.col(a) + F.col(b) - F.col(overlap)) * percent
+
+
+def _within_centres(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) links that join components among the sets of each centre.
+
+    `members` has (c, size_c, v, size, component, more, less): what a set has
+    beyond its centre and what it lacks of it. The overlap of two sets follows
+    from these: size_c - |less_a or less_b| + |more_a and more_b|. Sets that are
+    not in the centre's main component meet all sets of the centre in pairs of
+    blocks; a task holds one pair and returns only links that join components.
+    """
+    count = F.count(F.lit(1)).alias("n")
+    sizes = members.groupBy("c", "component").agg(count)
+    mains = sizes.groupBy("c").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"),
+                                   F.count(F.lit(1)).alias("k")).where("k > 1")
+    blocks = F.ceil(F.col("n") / BLOCK_SETS).cast("int")
+    dealt = members.join(mains.select("c", F.col("m.component").alias("main"), blocks.alias("blocks")), "c").withColumn(
+        "block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    # As the open side a set meets every block, as the other side every block meets it.
+    asks = dealt.where("component <> main").select("*", F.lit(0).alias("side"), F.explode(every).alias("other"))
+    gives = dealt.select("*", F.lit(1).alias("side"), F.explode(every).alias("other"))
+    columns = ["c", "size_c", "v", "size", "component", "more", "less", "side"]
+    rows = asks.select(*columns, F.col("block").alias("i"), F.col("other").alias("j")).unionByName(
+        gives.select(*columns, F.col("other").alias("i"), F.col("block").alias("j")))
+    kind = members.schema["v"].dataType.simpleString()
+    meet = rows.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "side")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                at = (row["c"], row["i"], row["j"])
+                if held and at != key:
+                    yield _block_links(held, percent)
+                    held = []
+                key = at
+                held.append(row)
+        if held:
+            yield _block_links(held, percent)
+
+    return meet.mapInArrow(compared, f"a {kind}, b {kind}")
+
+
+def _block_links(rows: list[dict], percent: int) -> pa.RecordBatch:
+    """Links of one pair of blocks that join components."""
+    x, y = [r for r in rows if r["side"] == 0], [r for r in rows if r["side"] == 1]
+    out: list[tuple] = []
+    if x and y:
+        both = _shared_counts([r["more"] for r in x], [r["more"] for r in y])
+        both += _shared_counts([r["less"] for r in x], [r["less"] for r in y])
+        lack_x, lack_y = (np.array([len(r["less"]) for r in side]) for side in (x, y))
+        overlap = x[0]["size_c"] - lack_x[:, None] - lack_y[None, :] + both
+        size_x, size_y = (np.array([r["size"] for r in side]) for side in (x, y))
+        link = overlap * 100 >= (size_x[:, None] + size_y[None, :] - overlap) * percent
+        parent: dict = {}
+
+        def root(c):
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        for i, j in zip(*np.nonzero(link)):
+            a, b = root(x[i]["component"]), root(y[j]["component"])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((x[i]["v"], y[j]["v"]))
+    return pa.RecordBatch.from_pydict({"a": [o[0] for o in out], "b": [o[1] for o in out]}) if out else \
+        pa.RecordBatch.from_pydict({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+
+def _shared_counts(x: list[list[int]], y: list[list[int]]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets."""
+    out = np.zeros((len(x), len(y)), np.int64)
+    xs, ys = np.concatenate([np.array(v, np.int64) for v in x]), np.concatenate([np.array(v, np.int64) for v in y])
+    xi, yi = np.repeat(np.arange(len(x)), [len(v) for v in x]), np.repeat(np.arange(len(y)), [len(v) for v in y])
+    order = np.argsort(ys, kind="stable")
+    ys, yi = ys[order], yi[order]
+    low, high = np.searchsorted(ys, xs, "left"), np.searchsorted(ys, xs, "right")
+    for i in range(len(x)):
+        mine = xi == i
+        spans = [yi[a:b] for a, b in zip(low[mine], high[mine]) if a < b]
+        if spans:
+            out[i] = np.bincount(np.concatenate(spans), minlength=len(y))
+    return out
 
 
 def links(docs: DataFrame, sets: DataFrame, n: int, percent: int, id_column: str, text: str) -> DataFrame:
     """(a, b) links between representatives that join the components of different sets."""
     ordered = _ordered(docs, sets, n, percent, id_column, text)
-    segments = written(_segments(ordered))
+    segments = _segments(ordered)
     # Shingles that no other set has come before all others and cannot be shared.
     first = F.col("size") - _reach(F.col("size"), percent) + 1 - (F.col("size") - F.col("shared"))
     prefix = written(ordered.select("v", "size", "shared", "weight", F.explode(
@@ -283,23 +403,33 @@ def links(docs: DataFrame, sets: DataFrame, n: int, percent: int, id_column: str
     best = prefix.join(centres, "h").groupBy("v", "size", "shared").agg(F.max("c").alias("c"))
     stars = best.where("c.score.v <> v").select(
         F.col("v").alias("a"), F.col("c.score.v").alias("b"), F.col("size").alias("size_a"),
-        F.col("c.size").alias("size_b"), F.struct("size", "shared").alias("x"), F.col("c").alias("y"))
-    star_links = written(_verified(stars.where(_can_link("x", "y", percent)).drop("x", "y"), segments, percent))
-
-    near = components(star_links)
-    placed = written(prefix.join(near.withColumnRenamed("vertex", "v"), "v", "left").withColumn(
-        "component", F.coalesce("component", "v")))
-    # A shingle's largest component is its main one; the other sets meet all sets of that shingle.
+        F.col("c.size").alias("size_b"), F.col("c.shared").alias("shared_b"))
+    compared = written(_overlaps(stars, segments, differences=True))
+    star_links = compared.where(_linked("overlap", "size_a", "size_b", percent)).select("a", "b")
+
+    near = written(components(star_links).withColumnRenamed("vertex", "v"))
+    # What only shows up in shingles that a set shares with no other set is in neither list.
+    members = compared.select(
+        F.col("b").alias("c"), F.col("shared_b").alias("size_c"), F.col("a").alias("v"), F.col("size_a").alias("size"),
+        "more", "less").join(near, "v", "left").withColumn("component", F.coalesce("component", "v"))
+    inner = _within_centres(members, percent)
+
+    # Pairs of different centres: per shingle the sets outside its main component meet all sets.
+    centre = compared.select(F.col("a").alias("v"), F.col("b").alias("centre"))
+    placed = written(prefix.join(near, "v", "left").join(centre, "v", "left").withColumns({
+        "component": F.coalesce("component", "v"), "centre": F.coalesce("centre", "v")}))
     sizes = placed.groupBy("h", "component").agg(F.count(F.lit(1)).alias("n"))
-    mains = sizes.groupBy("h").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    mains = sizes.groupBy("h").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("k"),
+                                   ).where("k > 1")
     open_ = placed.join(mains.select("h", F.col("m.component").alias("main")), "h")
     x, y = open_.where("component <> main").alias("x"), open_.alias("y")
-    differ = (F.col("x.component") != F.col("y.component")) & (
+    differ = (F.col("x.component") != F.col("y.component")) & (F.col("x.centre") != F.col("y.centre")) & (
         (F.col("y.component") == F.col("y.main")) | (F.col("x.v") < F.col("y.v")))
     more = x.join(y, (F.col("x.h") == F.col("y.h")) & differ & _can_link("x", "y", percent)).select(
         F.col("x.v").alias("a"), F.col("y.v").alias("b"), F.col("x.size").alias("size_a"),
         F.col("y.size").alias("size_b")).distinct()
-    return star_links.unionByName(_verified(more, segments, percent))
+    outer = _overlaps(more, segments, differences=False).where(_linked("overlap", "size_a", "size_b", percent)).select("a", "b")
+    return star_links.unionByName(inner).unionByName(outer)
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85, id_column: str = "doc_id", text: str = "text") -> DataFrame:
