@@ -13,7 +13,6 @@ from plumbline.operators import judge, metrics
 from plumbline.operators.sequence import chunk_items
 from plumbline.plans import tables as D
 from plumbline.plans.registry import query, rounded
-from plumbline.session import spread_single_file
 
 
 def _tenth(name):
@@ -22,7 +21,8 @@ def _tenth(name):
 
 def raw_answers(spark, d, axis="ahimsa"):
     """item_id, l_linenumber and the answer text of one axis."""
-    j = spread_single_file(D.judged(spark, d))
+    # The given table is one file of one row group; the answers of a cluster are many.
+    j = D.judged(spark, d).repartition("item_id")
     yes_no = F.when(F.col("has_professional_referral"), "yes").otherwise("no")
     bodies = {
         "ahimsa": F.concat(

@@ -12,8 +12,15 @@ from plumbline.streaming import jobs
 _DAY = "CAST(floor((epoch_us(ts) - 1704067200000000) / 86400000000) AS BIGINT)"
 
 
+#: Longer than the events last: files are cut across all steps and come in no order.
+_DELAY = "60 days"
+
+
 def _stream(spark, d):
-    return jobs.event_stream(spark, d, pattern="events.parquet")
+    """The events in six files by a hash of their id, two per micro-batch."""
+    path = shared_dir(spark)
+    D.events(spark, d).repartition(6, "event_id").write.parquet(path)
+    return jobs.event_stream(spark, path, files_per_batch=2)
 
 
 def _day():
@@ -27,7 +34,7 @@ def _values():
 
 @query("stream_step_means", f"SELECT user_id, {_DAY} AS step, count(*) AS n, round(avg(value / 97), 9) AS ahimsa, round(avg(1 / (1 + value / 97)), 9) AS dharma FROM events GROUP BY ALL")
 def stream_step_means(spark, d):
-    out = jobs.stream_step_means(_stream(spark, d), shared_dir(spark), "user_id", _day(), _values())
+    out = jobs.stream_step_means(_stream(spark, d), shared_dir(spark), "user_id", _day(), _values(), delay=_DELAY)
     return out.select("user_id", "step", "n", rounded("ahimsa"), rounded("dharma"))
 
 
@@ -36,13 +43,13 @@ _EMA = ORACLES["ema_mean_std"]
 
 @query("stream_ema", "SELECT run AS user_id, step, ema_ahimsa, ema_dharma, ema_helpfulness FROM (" + _EMA + ")")
 def stream_ema(spark, d):
-    out = jobs.stream_ema(_stream(spark, d), shared_dir(spark), "user_id", _day(), _values())
+    out = jobs.stream_ema(_stream(spark, d), shared_dir(spark), "user_id", _day(), _values(), delay=_DELAY)
     return out.select("user_id", "step", *[rounded(f"ema_{a}") for a in _values()])
 
 
 @query("stream_adaptive_weights", "SELECT run AS user_id, step, weight_ahimsa, weight_dharma, weight_helpfulness FROM (" + ORACLES["adaptive_weights"] + ")")
 def stream_adaptive_weights(spark, d):
-    out = jobs.stream_adaptive_weights(_stream(spark, d), shared_dir(spark), "user_id", _day(), _values())
+    out = jobs.stream_adaptive_weights(_stream(spark, d), shared_dir(spark), "user_id", _day(), _values(), delay=_DELAY)
     return out.select("user_id", "step", *[rounded(f"weight_{a}") for a in _values()])
 
 
@@ -56,7 +63,7 @@ def stream_error_alarm(spark, d):
 @query("stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(spark, d):
     """Evaluate-once over the whole stream: the watermark delay spans it."""
-    out = jobs.stream_dedupe(_stream(spark, d), shared_dir(spark), ["user_id", "event_type"], delay="60 days")
+    out = jobs.stream_dedupe(_stream(spark, d), shared_dir(spark), ["user_id", "event_type"], delay=_DELAY)
     return out.select("user_id", "event_type")
 
 

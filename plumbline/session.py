@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -24,17 +23,37 @@ def local_session(cpus: int | str = 8, app: str = "plumbline", memory: str = "12
     )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below the one the cluster names in spark.checkpoint.dir.
+#: Our own run-time setting; it goes before spark.checkpoint.dir.
+FOLDER_KEY = "plumbline.shared.dir"
+_made: list[str] = []
 
-    Only where that setting is missing (tests) a temporary folder is used and
-    set, so every later caller sees the same place.
+
+def shared_dir(spark: SparkSession, folder: str | None = None) -> str:
+    """A fresh folder for tables that several tasks or jobs read.
+
+    It lies below `folder`, else below the setting FOLDER_KEY, else below
+    spark.checkpoint.dir. On a cluster one of them must name a folder that all
+    machines share; only a local session falls back to a temporary one.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = folder or spark.conf.get(FOLDER_KEY, None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError(f"name a shared folder in spark.checkpoint.dir or in {FOLDER_KEY}")
         root = tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(root, f"plumbline-{uuid.uuid4().hex}")
+        spark.conf.set(FOLDER_KEY, root)
+    path = f"{root.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def remove_written(spark: SparkSession) -> int:
+    """Delete the folders this process has asked for so far; call it when no result is read any more."""
+    jvm, removed = spark._jvm, 0
+    for path in _made:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        removed += bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True))
+    _made.clear()
+    return removed
 
 
 def written(df: DataFrame, partitions: list[str] | None = None) -> DataFrame:
@@ -47,14 +66,3 @@ def written(df: DataFrame, partitions: list[str] | None = None) -> DataFrame:
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread_single_file(df: DataFrame) -> DataFrame:
-    """Spread a one-file table over the cores before costly work per row.
-
-    Such a file is often one row group, which a scan gives to one task. Tables
-    of several files have splits enough and are not exchanged.
-    """
-    if len(df.inputFiles()) != 1:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

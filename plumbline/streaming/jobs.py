@@ -11,13 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline import config as C
-from plumbline.operators.sequence import adaptive_weights, ema_scan
-from plumbline.operators.ordering import running_sums
+from plumbline.operators.sequence import adaptive_weights, ema_scan, error_rate_alarm
 from plumbline.schemas import EVENTS
 
 
-def event_stream(spark: SparkSession, path: str, pattern: str | None = None, files_per_batch: int = 1) -> DataFrame:
-    reader = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch)
+def event_stream(spark: SparkSession, path: str, pattern: str | None = None,
+                 files_per_batch: int | None = None) -> DataFrame:
+    """Event files as a stream; without `files_per_batch` Spark takes what is there."""
+    reader = spark.readStream.schema(EVENTS)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.parquet(path)
@@ -33,186 +36,75 @@ def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFram
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def run_batches(stream: DataFrame, path: str, handle) -> None:
-    """Call handle(batch, batch_id) for every micro-batch until nothing is left."""
-    query = (
-        stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-
-
 def stream_step_means(stream: DataFrame, path: str, run: str, step: Column, values: dict[str, Column],
-                      delay: str = "1 day") -> DataFrame:
+                      delay: str = "1 day", piece: str = "1 day") -> DataFrame:
     """Mean per run and step, updated while rows of the step arrive.
 
-    State is dropped once the watermark passes; later rows are late and ignored.
-    The newest version of a step wins on reading.
+    Spark keeps sums per run, step and `piece` of event time, and drops a piece
+    once the watermark has passed it; rows later than `delay` are ignored. Each
+    micro-batch writes the pieces it changed. Reading takes the newest version
+    of every piece and adds the pieces of a step, so a step may span any number
+    of pieces and micro-batches, in any order within the delay.
     """
-    aggs = [F.avg(v).alias(n) for n, v in values.items()]
-    means = stream.withWatermark("ts", delay).groupBy(
-        F.window("ts", "1 day").alias("day"), run, step.alias("step")
+    aggs = [a for n, v in values.items() for a in (F.sum(v).alias(f"__s_{n}"), F.count(v).alias(f"__c_{n}"))]
+    sums = stream.withWatermark("ts", delay).groupBy(
+        F.window("ts", piece).alias("piece"), run, step.alias("step")
     ).agg(F.count(F.lit(1)).alias("n"), *aggs)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.drop("day").withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{path}/out/batch={batch_id}"
-        )
+        batch.withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
 
     query = (
-        means.writeStream.outputMode("update").foreachBatch(handle)
+        sums.writeStream.outputMode("update").foreachBatch(handle)
         .option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    rows = stream.sparkSession.read.parquet(f"{path}/out")
-    latest = F.max_by(F.struct("n", *values), "version").alias("r")
-    return rows.groupBy(run, "step").agg(latest).select(run, "step", "r.*")
-
+    return step_means(stream.sparkSession.read.parquet(f"{path}/out"), run, list(values))
 
-class RunState:
-    """One row of state per run, a full table per micro-batch.
 
-    Micro-batch n reads version n-1 and writes version n, so a replayed batch
-    finds the state it first saw and overwrites its own result.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, run: str):
-        self.spark, self.path, self.run = spark, path, run
-
-    def before(self, batch_id: int) -> DataFrame | None:
-        if batch_id == 0:
-            return None
-        return self.spark.read.parquet(f"{self.path}/state/version={batch_id - 1}")
-
-    def save(self, batch_id: int, changed: DataFrame) -> None:
-        prior = self.before(batch_id)
-        rows = changed
-        if prior is not None:
-            rows = changed.unionByName(prior.join(changed.select(self.run), self.run, "left_anti"))
-        rows.write.mode("overwrite").parquet(f"{self.path}/state/version={batch_id}")
-
-
-def _fold_steps(means: DataFrame, batch_id: int, path: str, run: str, axes: list[str], scan) -> None:
-    """Scan the new steps of one micro-batch from the stored state of their runs.
-
-    The batch is one row per run and step before anything order-dependent
-    happens, and the scan itself works in parallel blocks: a run that is a
-    third of the stream is no bottleneck. Steps not after the last folded one
-    are late and go to a side table.
-    """
-    spark = means.sparkSession
-    state = RunState(spark, path, run)
-    prior = state.before(batch_id)
-    steps, last = means, None
-    if prior is not None:
-        last = prior.select(run, F.col("last_step").alias("__last"))
-        marked = means.join(last, run, "left")
-        marked.where("step <= __last").drop("__last").write.mode("overwrite").parquet(f"{path}/late/version={batch_id}")
-        steps = marked.where("__last IS NULL OR step > __last").select(run, "step", *axes)
-        active = prior.join(steps.select(run).distinct(), run, "left_semi")
-        steps = steps.unionByName(active.select(run, F.col("last_step").alias("step"), *axes))
-    out = scan(steps, prior)
-    if last is not None:
-        out = out.join(last, run, "left").where("__last IS NULL OR step > __last").drop("__last")
-    target = f"{path}/out/version={batch_id}"
-    out.write.mode("overwrite").parquet(target)
-    done = spark.read.schema(out.schema).parquet(target)
-    state.save(batch_id, done.groupBy(run).agg(
-        F.max("step").alias("last_step"), *[F.max_by(f"state_{a}", "step").alias(a) for a in axes]
-    ))
+def step_means(pieces: DataFrame, run: str, names: list[str]) -> DataFrame:
+    """One row per run and step from the written versions of its pieces."""
+    columns = ["n", *[f"__{k}_{n}" for n in names for k in "sc"]]
+    newest = pieces.groupBy(run, "step", "piece").agg(F.max_by(F.struct(*columns), "version").alias("r"))
+    total = newest.groupBy(run, "step").agg(*[F.sum(f"r.{c}").alias(c) for c in columns])
+    return total.select(run, "step", "n", *[
+        F.when(F.col(f"__c_{n}") > 0, F.col(f"__s_{n}") / F.col(f"__c_{n}")).alias(n) for n in names])
 
 
 def stream_ema(stream: DataFrame, path: str, run: str, step: Column, values: dict[str, Column],
-               alpha: float = C.EMA_ALPHA) -> DataFrame:
-    """EMA of the per-step means; a resumed run continues from its stored average.
+               alpha: float = C.EMA_ALPHA, delay: str = "1 day") -> DataFrame:
+    """EMA of the per-step means as far as rows have arrived.
 
-    The stored average re-enters as the first row of the run, which seeds the
-    scan exactly as an uninterrupted one.
+    The order of steps matters, that of rows does not: the stream keeps the step
+    sums, and the scan goes over one small row per run and step, in parallel
+    blocks. A step that still changes changes its average and the later ones.
     """
     axes = list(values)
-
-    def scan(steps: DataFrame, _prior) -> DataFrame:
-        out = ema_scan(steps, [run], "step", axes, alpha)
-        return out.withColumns({f"state_{a}": F.col(f"ema_{a}") for a in axes})
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        means = batch.groupBy(run, step.alias("step")).agg(*[F.avg(v).alias(n) for n, v in values.items()])
-        _fold_steps(means, batch_id, path, run, axes, scan)
-
-    run_batches(stream, path, handle)
-    return stream.sparkSession.read.parquet(f"{path}/out").select(run, "step", *[f"ema_{a}" for a in axes])
+    means = stream_step_means(stream, path, run, step, values, delay)
+    return ema_scan(means, [run], "step", axes, alpha).select(run, "step", *[f"ema_{a}" for a in axes])
 
 
 def stream_adaptive_weights(stream: DataFrame, path: str, run: str, step: Column, values: dict[str, Column],
-                            strategy: str = "mean_inverse") -> DataFrame:
-    """Axis weights per step; the state of a run is its three running means."""
-    axes = ["ahimsa", "dharma", "helpfulness"]
-    g = C.ADAPTIVE_GAMMA
-
-    def scan(steps: DataFrame, prior: DataFrame | None) -> DataFrame:
-        if prior is not None:
-            # a stored mean m re-enters as the value that moves the start value to m
-            known = prior.select(run, F.col("last_step").alias("step"), F.lit(True).alias("__resume"))
-            steps = steps.join(known, [run, "step"], "left")
-            steps = steps.select(run, "step", *[
-                F.when(F.col("__resume"), (F.col(a) - (1 - g) * C.ADAPTIVE_START) / g).otherwise(F.col(a)).alias(a)
-                for a in axes
-            ])
-        out = adaptive_weights(steps, run, "step", strategy)
-        return out.withColumns({f"state_{a}": F.col(f"mean_{a}") for a in axes})
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        means = batch.groupBy(run, step.alias("step")).agg(*[F.avg(v).alias(n) for n, v in values.items()])
-        _fold_steps(means, batch_id, path, run, axes, scan)
-
-    run_batches(stream, path, handle)
-    return stream.sparkSession.read.parquet(f"{path}/out").select(run, "step", *[f"weight_{a}" for a in axes])
+                            strategy: str = "mean_inverse", delay: str = "1 day") -> DataFrame:
+    """Axis weights per step, from the same step sums."""
+    means = stream_step_means(stream, path, run, step, values, delay)
+    weights = adaptive_weights(means, run, "step", strategy)
+    return weights.select(run, "step", *[f"weight_{a}" for a in ("ahimsa", "dharma", "helpfulness")])
 
 
-def stream_error_alarm(stream: DataFrame, path: str, run: str, order: list[str], block: Callable[[DataFrame], Column], failed: Column,
+def stream_error_alarm(stream: DataFrame, path: str, run: str, order: list[str],
+                       block: Callable[[DataFrame], Column], failed: Column,
                        threshold: float = C.ERROR_RATE_THRESHOLD,
                        min_calls: int = C.ERROR_RATE_MIN_CALLS) -> DataFrame:
     """One alarm row per run at its first failed call above the error rate.
 
-    State per run: errors, calls, alarmed. The counts of a micro-batch are
-    block-wise running sums on top of the stored counts; a run is silent after
-    its alarm.
+    Whether a call is the first above the rate depends on all calls before it,
+    also those that arrive later. The stream appends the slim calls exactly
+    once; the alarms are read from them by block-wise running sums, so arrival
+    order does not matter and a hot run is many blocks.
     """
-    state = RunState(stream.sparkSession, path, run)
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        prior = state.before(batch_id)
-        calls = batch.select(run, *order, failed.alias("__failed"))
-        running = running_sums(calls, order, block(calls), [run], {
-            "calls": F.lit(1), "errors": F.col("__failed").cast("int"),
-        })
-        if prior is not None:
-            old = prior.select(run, F.col("errors").alias("__e"), F.col("calls").alias("__c"), "alarmed")
-            running = running.join(old, run, "left").withColumns({
-                "errors": F.col("errors") + F.coalesce("__e", F.lit(0)),
-                "calls": F.col("calls") + F.coalesce("__c", F.lit(0)),
-            })
-        else:
-            running = running.withColumn("alarmed", F.lit(False))
-        over = F.col("__failed") & (F.col("calls") >= min_calls) & (F.col("errors") / F.col("calls") > threshold)
-        was = F.coalesce("alarmed", F.lit(False))
-        hit = F.when(over & ~was, F.struct(*order, "errors", "calls"))
-        per_run = running.groupBy(run).agg(
-            F.max("errors").alias("errors"), F.max("calls").alias("calls"), F.bool_or(was).alias("was"),
-            F.min(hit).alias("alarm"),
-        )
-        target = f"{path}/runs/version={batch_id}"
-        per_run.write.mode("overwrite").parquet(target)
-        done = stream.sparkSession.read.schema(per_run.schema).parquet(target)
-        done.where("alarm IS NOT NULL").select(run, "alarm.*").write.mode("overwrite").parquet(
-            f"{path}/out/version={batch_id}"
-        )
-        state.save(batch_id, done.select(
-            run, "errors", "calls", (F.col("was") | F.col("alarm").isNotNull()).alias("alarmed")
-        ))
-
-    run_batches(stream, path, handle)
-    return stream.sparkSession.read.parquet(f"{path}/out").drop("version")
+    calls = run_to_table(stream.select(run, *order, failed.alias("failed")), path)
+    return error_rate_alarm(calls, run, order, block(calls), F.col("failed"), threshold, min_calls)
 
 
 def stream_dedupe(stream: DataFrame, path: str, keys: list[str], delay: str = "1 hour") -> DataFrame:

@@ -9,28 +9,36 @@ from plumbline.schemas import EVENTS
 from plumbline.session import shared_dir
 from plumbline.streaming import jobs
 
-def day():
-    return F.floor((F.unix_micros("ts") - 1_704_067_200_000_000) / 86_400_000_000)
+DELAY = "60 days"
 
 
-@pytest.fixture(scope="module")
-def parts(spark, sf):
-    """The events in time order, three files of ten days each."""
+def day(days=1):
+    return F.floor((F.unix_micros("ts") - 1_704_067_200_000_000) / (days * 86_400_000_000))
+
+
+@pytest.fixture(scope="module", params=["days", "parity"])
+def parts(spark, sf, request):
+    """The events in three files: ten days each, the last first, or cut across all steps."""
     events = spark.read.schema(EVENTS).parquet(f"{sf}/events.parquet")
     path = shared_dir(spark)
-    for i in range(3):
-        events.where((day() >= i * 10) & (day() < i * 10 + 10)).coalesce(1).write.mode("append").parquet(path)
+    for i in (2, 0, 1):
+        piece = (day() >= i * 10) & (day() < i * 10 + 10) if request.param == "days" else F.col("event_id") % 3 == i
+        events.where(piece).coalesce(1).write.mode("append").parquet(path)
     return events, path
 
 
+def stream(spark, path):
+    return jobs.event_stream(spark, path, files_per_batch=1)
+
+
 def axis_means(df):
     v = F.col("value") / 97
     return {"ahimsa": v, "dharma": 1 / (1 + v), "helpfulness": F.sqrt(F.abs(v))}
 
 
-def batch_means(events):
+def batch_means(events, days=1):
     values = axis_means(events)
-    return events.groupBy(F.col("user_id").alias("run"), day().alias("step")).agg(*[F.avg(v).alias(n) for n, v in values.items()])
+    return events.groupBy(F.col("user_id").alias("run"), day(days).alias("step")).agg(*[F.avg(v).alias(n) for n, v in values.items()])
 
 
 def as_map(df, run, cols):
@@ -42,35 +50,39 @@ def check(got, want):
     assert all(np.allclose(got[k], want[k], atol=1e-12) for k in want)
 
 
-def test_step_means(spark, parts):
+@pytest.mark.parametrize("days", [1, 7])
+def test_step_means(spark, parts, days):
     events, path = parts
-    out = jobs.stream_step_means(jobs.event_stream(spark, path), shared_dir(spark), "user_id", day(), axis_means(events))
-    check(as_map(out, "user_id", ["ahimsa", "dharma"]), as_map(batch_means(events), "run", ["ahimsa", "dharma"]))
+    work = shared_dir(spark)
+    out = jobs.stream_step_means(stream(spark, path), work, "user_id", day(days), axis_means(events), DELAY)
+    check(as_map(out, "user_id", ["ahimsa", "dharma"]), as_map(batch_means(events, days), "run", ["ahimsa", "dharma"]))
+    assert out.agg(F.sum("n")).first()[0] == events.count()
+    assert spark.read.parquet(f"{work}/out").select("version").distinct().count() >= 3
 
 
-def test_ema_continues_over_batches(spark, parts):
+@pytest.mark.parametrize("days", [1, 7])
+def test_ema_over_batches(spark, parts, days):
     events, path = parts
-    work = shared_dir(spark)
-    out = jobs.stream_ema(jobs.event_stream(spark, path), work, "user_id", day(), axis_means(events))
-    twin = sequence.ema_scan(batch_means(events), ["run"], "step", ["ahimsa", "dharma"], 0.1)
+    out = jobs.stream_ema(stream(spark, path), shared_dir(spark), "user_id", day(days), axis_means(events), delay=DELAY)
+    twin = sequence.ema_scan(batch_means(events, days), ["run"], "step", ["ahimsa", "dharma"], 0.1)
     check(as_map(out, "user_id", ["ema_ahimsa", "ema_dharma"]), as_map(twin, "run", ["ema_ahimsa", "ema_dharma"]))
-    assert spark.read.parquet(f"{work}/out").select("version").distinct().count() == 3
 
 
 @pytest.mark.parametrize("strategy", ["mean_inverse", "target_floor"])
-def test_adaptive_weights_continue(spark, parts, strategy):
+def test_adaptive_weights_over_batches(spark, parts, strategy):
     events, path = parts
-    out = jobs.stream_adaptive_weights(jobs.event_stream(spark, path), shared_dir(spark), "user_id", day(), axis_means(events), strategy)
+    out = jobs.stream_adaptive_weights(
+        stream(spark, path), shared_dir(spark), "user_id", day(), axis_means(events), strategy, DELAY)
     twin = sequence.adaptive_weights(batch_means(events), strategy=strategy)
     cols = [f"weight_{a}" for a in axis_means(events)]
     check(as_map(out, "user_id", cols), as_map(twin, "run", cols))
 
 
-def test_error_alarm_counts_over_batches(spark, parts):
+def test_error_alarm_over_batches(spark, parts):
     events, path = parts
     micros = F.unix_micros("ts")
     failed = (F.col("event_type") == "error") & (F.col("value") > 60)
-    out = jobs.stream_error_alarm(jobs.event_stream(spark, path), shared_dir(spark), "user_id", ["ts", "event_id"],
+    out = jobs.stream_error_alarm(stream(spark, path), shared_dir(spark), "user_id", ["ts", "event_id"],
                                   lambda b: ordering.key_blocks(b, micros, cuts=4), failed)
     twin = sequence.error_rate_alarm(events, "user_id", ["ts", "event_id"], ordering.key_blocks(events, micros), failed)
     key = ["user_id", "event_id", "errors", "calls"]
@@ -78,23 +90,9 @@ def test_error_alarm_counts_over_batches(spark, parts):
     assert got == sorted(map(tuple, twin.select(key).collect())) and got
 
 
-def test_late_steps_go_aside(spark, sf):
-    events = spark.read.schema(EVENTS).parquet(f"{sf}/events.parquet")
-    path, work = shared_dir(spark), shared_dir(spark)
-    events.where(day() >= 10).coalesce(1).write.parquet(path)
-    events.where(day() < 10).coalesce(1).write.mode("append").parquet(path)
-    out = jobs.stream_ema(jobs.event_stream(spark, path), work, "user_id", day(), axis_means(events))
-    twin = sequence.ema_scan(batch_means(events.where(day() >= 10)), ["run"], "step", ["ahimsa"], 0.1)
-    want = as_map(twin, "run", ["ema_ahimsa"])
-    got = as_map(out, "user_id", ["ema_ahimsa"])
-    users = {u for u, _ in want}
-    check({k: v for k, v in got.items() if k[0] in users}, want)
-    assert spark.read.parquet(f"{work}/late").count() > 0
-
-
 def test_dedupe_and_restart(spark, parts):
     events, path = parts
     work = shared_dir(spark)
     for _ in range(2):  # the second run finds nothing new
-        out = jobs.stream_dedupe(jobs.event_stream(spark, path), work, ["user_id", "event_type"], "60 days")
+        out = jobs.stream_dedupe(stream(spark, path), work, ["user_id", "event_type"], "60 days")
         assert out.count() == events.select("user_id", "event_type").distinct().count()
