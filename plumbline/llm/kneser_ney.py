@@ -40,7 +40,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from plumbline.llm.packed import FOLD, hashes, mix, slices, unpack, words
 from plumbline.session import written
 
-PACK_TOKENS = 3_000_000
+PACK_TOKENS = 1_500_000
 PACK_DOCS = 60_000
 HOT = 4096
 WORD_BITS, CONTEXT_BITS = 48, 40
@@ -106,12 +106,13 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for part in slices(batch):
             word, context, row = token_pairs(part.column("text"))
-            held.append((word, context, row + docs, part.column("id"), part.column("train")))
+            held.append((word, context, (row + docs).astype(np.int32), part.column("id"), part.column("train")))
             tokens += len(word)
             docs += part.num_rows
             if tokens >= PACK_TOKENS or docs + 512 > PACK_DOCS:
-                yield _merged(held)
+                merged = _merged(held)
                 held, tokens, docs = [], 0, 0
+                yield merged
     if held:
         yield _merged(held)
 
@@ -202,14 +203,16 @@ def _by_shard(batches: Iterator[pa.RecordBatch], key: str = "shard") -> Iterator
         yield now, held
 
 
-def _summed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (word, context) of count packs and their counts, sorted."""
+def _summed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct bigrams of count packs: sorted keys, words, contexts and counts."""
     word, context = (np.concatenate(c) for c in zip(*[_pairs(r) for r in rows]))
-    n = np.concatenate([_counts(r["n"]) for r in rows])
-    order = np.lexsort((context, word))
-    word, context, n = word[order], context[order], n[order]
-    first = _edges(word, context)
-    return word[first], context[first], np.add.reduceat(n, first, dtype=np.int64)
+    keys = _key(word, context)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = _edges(keys)
+    n = np.add.reduceat(np.concatenate([_counts(r["n"]) for r in rows])[order], first, dtype=np.int64)
+    one = order[first]
+    return keys[first], word[one], context[one], n
 
 
 def _levels(values: np.ndarray) -> list[int]:
@@ -222,16 +225,16 @@ def shard_facts(packs: DataFrame, layout: Layout) -> DataFrame:
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _by_shard(batches):
-            word, context, n = _summed(rows)
+            _, word, context, n = _summed(rows)
             seen = n > 0
-            first = _edges(word)
-            followed = np.add.reduceat(seen.astype(np.int64), first)
-            count = np.add.reduceat(n, first)
-            hot = np.isin(word[first], layout.hot)
+            types, back = np.unique(word, return_inverse=True)
+            followed = np.bincount(back, seen).astype(np.int64)
+            count = np.bincount(back, n).astype(np.int64)
+            hot = np.isin(types, layout.hot)
             own = followed[~hot]
             out = [(0, shard, -1, [*_levels(n), *_levels(own), int((own > 0).sum()), int(seen.sum())], b"", b"")]
             out += [(2, shard, int(w), [int(a), int(c)], b"", b"")
-                    for w, a, c in zip(word[first][hot], followed[hot], count[hot])]
+                    for w, a, c in zip(types[hot], followed[hot], count[hot])]
             order = np.argsort(context, kind="stable")
             context, n = context[order], n[order]
             first = _edges(context)
@@ -370,44 +373,38 @@ class ModelShard:
     """One shard of the model: sorted hash arrays in a mapped file."""
 
     def __init__(self, rows: list[dict], replies: list[dict], layout: Layout, known: Constants):
-        trained = [{**r, "n": self._trained(r)} for r in rows]
-        word, context, n = _summed(trained)
-        first = _edges(word)
-        size = np.diff(np.append(first, len(word)))
-        followed = np.add.reduceat((n > 0).astype(np.int64), first)
-        count = np.add.reduceat(n, first)
+        keys, word, context, n = _summed([{**r, "n": self._trained(r)} for r in rows])
+        types, back = np.unique(word, return_inverse=True)
+        followed = np.bincount(back, n > 0).astype(np.int64)
+        count = np.bincount(back, n).astype(np.int64)
         if len(known.hot):
-            at = np.minimum(np.searchsorted(known.hot, word[first]), len(known.hot) - 1)
-            hot = known.hot[at] == word[first]
+            at = np.minimum(np.searchsorted(known.hot, types), len(known.hot) - 1)
+            hot = known.hot[at] == types
             followed[hot], count[hot] = known.hot_followed[at[hot]], known.hot_count[at[hot]]
-        lower = np.repeat(known.word_probability(followed), size)
+        lower = known.word_probability(followed)[back]
+        base = np.log10((count + 0.1) / (known.tokens + 0.1 * (known.types + 1)))[back]
+        known_word = (count > 0)[back]
+        del word, back
 
         every, back = np.unique(context, return_inverse=True)
-        mass, total = np.zeros(len(every)), np.zeros(len(every))
+        mass, total = np.zeros(len(every), np.float32), np.zeros(len(every), np.float32)
         owner = layout.owner(every)
         for r in replies:
             mine = owner == r["owner"]
             mass[mine], total[mine] = np.frombuffer(r["mass"], np.float32), np.frombuffer(r["count"], np.float32)
-        mass, total = mass[back], np.maximum(total[back], 0)
-        known_context = total > 0
+        mass, total = mass[back], total[back]
         less = np.maximum(n - known.pair_discount[np.minimum(n, 3)], 0)
-        p = np.where(known_context, (less + mass * lower) / np.maximum(total, 1), lower)
-        base = np.log10((count + 0.1) / (known.tokens + 0.1 * (known.types + 1)))
-        keys = _key(word, context)
-        order = np.argsort(keys)
-        table = np.empty(len(keys), [("key", "u8"), ("score", "f8"), ("base", "f8"), ("known", "u1")])
-        table["key"], table["score"] = keys[order], np.log10(p)[order]
-        table["base"], table["known"] = np.repeat(base, size)[order], np.repeat(count > 0, size)[order]
+        p = np.where(total > 0, (less + mass * lower) / np.maximum(total, 1), lower)
+        arrays = {"key": keys, "score": np.log10(p), "base": base, "known": known_word.astype(np.uint8)}
         # The file is gone when the map is, also if the task is lost.
         with tempfile.TemporaryFile() as file:
-            for name in table.dtype.names:
-                file.write(np.ascontiguousarray(table[name]).tobytes())
+            for values in arrays.values():
+                file.write(values.data)
             file.flush()
             self.parts, offset = {}, 0
-            for name in table.dtype.names:
-                kind = table.dtype[name]
-                self.parts[name] = np.memmap(file, kind, "r", offset, (len(table),))
-                offset += kind.itemsize * len(table)
+            for name, values in arrays.items():
+                self.parts[name] = np.memmap(file, values.dtype, "r", offset, values.shape)
+                offset += values.nbytes
 
     @staticmethod
     def _trained(row: dict) -> bytes:
