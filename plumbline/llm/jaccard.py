@@ -42,7 +42,7 @@ from plumbline.session import written
 
 PREFIX_PERCENT = 30
 SEGMENTS = 8
-FLUSH_SHINGLES = 2_000_000
+FLUSH_SHINGLES = 1_000_000
 FLUSH_TEXTS = 60_000
 #: Bytes of a hash in the filter; equal cut hashes only let a set pass.
 CUT_BYTES = 5

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from plumbline.llm.packed import FOLD, hashes, mix, slices, unpack, words
+from plumbline.llm.packed import FOLD, SLICE_ROWS, hashes, mix, slices, unpack, words
 from plumbline.session import written
 
 PACK_TOKENS = 1_500_000
@@ -109,7 +109,7 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             held.append((word, context, (row + docs).astype(np.int32), part.column("id"), part.column("train")))
             tokens += len(word)
             docs += part.num_rows
-            if tokens >= PACK_TOKENS or docs + 512 > PACK_DOCS:
+            if tokens >= PACK_TOKENS or docs + SLICE_ROWS > PACK_DOCS:
                 merged = _merged(held)
                 held, tokens, docs = [], 0, 0
                 yield merged

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE_MARK = "▁"
-TABLE_PARTS = 400_000
+TABLE_PARTS = 200_000
 SHORT = 48
 INFINITE = float("inf")
 NEVER = repeat(INFINITE)
