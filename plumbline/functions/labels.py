@@ -13,7 +13,8 @@ def prompt_hash(prompt: Column) -> Column:
 
 
 def compound_label(label: Column, digest: Column) -> Column:
-    return F.concat_ws(":", label, digest)
+    """label:digest; null where the label is."""
+    return F.concat(label, F.lit(":"), digest)
 
 
 def split_label(compound: Column) -> Column:

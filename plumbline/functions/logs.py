@@ -40,7 +40,7 @@ def line_type(msg: Column, lvl: Column) -> Column:
         F.when(msg.rlike(C.LOG_METRIC_LINE), "training_metrics")
         .when(msg.rlike(C.LOG_PROGRESS_LINE), "progress_bar")
         .when(F.contains(msg, F.lit("Combined reward:")), "reward_summary")
-        .when(_has_any(msg, C.LOG_JUDGE_WORDS), "judge_evaluation")
+        .when(_has_any(msg, C.LOG_JUDGE_WORDS), "gemini_evaluation")
         .when(_has_any(msg, C.LOG_CONFIG_WORDS), "configuration")
         .when(_has_any(msg, C.LOG_SAVE_WORDS), "checkpoint")
         .when(lvl.isin("ERROR", "WARNING"), "error_warning")

@@ -78,7 +78,7 @@ def dharma_normalise_single(score: Column) -> Column:
 
 
 def scope_penalty(prompt_scope: Column, response_scope: Column, table: dict | None = None) -> Column:
-    p, r = label_part(prompt_scope), label_part(response_scope)
+    p, r = label_part(prompt_scope), F.coalesce(label_part(response_scope), F.lit("S3"))
     expr = F.when(r == "S0", 1.0).when((r == "S1") & (p != "S0"), 1.0)
     for (ps, rs), factor in (C.SCOPE_FACTORS if table is None else table).items():
         expr = expr.when((p == ps) & (r == rs), factor)

@@ -20,6 +20,27 @@ def validate_required(df: DataFrame, fields: list[str] | None = None) -> DataFra
     ).withColumn("is_valid", (F.col("n_rows") > 0) & (F.col("n_invalid") == 0))
 
 
+def violations(df: DataFrame, key: str, fields: list[str] | None = None) -> DataFrame:
+    """The rows that lack needed fields, each with the names of what it lacks."""
+    names = F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in fields or ["prompt"]])
+    return df.select(key, F.array_compact(names).alias("missing")).where(F.size("missing") > 0)
+
+
+def union_batches(results: list) -> tuple[DataFrame, int]:
+    """The rows of all batches that are tables, and the number of batches that are not.
+
+    A batch whose call failed is an exception or None and is skipped. Columns
+    that a batch lacks are null; without any table there is nothing to return.
+    """
+    tables = [r for r in results if isinstance(r, DataFrame)]
+    if not tables:
+        raise ValueError("all batches failed")
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out, len(results) - len(tables)
+
+
 def mark_artifacts(df: DataFrame, column: str = "prompt") -> DataFrame:
     """Strip the prompt and name the first artifact rule it breaks."""
     stripped = df.withColumn(column, T.strip(F.col(column)))

@@ -52,7 +52,7 @@ def keep_static(parsed: DataFrame) -> DataFrame:
     rule = (
         F.when(kind.isin("configuration", "checkpoint", "error_warning", "training_metrics"), True)
         .when(kind == "wandb", tracked)
-        .when(kind == "judge_evaluation", idx % 100 == 0)
+        .when(kind == "gemini_evaluation", idx % 100 == 0)
         .when(kind == "other", (idx < 200) | (idx > F.col("n_lines") - 200))
         .otherwise(False)
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import config as C
 from plumbline.functions import scores as S
+from plumbline.operators.filters import exact_dedupe
 
 
 def score_ahimsa(df: DataFrame, weighted: bool = False) -> DataFrame:
@@ -71,6 +72,27 @@ def risk_scores(df: DataFrame, all_ok: Column | None = None) -> DataFrame:
     )
 
 
+def accept_records(df: DataFrame, threshold: float, domain: str, prompt: str = "prompt", key: str = "item_id") -> DataFrame:
+    """Generated records of challenging prompts: first per prompt, with all evaluations.
+
+    A prompt is challenging if its risk is above the threshold or any violation
+    flag is set, also where the risk is unknown because an axis failed. Needs
+    the columns of `score_all` and `risk_scores`, completion and baseline_response.
+    """
+    flags = ["violation", "ahimsa_violation", "dharma_violation", "helpfulness_violation"]
+    hard = F.coalesce(F.col("overall_risk") > threshold, F.lit(False))
+    for f in flags:
+        hard = hard | F.coalesce(F.col(f), F.lit(False))
+    names = {"ahimsa_raw_score": "raw_ahimsa_score"}
+    evaluations = F.struct(*[F.col(names.get(n, n)).alias(n) for n in (
+        "ahimsa_raw_score", "ahimsa_score", "ahimsa_violation", "has_medical_disclaimer", "has_professional_referral",
+        "dharma_score", "dharma_violation", "helpfulness_score", "helpfulness_violation",
+        "ahimsa_risk", "dharma_risk", "helpfulness_risk", "overall_risk", "violation")])
+    chosen = exact_dedupe(df.where(hard), key, prompt)
+    return chosen.select(key, F.col(prompt).alias("prompt"), F.lit(domain).alias("in"), "completion",
+                         "baseline_response", "tier", evaluations.alias("evaluations"))
+
+
 def scope_cascade(df: DataFrame) -> DataFrame:
     """A scope factor below one reduces the other axes too; zero forces violations."""
     zero = F.col("scope_penalty_factor") == 0

@@ -63,27 +63,32 @@ def ema_scan(df: DataFrame, by: list[str], step: str, columns: list[str], alpha:
              start: float | None = None, prefix: str = "ema_") -> DataFrame:
     """Exponential moving averages of `columns` along whole-number steps.
 
-    One row per `by` (not null) and `step`. Without `start` the first value seeds the
-    average. Steps are cut into short blocks: inside a block the recurrence is
+    One row per `by` (not null) and `step`. A row with a null in `columns` is left
+    out: it neither moves the averages nor has any. Without `start` the first
+    value seeds the average. Steps are cut into short blocks: inside a block the recurrence is
     a window sum with weights that stay far from overflow, across blocks it is
     a composition of affine maps.
     """
     decay = 1.0 - alpha
+    size = max(1, min(512, int(100 * math.log(10) / -math.log(decay)))) if decay > 0 else 1
+    complete = F.col(step).isNotNull()
+    for c in columns:
+        complete = complete & F.col(c).isNotNull()
+    known = df.where(complete)
     if decay <= 0:
-        return df.withColumns({f"{prefix}{c}": F.col(c) for c in columns})
-    size = max(1, min(512, int(100 * math.log(10) / -math.log(decay))))
-    span = df.agg(F.min(step), F.max(step)).first()
+        return known.withColumns({f"{prefix}{c}": F.col(c) for c in columns})
+    span = known.agg(F.min(step), F.max(step)).first()
     low, high = (span[0] or 0), (span[1] or 0)
-    blocked = df.where(F.col(step).isNotNull()).withColumn("block", F.floor((F.col(step) - F.lit(low)) / size))
+    blocked = known.withColumn("block", F.floor((F.col(step) - F.lit(low)) / size))
     window = W.partitionBy(*by, "block").orderBy(step)
     rows = blocked.withColumn("__i", F.row_number().over(window))
     weight = F.pow(F.lit(decay), -F.col("__i").cast("double")) * alpha
     upto = window.rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = [F.sum(F.coalesce(F.col(c), F.lit(0.0)) * weight).over(upto) for c in columns]
+    local = [F.sum(F.col(c) * weight).over(upto) for c in columns]
     fade = F.pow(F.lit(decay), F.col("__i").cast("double"))
     rows = rows.withColumn("__w", F.array(*local)).withColumn("__fade", fade)
     rows = rows.withColumn("__local", F.transform("__w", lambda x: x * F.col("__fade"))).drop("__w")
-    values = F.array(*[F.coalesce(F.col(c), F.lit(0.0)).cast("double") for c in columns])
+    values = F.array(*[F.col(c).cast("double") for c in columns])
     maps = rows.groupBy(*by, "block").agg(
         F.min("__fade").alias("a"), F.max_by("__local", "__i").alias("b"), F.min_by(values, "__i").alias("first")
     )
@@ -136,7 +141,7 @@ def adaptive_weights(means: DataFrame, run: str = "run", step: str = "step", str
             F.coalesce(F.abs(F.col(f"{a}_std")), default) if f"{a}_std" in means.columns else default for a in axes
         ])
         average = F.aggregate(sigma, F.lit(0.0), lambda acc, x: acc + x) / 3
-        raw = F.zip_with(target, sigma, lambda t, s: t * (average / (s + C.ADAPTIVE_EPS)))
+        raw = F.when(average > 0, F.zip_with(target, sigma, lambda t, s: t * (average / (s + C.ADAPTIVE_EPS))))
     else:
         raise ValueError(f"unknown strategy {strategy}")
     out = out.withColumn("__w", raw).withColumn("__w", _normalised(F.col("__w")))

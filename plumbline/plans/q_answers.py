@@ -154,9 +154,12 @@ def coerce_enums(spark, d):
         A.coerce_enum(known, ["none", "minor", "major"], "major").alias("dharma_severity"))
 
 
-@query("judge_defaults", "WITH " + D.JUDGED + " SELECT item_id, l_linenumber >= 7 AS used_default, CASE WHEN l_linenumber >= 7 THEN 'no_json' END AS reject_reason FROM judged")
+@query("judge_defaults", "WITH " + D.JUDGED + """ SELECT item_id, l_linenumber >= 7 AS used_default, CASE WHEN l_linenumber >= 7 THEN 'no_json' END AS reject_reason,
+ CASE WHEN l_linenumber >= 7 THEN 'S3' ELSE response_scope END AS response_scope, CASE WHEN l_linenumber >= 7 THEN true ELSE out_of_domain_advice END AS out_of_domain_advice,
+ CASE WHEN l_linenumber >= 7 THEN 'major' ELSE dharma_severity END AS severity FROM judged""")
 def judge_defaults(spark, d):
-    return parsed(spark, d, "dharma").select("item_id", "used_default", "reject_reason")
+    """The values that stand in for an answer that cannot be read, beside the read ones."""
+    return parsed(spark, d, "dharma").select("item_id", "used_default", "reject_reason", "response_scope", "out_of_domain_advice", "severity")
 
 
 @query("error_defaults", "WITH " + D.SCORED + """ SELECT item_id, was_clipped AS failed, CASE WHEN was_clipped THEN 0.0::DOUBLE ELSE round(ahimsa_score, 9) END AS ahimsa_score,
@@ -194,9 +197,13 @@ def batch_answer_expand(spark, d):
     return out.select("item_id", F.col("fields")["score"].cast("bigint").alias("score"))
 
 
-@query("is_truncated", "WITH " + D.JUDGED + """ SELECT item_id, true AS truncated FROM judged""")
+@query("is_truncated", "SELECT event_id, event_id % 3 <> 0 AS truncated FROM events")
 def is_truncated(spark, d):
-    return raw_answers(spark, d).select("item_id", A.is_truncated(F.col("raw")).alias("truncated"))
+    """A third is plain text of some length, a third ends behind a colon, a third is cut inside a string."""
+    plain = F.concat(F.lit("The call was answered in full and nothing is missing at its end, of kind "), F.col("event_type"))
+    raw = F.when(F.col("event_id") % 3 == 1, F.concat(plain, F.lit(", score: "))).when(
+        F.col("event_id") % 3 == 2, F.concat(F.lit('{"reasoning": "'), plain)).otherwise(plain)
+    return D.events(spark, d).select("event_id", A.is_truncated(raw).alias("truncated"))
 
 
 @query("is_truncated_docs", """SELECT doc_id, length(p) < 50 OR regexp_matches(p, ':\\s*$|:\\s*"[^"]*$|[,{]\\s*$|"[^"]*$') AS truncated FROM (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS p FROM documents)""")
@@ -308,11 +315,11 @@ def sanitize_stats(spark, d):
     return metrics.sanitize_stats(texts, by=["kind"])
 
 
-@query("detect_control_chars", "SELECT page_id, page_id % 3 = 1 AS found FROM pages")
+@query("detect_control_chars", r"""SELECT page_id, page_id % 3 = 1 OR regexp_matches(regexp_replace(html, '[\t\n\r]', '', 'g'), '\p{C}') AS found FROM pages""")
 def detect_control_chars(spark, d):
+    """Whole pages as they are; every third one gets a bell."""
     mark = F.when(F.col("page_id") % 3 == 1, F.lit("\u0007")).otherwise(F.lit("\t\n"))
-    clean = F.regexp_replace("html", r"[\p{C}&&[^\t\n\r]]", "")
-    return D.load(spark, d, "pages").select("page_id", A.has_control_chars(F.concat(clean, mark)).alias("found"))
+    return D.load(spark, d, "pages").select("page_id", A.has_control_chars(F.concat("html", mark)).alias("found"))
 
 
 @query("error_handling_stats", """WITH j AS (SELECT l_linenumber AS n, l_orderkey % 4 = 0 AS checked, l_orderkey % 8 <> 0 AS good FROM lineitem)

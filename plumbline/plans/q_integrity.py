@@ -33,9 +33,9 @@ def prompt_hash(spark, d):
     return D.documents(spark, d).select("doc_id", L.prompt_hash(F.col("prompt")).alias("prompt_hash"))
 
 
-@query("compound_label", "WITH " + D.TIERS + " SELECT doc_id, tier || ':' || sha1(prompt) AS label FROM tiers WHERE tier IS NOT NULL")
+@query("compound_label", "WITH " + D.TIERS + " SELECT doc_id, tier || ':' || sha1(prompt) AS label FROM tiers")
 def compound_label(spark, d):
-    t = D.tiers(spark, d).where("tier IS NOT NULL")
+    t = D.tiers(spark, d)
     return t.select("doc_id", L.compound_label(F.col("tier"), L.prompt_hash(F.col("prompt"))).alias("label"))
 
 
@@ -199,13 +199,15 @@ def chunk_items(spark, d):
     return chunks(docs, ["doc_id"], ordering.key_blocks(docs, "doc_id"), 10).select("doc_id", "chunk_id", "pos")
 
 
-@query("union_batches", "SELECT lang, count(*) AS n FROM (SELECT lang FROM documents WHERE lang = 'en' UNION ALL SELECT lang FROM documents WHERE lang = 'fr' UNION ALL SELECT 'page' FROM pages) GROUP BY 1")
+@query("union_batches", "SELECT lang, count(*) AS n FROM (SELECT lang FROM documents UNION ALL SELECT 'page' FROM pages) GROUP BY 1")
 def union_batches(spark, d):
-    docs = D.load(spark, d, "documents").select("lang")
-    batches = [docs.where("lang = 'en'"), docs.where("lang = 'fr'"), D.load(spark, d, "pages").select(F.lit("page").alias("lang"))]
-    out = batches[0]
-    for b in batches[1:]:
-        out = out.unionByName(b)
+    """Batches of each language and of the pages; two calls have failed."""
+    docs = D.load(spark, d, "documents").select("lang", "doc_id")
+    known = [r[0] for r in docs.select("lang").distinct().orderBy("lang").collect()]
+    results = [docs.where(F.col("lang").eqNullSafe(lang)) for lang in known]
+    pages = D.load(spark, d, "pages").select(F.lit("page").alias("lang"), "url")
+    out, n_failed = filters.union_batches([*results, RuntimeError("call failed"), pages, None])
+    assert n_failed == 2
     return out.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -179,15 +179,21 @@ def normalize_score(spark, d):
     return D.events(spark, d).select("event_id", T.clamp(F.col("value"), 10.0, 60.0).alias("clamped"))
 
 
-@query("accept_record", f"""{_S}, c AS (SELECT item_id, l_partkey, CASE WHEN NOT was_clipped THEN (1 - raw_ahimsa_score) + (1 - dharma_score) + (1 - helpfulness_score) END AS risk,
- 'part ' || l_partkey AS prompt FROM scored), k AS (SELECT * FROM c WHERE risk > 1.93)
- SELECT min(item_id) AS item_id, prompt, 'healthcare' AS "in" FROM k GROUP BY prompt""")
+@query("accept_record", f"""{_S}, c AS (SELECT *, 'part ' || l_partkey AS prompt, CASE WHEN NOT was_clipped THEN (1 - raw_ahimsa_score) + (1 - dharma_score) + (1 - helpfulness_score) END AS risk,
+ ahimsa_violation OR dharma_violation OR helpfulness_violation AS flagged FROM scored),
+ k AS (SELECT *, row_number() OVER (PARTITION BY prompt ORDER BY item_id) AS rn FROM c WHERE coalesce(risk > 1.93, false) OR coalesce(flagged, false))
+ SELECT item_id, prompt, 'healthcare' AS "in", 'answer ' || l_orderkey AS completion, 'plain ' || l_orderkey AS baseline_response, tier,
+ round(raw_ahimsa_score, 9) AS ahimsa_raw_score, round(dharma_score, 9) AS dharma_score, helpfulness_violation, round(risk, 9) AS overall_risk, CASE WHEN NOT was_clipped THEN flagged END AS violation
+ FROM k WHERE rn = 1""")
 def accept_record(spark, d):
-    from plumbline.operators.filters import exact_dedupe
-
-    rows = scoring.risk_scores(D.scored(spark, d), ~F.col("was_clipped")).where(F.col("overall_risk") > 1.93)
-    named = rows.withColumn("prompt", F.concat(F.lit("part "), F.col("l_partkey")))
-    return exact_dedupe(named, "item_id").select("item_id", "prompt", F.lit("healthcare").alias("in"))
+    rows = scoring.risk_scores(D.scored(spark, d), ~F.col("was_clipped"))
+    named = rows.withColumns({
+        "prompt": F.concat(F.lit("part "), F.col("l_partkey")), "completion": F.concat(F.lit("answer "), F.col("l_orderkey")),
+        "baseline_response": F.concat(F.lit("plain "), F.col("l_orderkey"))})
+    e = scoring.accept_records(named, 1.93, "healthcare")
+    return e.select("item_id", "prompt", "in", "completion", "baseline_response", "tier", rounded("evaluations.ahimsa_raw_score", "ahimsa_raw_score"),
+                    rounded("evaluations.dharma_score", "dharma_score"), "evaluations.helpfulness_violation",
+                    rounded("evaluations.overall_risk", "overall_risk"), "evaluations.violation")
 
 
 @query("policy_ahimsa", "WITH " + D.TURNS + """, h AS (SELECT *,

@@ -63,16 +63,15 @@ def adaptive_weights_target_weighted(spark, d):
     return _weights(spark, d, "target_weighted")
 
 
-@query("adaptive_weights_equal_contribution", _weights_sql("{t}::DOUBLE * ((s1 + s2 + s3) / 3 / (s{k} + 1e-5))").replace("w1 / (w1 + w2 + w3) AS w1, w2 / (w1 + w2 + w3) AS w2, w3 / (w1 + w2 + w3) AS w3 FROM w0", "w1 / (w1 + w2 + w3) AS w1, w2 / (w1 + w2 + w3) AS w2, w3 / (w1 + w2 + w3) AS w3 FROM w0 WHERE w1 + w2 + w3 > 0"))
+@query("adaptive_weights_equal_contribution", _weights_sql("{t}::DOUBLE * ((s1 + s2 + s3) / 3 / (s{k} + 1e-5))").replace("greatest(w1, 0.1::DOUBLE)", "CASE WHEN w1 >= 0 THEN greatest(w1, 0.1::DOUBLE) END").replace("greatest(w2, 0.1::DOUBLE)", "CASE WHEN w2 >= 0 THEN greatest(w2, 0.1::DOUBLE) END").replace("greatest(w3, 0.1::DOUBLE)", "CASE WHEN w3 >= 0 THEN greatest(w3, 0.1::DOUBLE) END").replace("FROM w0", "FROM (SELECT run, step, CASE WHEN w1 + w2 + w3 > 0 THEN w1 END AS w1, CASE WHEN w1 + w2 + w3 > 0 THEN w2 END AS w2, CASE WHEN w1 + w2 + w3 > 0 THEN w3 END AS w3 FROM w0)"))
 def adaptive_weights_equal_contribution(spark, d):
     aggs = []
     for a in ("ahimsa", "dharma", "helpfulness"):
         aggs += [F.avg(f"{a}_score").alias(a), F.stddev_pop(f"{a}_score").alias(f"{a}_std")]
     means = D.steps(spark, d).groupBy("run", "step").agg(*aggs)
     out = sequence.adaptive_weights(means, strategy="equal_contribution")
-    # one event in a step: no deviation at all, so no contribution to equalise
-    known = out.where("ahimsa_std + dharma_std + helpfulness_std > 0")
-    return known.select("run", "step", *[rounded(f"weight_{a}") for a in ("ahimsa", "dharma", "helpfulness")])
+    # one event in a step: no deviation at all, so the weights are null
+    return out.select("run", "step", *[rounded(f"weight_{a}") for a in ("ahimsa", "dharma", "helpfulness")])
 
 
 @query("trailing_values", """SELECT event_id, count(*) OVER w AS n_recent, round(sum(value) OVER w, 6) AS recent_sum, round(first_value(value) OVER w, 6) AS oldest FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
@@ -102,7 +101,7 @@ def error_rate_alarm(spark, d):
 _L = "WITH " + D.LINES
 _MSG = r"""parsed AS (SELECT *, CASE WHEN n % 7 = 0 THEN trim(line) ELSE line[39 + (CASE WHEN event_type = 'error' THEN 1 ELSE 0 END):] END AS message FROM (SELECT l.run, idx, line, r.n, r.pct, r.event_type, r.value FROM lines l JOIN raw_lines r USING (event_id))),
  typed AS (SELECT *, CASE event_type WHEN 'purchase' THEN 'training_metrics' WHEN 'view' THEN 'progress_bar' WHEN 'click' THEN 'reward_summary'
- WHEN 'error' THEN CASE WHEN n % 7 = 0 THEN 'other' ELSE 'error_warning' END ELSE CASE n % 5 WHEN 0 THEN 'configuration' WHEN 1 THEN 'wandb' WHEN 2 THEN 'judge_evaluation' ELSE 'other' END END AS line_type FROM parsed)"""
+ WHEN 'error' THEN CASE WHEN n % 7 = 0 THEN 'other' ELSE 'error_warning' END ELSE CASE n % 5 WHEN 0 THEN 'configuration' WHEN 1 THEN 'wandb' WHEN 2 THEN 'gemini_evaluation' ELSE 'other' END END AS line_type FROM parsed)"""
 
 
 @query("parse_log", f"""{_L}, {_MSG} SELECT run, idx, line_type, CASE WHEN n % 7 <> 0 THEN 'trainer' END AS module, CASE WHEN n % 7 <> 0 THEN CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END END AS level,
@@ -133,7 +132,7 @@ def forward_fill_step(spark, d):
 
 
 @query("log_keep_static", f"""{_L}, {_MSG}, s AS (SELECT *, count(*) OVER (PARTITION BY run) AS total FROM typed)
- SELECT run, idx, CASE WHEN line_type IN ('configuration', 'checkpoint', 'error_warning', 'training_metrics') THEN true WHEN line_type = 'wandb' THEN true WHEN line_type = 'judge_evaluation' THEN idx % 100 = 0
+ SELECT run, idx, CASE WHEN line_type IN ('configuration', 'checkpoint', 'error_warning', 'training_metrics') THEN true WHEN line_type = 'wandb' THEN true WHEN line_type = 'gemini_evaluation' THEN idx % 100 = 0
  WHEN line_type = 'other' THEN idx < 200 OR idx > total - 200 ELSE false END AS keep FROM s""")
 def log_keep_static(spark, d):
     return logs.keep_static(logs.parse_log(D.numbered_lines(spark, d))).select("run", "idx", "keep")
@@ -147,7 +146,7 @@ _KEPT = f"""{_L.replace('WITH', 'WITH RECURSIVE', 1)}, {_MSG}, p AS (SELECT run,
  rg AS (SELECT run, 0::BIGINT AS k, 0::BIGINT AS idx, -1::BIGINT AS last, false AS keep FROM rp WHERE k = 1 UNION ALL
  SELECT rp.run, rp.k, rp.idx, CASE WHEN rp.idx >= rg.last + 20 THEN rp.idx ELSE rg.last END, rp.idx >= rg.last + 20 FROM rg JOIN rp ON rp.run = rg.run AND rp.k = rg.k + 1),
  st AS (SELECT run, idx FROM (SELECT *, count(*) OVER (PARTITION BY run) AS total FROM typed) WHERE line_type IN ('configuration', 'checkpoint', 'error_warning', 'training_metrics', 'wandb')
- OR (line_type = 'judge_evaluation' AND idx % 100 = 0) OR (line_type = 'other' AND (idx < 200 OR idx > total - 200)))"""
+ OR (line_type = 'gemini_evaluation' AND idx % 100 = 0) OR (line_type = 'other' AND (idx < 200 OR idx > total - 200)))"""
 
 
 @query("log_keep_progress", _KEPT + " SELECT run, idx FROM g WHERE keep")
@@ -168,15 +167,19 @@ def condense_log(spark, d):
     return out.select("run", "original_lines", "condensed_lines", rounded("compression_ratio"))
 
 
-_HISTORY = f"{_L}, {_MSG}, h AS (SELECT run, idx, value, n, row_number() OVER (PARTITION BY run ORDER BY idx) AS a, row_number() OVER (PARTITION BY run ORDER BY idx DESC) AS z, count(*) OVER (PARTITION BY run) AS c FROM typed WHERE line_type = 'training_metrics')"
+_HISTORY = f"{_L}, {_MSG}, h AS (SELECT run, idx, value, n, pct, row_number() OVER (PARTITION BY run ORDER BY idx) AS a, row_number() OVER (PARTITION BY run ORDER BY idx DESC) AS z, count(*) OVER (PARTITION BY run) AS c FROM typed WHERE line_type = 'training_metrics')"
 
 
 @query("trend_summary", _HISTORY + """, t AS (SELECT run, 'loss' AS metric, max(printf('%.2f', value)::DOUBLE) FILTER (a = 1) AS s, max(printf('%.2f', value)::DOUBLE) FILTER (z = 1) AS e FROM h WHERE c >= 2 GROUP BY run
- UNION ALL SELECT run, 'grad_norm', max(n::DOUBLE) FILTER (a = 1), max(n::DOUBLE) FILTER (z = 1) FROM h WHERE c >= 2 GROUP BY run)
+ UNION ALL SELECT run, 'grad_norm', max(n::DOUBLE) FILTER (a = 1), max(n::DOUBLE) FILTER (z = 1) FROM h WHERE c >= 2 GROUP BY run
+ UNION ALL SELECT run, 'learning_rate', max(('1e-0' || (n % 9 + 1))::DOUBLE) FILTER (a = 1), max(('1e-0' || (n % 9 + 1))::DOUBLE) FILTER (z = 1) FROM h WHERE c >= 2 GROUP BY run
+ UNION ALL SELECT run, 'reward', max(('0.' || n)::DOUBLE) FILTER (a = 1), max(('0.' || n)::DOUBLE) FILTER (z = 1) FROM h WHERE c >= 2 GROUP BY run
+ UNION ALL SELECT run, 'kl', max(('0.0' || n)::DOUBLE) FILTER (a = 1), max(('0.0' || n)::DOUBLE) FILTER (z = 1) FROM h WHERE c >= 2 GROUP BY run
+ UNION ALL SELECT run, 'rewards/ahimsa_reward_trl/mean', max(('0.' || pct)::DOUBLE) FILTER (a = 1), max(('0.' || pct)::DOUBLE) FILTER (z = 1) FROM h WHERE c >= 2 GROUP BY run)
  SELECT run, metric, s AS start_value, e AS end_value, round(e - s, 9) AS change, round(CASE WHEN s <> 0 THEN (e - s) / s * 100 ELSE 0 END, 6) AS change_pct, CASE WHEN e > s THEN '↑' WHEN e < s THEN '↓' ELSE '→' END AS direction FROM t""")
 def trend_summary(spark, d):
     out = logs.trend_summary(logs.metric_history(D.numbered_lines(spark, d)))
-    return out.where("metric IN ('loss', 'grad_norm')").select("run", "metric", "start_value", "end_value", rounded("change"), F.round("change_pct", 6).alias("change_pct"), "direction")
+    return out.select("run", "metric", "start_value", "end_value", rounded("change"), F.round("change_pct", 6).alias("change_pct"), "direction")
 
 
 @query("trend_sample", _HISTORY + " SELECT run, idx FROM h WHERE c <= 20 OR a = 1 OR z = 1 OR (a - 1) % greatest(c // 18, 1) = 0")

@@ -42,6 +42,12 @@ def validate_required(spark, d):
     return filters.validate_required(D.tiers(spark, d), ["prompt", "tier"])
 
 
+@query("validate_violations", "WITH " + D.TIERS + """ SELECT doc_id, array_to_string(list_filter([CASE WHEN prompt IS NULL THEN 'prompt' END, CASE WHEN tier IS NULL THEN 'tier' END], lambda x: x IS NOT NULL), ',') AS missing
+ FROM tiers WHERE prompt IS NULL OR tier IS NULL""")
+def validate_violations(spark, d):
+    return filters.violations(D.tiers(spark, d), "doc_id", ["prompt", "tier"]).select("doc_id", F.array_join("missing", ",").alias("missing"))
+
+
 _SUFFIXED = """suffixed AS (SELECT doc_id, text || (['', ' (Tier B)', ' (Tier A, Scope S0)', ' This is Tier C, S1', ' Tier A/B', ' Scope: S2', ' (S0)', ' don’t'])[CAST(doc_id % 8 + 1 AS INT)] AS prompt FROM documents)"""
 
 

@@ -56,8 +56,14 @@ def report_rows(reports: DataFrame) -> DataFrame:
 
 
 def explode_results(reports: DataFrame) -> DataFrame:
-    """Prompt, response and scenario id of every result; tier C and scope S0 by default."""
-    rows = reports.select(F.explode("individual_results").alias("r")).select("r.scenario_id", "r.prompt", "r.response")
+    """Prompt, response and scenario id of every result; tier C and scope S0 by default.
+
+    A report without results fails the job, with the place of the document.
+    """
+    where = F.col("file_path") if "file_path" in reports.columns else F.lit("a report")
+    results = F.when(F.size(F.coalesce("individual_results", F.array())) > 0, F.col("individual_results")).otherwise(
+        F.raise_error(F.concat(F.lit("No 'individual_results' found in "), where)))
+    rows = reports.select(F.explode(results).alias("r")).select("r.scenario_id", "r.prompt", "r.response")
     return rows.where("prompt <> '' AND response <> ''").withColumns(
         {"tier": F.lit("C"), "scope": F.lit("S0")}
     )

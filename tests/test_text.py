@@ -111,7 +111,7 @@ def test_clip_flag(spark):
 def test_log_line_classes(spark):
     for line, kind in [
         ("2024-01-01 00:00:00,123 - m - INFO - {'loss': 0.1}", "training_metrics"), (" 5%|#| 5/100 [", "progress_bar"),
-        ("Combined reward: 0.5", "reward_summary"), ("Gemini Dharma Scope Penalty: x", "judge_evaluation"), ("Loading model", "configuration"),
+        ("Combined reward: 0.5", "reward_summary"), ("Gemini Dharma Scope Penalty: x", "gemini_evaluation"), ("Loading model", "configuration"),
         ("Saving now", "checkpoint"), ("2024-01-01 00:00:00,123 - m - ERROR - broken", "error_warning"), ("wandb: hi", "wandb"), ("hm", "other"),
     ]:
         assert one(spark, line, lambda c: G.line_type(G.message(c), G.level(c))) == kind
