@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import config as C
 from plumbline.functions import logs as G, names as N
 from plumbline.functions.text import quote
-from plumbline.operators.ordering import add_rank, fill_forward
+from plumbline.operators.ordering import add_rank, fill_forward, running_sums
 from plumbline.session import written
 
 BLOCK = 8192
-MAX_STATES = 1000
+BROADCAST_RUNS = 100_000
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
@@ -46,131 +42,112 @@ def metric_history(lines: DataFrame) -> DataFrame:
 def keep_static(parsed: DataFrame) -> DataFrame:
     """The keep rules that need only the line, its index and the number of lines."""
     sizes = written(parsed.groupBy("run").agg((F.max("idx") + 1).alias("n_lines")))
+    # One row per run; rows of a hot run move only if there are very many runs.
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_RUNS else sizes
     out = parsed.join(sizes, "run")
+    return out.withColumn("keep", _static_rule())
+
+
+def _tracked() -> Column:
+    return F.col("message").rlike("|".join(quote(w) for w in C.LOG_TRACKING_KEEP))
+
+
+def _static_rule(tracked: Column | None = None) -> Column:
     kind, idx = F.col("line_type"), F.col("idx")
-    tracked = F.col("message").rlike("|".join(quote(w) for w in C.LOG_TRACKING_KEEP))
-    rule = (
+    return (
         F.when(kind.isin("configuration", "checkpoint", "error_warning", "training_metrics"), True)
-        .when(kind == "wandb", tracked)
+        .when(kind == "wandb", _tracked() if tracked is None else tracked)
         .when(kind == "gemini_evaluation", idx % 100 == 0)
         .when(kind == "other", (idx < 200) | (idx > F.col("n_lines") - 200))
         .otherwise(False)
     )
-    return out.withColumn("keep", rule)
-
-
-def _scan_states(df: DataFrame, states: np.ndarray | None, fold: Callable, enter: Callable, first: float,
-                 size: int) -> DataFrame:
-    """Run a small state machine along each run and return the rows it keeps.
-
-    A block of lines is folded from every possible entry state at once, which
-    gives a map from entry state to exit state; the maps of a run (one short
-    array per `size` lines) are walked to find the true entry states, and a
-    second fold from that state picks the rows. Every pass streams over sorted
-    partitions and holds one state, never a block or a run. Without a list of
-    states each run is one sorted stream.
-    """
-    blocked = df.withColumn("block", F.floor(F.col("idx") / size))
-    run = df.schema["run"].dataType.simpleString()
-
-    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
-        for pdf in batches:
-            done = []
-            for r, b, i, x in zip(pdf["run"], pdf["block"], pdf["idx"], pdf["x"]):
-                if key != (r, b):
-                    if key is not None:
-                        done.append((*key, state.tolist()))
-                    key, state = (r, b), states.copy()
-                state, _ = fold(state, i - b * size, x)
-            yield pd.DataFrame(done, columns=["run", "block", "exits"])
-        if key is not None:
-            yield pd.DataFrame([(*key, state.tolist())], columns=["run", "block", "exits"])
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run_now, state, previous = None, first, 0
-        for pdf in batches:
-            found = []
-            for r, b, exits in zip(pdf["run"], pdf["block"], pdf["exits"]):
-                if r != run_now:
-                    run_now, state, previous = r, first, 0
-                state = enter(state, (b - previous) * size)
-                found.append((r, b, state))
-                state, previous = exits[int(np.searchsorted(states, state))], b
-            yield pd.DataFrame(found, columns=["run", "block", "entry"])
-
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
-        for pdf in batches:
-            kept = []
-            for r, b, i, x, entry in zip(pdf["run"], pdf["block"], pdf["idx"], pdf["x"], pdf["entry"]):
-                if key != (r, b):
-                    key, state = (r, b), np.array([entry])
-                state, keep = fold(state, i - b * size, x)
-                if keep[0]:
-                    kept.append((r, i))
-            yield pd.DataFrame(kept, columns=["run", "idx"])
-
-    if states is None:
-        whole = df.withColumn("block", F.lit(0).cast("bigint")).withColumn("entry", F.lit(first)).repartition("run")
-        return whole.sortWithinPartitions("run", "idx").mapInPandas(pick, f"run {run}, idx bigint")
-    by_block = blocked.repartition("run", "block").sortWithinPartitions("run", "block", "idx")
-    exits = by_block.mapInPandas(maps, f"run {run}, block bigint, exits array<double>")
-    in_order = exits.repartition("run").sortWithinPartitions("run", "block")
-    entries = in_order.mapInPandas(walk, f"run {run}, block bigint, entry double")
-    located = blocked.join(entries, ["run", "block"]).repartition("run", "block")
-    return located.sortWithinPartitions("run", "block", "idx").mapInPandas(pick, f"run {run}, idx bigint")
 
 
 def keep_progress(parsed: DataFrame, size: int = BLOCK, jump: int = 5) -> DataFrame:
     """Progress lines at a milestone, or at least `jump` points above the last kept one.
 
-    Percentages take about a hundred values, which are the states; a log with
-    more than MAX_STATES different ones is streamed run by run.
+    A milestone line is kept whatever came before, so runs are cut there into
+    pieces. In a piece the kept values rise, and no earlier line can reach the
+    next threshold; so the first line of each value is all a piece needs, and
+    those are found by a partial aggregate. A piece has about a hundred values.
     """
     lines = parsed.where("line_type = 'progress_bar'").select(
-        "run", "idx", F.coalesce("progress_pct", F.lit(0)).cast("double").alias("x")
-    )
-    seen = [r[0] for r in lines.select("x").distinct().limit(MAX_STATES + 1).collect()]
-    states = np.array(sorted({-1.0, *seen})) if len(seen) <= MAX_STATES else None
-    milestones = set(C.PROGRESS_MILESTONES)
-
-    def fold(state, i, x):
-        keep = (x >= state + jump) | (x in milestones)
-        return np.where(keep, x, state), keep
+        "run", "idx", F.coalesce("progress_pct", F.lit(0)).cast("double").alias("x"))
+    mark = F.col("x").isin([float(m) for m in C.PROGRESS_MILESTONES])
+    pieces = running_sums(lines, ["idx"], F.floor(F.col("idx") / size), ["run"], {"piece": mark.cast("int")})
+    firsts = pieces.groupBy("run", "piece", "x").agg(F.min("idx").alias("idx"))
+    per_piece = firsts.groupBy("run", "piece").agg(
+        F.max(F.when(mark, F.col("x"))).alias("start"), F.max(F.when(mark, F.col("idx"))).alias("at"),
+        F.array_sort(F.collect_list(F.when(~mark, F.struct("idx", "x")))).alias("rest"))
+    state = F.struct(F.coalesce("start", F.lit(-1.0)).alias("x"),
+                     F.array_compact(F.array("at")).cast("array<bigint>").alias("kept"))
 
-    return _scan_states(lines, states, fold, _keep_pct, -1.0, size)
+    def step(acc: Column, line: Column) -> Column:
+        taken = F.struct(line["x"].alias("x"), F.concat(acc["kept"], F.array(line["idx"])).alias("kept"))
+        return F.when(line["x"] >= acc["x"] + jump, taken).otherwise(acc)
 
+    return per_piece.select("run", F.explode(F.aggregate("rest", state, step)["kept"]).alias("idx"))
 
-def _keep_pct(state: float, _gap: float) -> float:
-    return state
 
-
-def keep_reward(parsed: DataFrame, size: int = BLOCK, gap: int = 20) -> DataFrame:
+def keep_reward(parsed: DataFrame, size: int = 8 * BLOCK, gap: int = 20) -> DataFrame:
     """Reward lines at least `gap` lines after the last kept one.
 
-    The state is the first line, counted from the block start, that may be kept.
+    The state is the first line, counted from the block start, that may be
+    kept: at most `gap`. A block of `size` lines is folded from each of these
+    states; the short maps of a run's blocks are walked for the true ones, and
+    each block is folded once more from its own.
     """
-    lines = parsed.where("line_type = 'reward_summary'").select("run", "idx", F.lit(0.0).alias("x"))
-    states = np.arange(gap + 1, dtype="float64")
-
-    def fold(state, i, x):
-        keep = i >= state
-        return np.where(keep, i + gap, state), keep
-
-    def enter(state: float, moved: float) -> float:
-        return max(0.0, state - moved)
-
-    # the last kept line starts at -1, so nothing is kept before line gap - 1
-    return _scan_states(lines, states, fold, enter, float(gap - 1), size)
+    lines = parsed.where("line_type = 'reward_summary'").select("run", "idx")
+    blocks = lines.groupBy("run", F.floor(F.col("idx") / size).alias("block")).agg(
+        F.array_sort(F.collect_list((F.col("idx") % size).cast("int"))).alias("at"))
+    blocks = written(blocks)
+
+    def later(state: Column, at: Column) -> Column:
+        return F.when(at >= state, at + gap).otherwise(state)
+
+    exits = F.transform(F.sequence(F.lit(0), F.lit(gap)), lambda s: F.greatest(
+        F.aggregate("at", s, later) - size, F.lit(0)))
+    maps = blocks.select("run", "block", exits.alias("exits")).groupBy("run").agg(
+        F.array_sort(F.collect_list(F.struct("block", "exits"))).alias("maps"))
+    # The last kept line starts at -1, so nothing is kept before line gap - 1.
+    start = F.struct(F.lit(-1).cast("bigint").alias("block"), F.lit(gap - 1).alias("state"),
+                     F.array().cast("array<struct<block:bigint,state:int>>").alias("seen"))
+
+    def walk(acc: Column, m: Column) -> Column:
+        # Blocks without a reward line in between, or before the first one, let any offset run out.
+        first = (acc["block"] < 0) & (m["block"] > 0)
+        near = (acc["block"] < 0) & (m["block"] == 0) | (m["block"] == acc["block"] + 1)
+        entry = F.when(near & ~first, acc["state"]).otherwise(F.lit(0))
+        here = F.struct(m["block"].alias("block"), entry.alias("state"))
+        return F.struct(m["block"].alias("block"), F.get(m["exits"], entry).alias("state"),
+                        F.concat(acc["seen"], F.array(here)).alias("seen"))
+
+    entries = maps.select("run", F.explode(F.aggregate("maps", start, walk)["seen"]).alias("e")).select(
+        "run", "e.block", F.col("e.state").alias("entry"))
+    fresh = F.struct(F.col("entry").alias("state"), F.array().cast("array<int>").alias("kept"))
+
+    def take(acc: Column, at: Column) -> Column:
+        taken = F.struct((at + gap).alias("state"), F.concat(acc["kept"], F.array(at)).alias("kept"))
+        return F.when(at >= acc["state"], taken).otherwise(acc)
+
+    return blocks.join(entries, ["run", "block"]).select(
+        "run", "block", F.explode(F.aggregate("at", fresh, take)["kept"]).alias("at")).select(
+            "run", (F.col("block") * size + F.col("at")).alias("idx"))
 
 
 def condense(lines: DataFrame, size: int = BLOCK) -> DataFrame:
-    """Kept lines of every run: static rules plus sampled progress and reward lines."""
-    parsed = parse_log(lines)
-    static = keep_static(parsed).where("keep").select("run", "idx")
-    kept = static.unionByName(keep_progress(parsed, size)).unionByName(keep_reward(parsed, size))
-    return parsed.join(kept, ["run", "idx"], "left_semi")
+    """Kept lines of every run: static rules plus sampled progress and reward lines.
+
+    Lines are parsed once; all rules work on the narrow written table.
+    """
+    parsed = written(parse_log(lines).withColumn("__tracked", _tracked()))
+    narrow = parsed.select("run", "idx", "line_type", "progress_pct", "__tracked")
+    sizes = parsed.groupBy("run").agg((F.max("idx") + 1).alias("n_lines"))
+    sizes = written(sizes)
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_RUNS else sizes
+    static = narrow.join(sizes, "run").where(_static_rule(F.col("__tracked"))).select("run", "idx")
+    kept = static.unionByName(keep_progress(narrow, size)).unionByName(keep_reward(narrow))
+    return parsed.drop("__tracked").join(kept, ["run", "idx"], "left_semi")
 
 
 def condense_summary(lines: DataFrame, kept: DataFrame) -> DataFrame:

@@ -219,50 +219,19 @@ def core_similarity(docs: DataFrame, key: str, text: str, weights: DataFrame) ->
     return dots.groupBy("doc").agg(F.max("dot").alias("similarity")).withColumnRenamed("doc", key)
 
 
-def _core_udf(entries: list, n_core: int):
-    """Vectorised highest cosine against a core that fits a task."""
-    terms = sorted({e["term"] for e in entries})
-    number = {t: i for i, t in enumerate(terms)}
-    idf = np.zeros(len(terms))
-    for e in entries:
-        idf[number[e["term"]]] = e["idf"]
-    core = {c: i for i, c in enumerate(sorted({e["core_id"] for e in entries}))}
-    matrix = np.zeros((len(terms), n_core))
-    for e in entries:
-        matrix[number[e["term"]], core[e["core_id"]]] = e["weight"]
-
-    @F.pandas_udf("double")
-    def highest(batch: pd.Series) -> pd.Series:
-        out = np.zeros(len(batch))
-        for k, tokens in enumerate(batch):
-            ids = [number[t] for t in (tokens if tokens is not None else ()) if t in number]
-            if ids:
-                found, tf = np.unique(ids, return_counts=True)
-                w = tf * idf[found]
-                out[k] = (w / np.linalg.norm(w) @ matrix[found]).max()
-        return pd.Series(out)
-
-    return highest
-
-
 def tfidf_near_core(docs: DataFrame, core: DataFrame, threshold: float, key: str, text: str,
                     core_key: str, core_text: str, stop_words: list[str] | None = None,
-                    max_task_cells: int = 20_000_000) -> DataFrame:
+                    broadcast_rows: int = 200_000) -> DataFrame:
     """Documents with `similarity` to the core; `near_core` where it reaches the threshold.
 
-    A core whose term matrix has at most `max_task_cells` cells (160 MB) is
-    sent to the tasks: one pass over the texts, nothing shuffled. A larger core
-    goes through joins.
+    The core's weights are a written table; up to `broadcast_rows` of them are
+    broadcast, more go through shuffled joins. The plan is the same otherwise.
     """
-    stop = C.STOP_WORDS if stop_words is None else stop_words
-    weights = written(core_weights(core, core_key, core_text, stop))
-    size = weights.agg(F.count_distinct("term").alias("t"), F.count_distinct("core_id").alias("c")).first()
-    if 0 < size["t"] * size["c"] <= max_task_cells:
-        highest = _core_udf(weights.collect(), size["c"])
-        scored = docs.withColumn("similarity", highest(words(text)))
-    else:
-        close = core_similarity(docs, key, text, weights)
-        scored = docs.join(close, key, "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    weights = written(core_weights(core, core_key, core_text, stop_words))
+    if weights.count() <= broadcast_rows:
+        weights = F.broadcast(weights)
+    close = core_similarity(docs, key, text, weights)
+    scored = docs.join(close, key, "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     return scored.withColumn("near_core", F.col("similarity") >= threshold)
 
 

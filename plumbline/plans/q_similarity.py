@@ -52,21 +52,21 @@ _TFIDF = f"""words AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[
 _NEAR = f"WITH {_TFIDF} SELECT doc_id, round(coalesce(similarity, 0), 6) AS similarity, coalesce(similarity, 0) >= 0.7 AS near_core FROM documents LEFT JOIN best USING (doc_id)"
 
 
-def _near(spark, d, cells):
+def _near(spark, d, broadcast_rows):
     docs = D.load(spark, d, "documents")
     core = S.scan_core_set(D.load(spark, d, "benchmark"))
-    out = S.tfidf_near_core(docs, core, 0.7, "doc_id", "text", "item_id", "text", max_task_cells=cells)
+    out = S.tfidf_near_core(docs, core, 0.7, "doc_id", "text", "item_id", "text", broadcast_rows=broadcast_rows)
     return out.select("doc_id", F.round("similarity", 6).alias("similarity"), "near_core")
 
 
 @query("tfidf_near_core", _NEAR)
 def tfidf_near_core(spark, d):
-    return _near(spark, d, 20_000_000)
+    return _near(spark, d, 200_000)
 
 
 @query("tfidf_near_core_joined", _NEAR)
 def tfidf_near_core_joined(spark, d):
-    """The form for a core set too large for a task."""
+    """The joins of a core set too large to broadcast."""
     return _near(spark, d, 0)
 
 

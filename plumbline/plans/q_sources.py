@@ -63,24 +63,24 @@ def report_files(spark, d):
     })
     summary = metrics.summary_metrics(s, ["run"])
     fields = ["scenario_id", "prompt", "response", "ahimsa_score", "combined_score"]
-    docs = writers.report_documents(summary, s, "run", "scenario_id", fields, max_items=1000)
+    lines = writers.report_lines(summary, s, "run", "scenario_id", fields)
     path = shared_dir(spark)
+    writers.sink_report_documents(lines.where("run <> 'sup-0'"), path, "run", "scenario_id")
     # a stray document without the needed parts is skipped on reading
-    with_stray = F.when(F.col("run") == "sup-0", F.lit('{"unrelated": true}')).otherwise(F.col("document"))
-    docs.select(F.concat_ws("-", F.lit("r"), "run", "part").alias("name"), with_stray.alias("value")).write.partitionBy("name").text(path)
+    spark.createDataFrame([("stray", '{"unrelated": true}')], "name string, line string").write.mode("append").partitionBy("name").text(path)
     return path
 
 
 @query("scan_eval_report", _REPORTS + " SELECT 'sup-' || l_suppkey AS raw_model_name, n AS num_scenarios, round(c, 9) AS average_combined_score, v::BIGINT AS ahimsa_violations FROM m WHERE l_suppkey <> 0")
 def scan_eval_report(spark, d):
     rows = readers.report_rows(readers.scan_eval_reports(spark, report_files(spark, d)))
-    return rows.select("raw_model_name", "num_scenarios", rounded("average_combined_score"), "ahimsa_violations").distinct()
+    return rows.select("raw_model_name", "num_scenarios", rounded("average_combined_score"), "ahimsa_violations")
 
 
-@query("scan_glob", _REPORTS + " SELECT 'sup-' || l_suppkey AS raw_model_name, n AS num_scenarios FROM m WHERE l_suppkey <> 0")
+@query("scan_glob", _REPORTS + " SELECT 'sup-' || l_suppkey AS raw_model_name, n AS num_scenarios FROM m WHERE l_suppkey % 2 = 1")
 def scan_glob(spark, d):
-    rows = readers.report_rows(readers.scan_eval_reports(spark, report_files(spark, d) + "/name=r-*", pattern="*.txt"))
-    return rows.select("raw_model_name", "num_scenarios").distinct()
+    rows = readers.report_rows(readers.scan_eval_reports(spark, report_files(spark, d) + "/name=sup-*[13579]", pattern="*.txt"))
+    return rows.select("raw_model_name", "num_scenarios")
 
 
 @query("explode_results", _REPORTS + " SELECT item_id AS scenario_id, 'prompt ' || l_partkey AS prompt, 'C' AS tier, 'S0' AS scope FROM scored WHERE l_suppkey <> 0 AND NOT was_clipped")

@@ -12,29 +12,37 @@ def sink_jsonl(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def sink_eval_report(summary: DataFrame, items: DataFrame, path: str, run: str = "run") -> None:
-    """Summary and item tables, items partitioned by run."""
+    """Summary and item tables; items lie in evenly sized files, sorted so that a run is found by file statistics."""
     summary.write.mode("overwrite").parquet(f"{path}/summary")
-    items.write.mode("overwrite").partitionBy(run).parquet(f"{path}/items")
+    items.repartitionByRange(run).sortWithinPartitions(run).write.mode("overwrite").parquet(f"{path}/items")
 
 
-def report_documents(summary: DataFrame, items: DataFrame, run: str, key: str, fields: list[str],
-                     max_items: int = 10_000) -> DataFrame:
-    """JSON documents with configuration, summary and item results of a run.
+def report_lines(summary: DataFrame, items: DataFrame, run: str, key: str, fields: list[str]) -> DataFrame:
+    """Lines (run, part, key, line) of one JSON document per run: head, a line per result, end.
 
-    A document cannot be split on reading, so a run with more than `max_items`
-    results gives several documents with a share of the results each.
+    Sorted by part and key the lines of a run are its document, so it is never
+    held in one row. The first result of a run (least key) opens the list.
     """
-    sizes = items.groupBy(run).agg(F.count(F.lit(1)).alias("__n"))
-    heads = summary.join(sizes, run).withColumn("__parts", F.ceil(F.col("__n") / max_items))
-    shares = items.select(run, key, F.struct(*fields).alias("__item")).join(heads.select(run, "__parts"), run)
-    part = F.pmod(F.xxhash64(key), F.col("__parts")).alias("part")
-    listed = shares.groupBy(run, part).agg(F.collect_list("__item").alias("individual_results"))
+    facts = items.groupBy(run).agg(F.count(F.lit(1)).alias("__n"), F.min(key).alias("__first"))
+    heads = summary.join(facts, run)
     metrics = [c for c in summary.columns if c != run]
-    document = F.to_json(F.struct(
-        F.struct(F.col(run).alias("model_name"), F.col("__n").alias("num_scenarios")).alias("evaluation_config"),
-        F.struct(*metrics).alias("summary_metrics"), "individual_results",
-    ))
-    return listed.join(heads, run).select(run, "part", document.alias("document"))
+    head = F.concat(
+        F.lit('{"evaluation_config": '),
+        F.to_json(F.struct(F.col(run).alias("model_name"), F.col("__n").alias("num_scenarios"))),
+        F.lit(', "summary_metrics": '), F.to_json(F.struct(*metrics)), F.lit(', "individual_results": ['))
+    none = F.lit(None).cast(items.schema[key].dataType)
+    tops = heads.select(run, F.lit(0).alias("part"), none.alias(key), head.alias("line"))
+    ends = heads.select(run, F.lit(2).alias("part"), none.alias(key), F.lit("]}").alias("line"))
+    firsts = heads.select(run, F.col("__first").alias(key), F.lit(True).alias("__opens"))
+    body = items.select(run, key, F.to_json(F.struct(*fields)).alias("line")).join(firsts, [run, key], "left")
+    rows = body.select(run, F.lit(1).alias("part"), key, F.concat(F.when(F.col("__opens"), "").otherwise(","), "line").alias("line"))
+    return tops.unionByName(rows).unionByName(ends)
+
+
+def sink_report_documents(lines: DataFrame, path: str, run: str, key: str) -> None:
+    """One JSON document per run, written line by line; a document is one file."""
+    ordered = lines.repartition(run).sortWithinPartitions(run, "part", key)
+    ordered.select(F.col(run).alias("name"), "line").write.partitionBy("name").text(path)
 
 
 def markdown_table(df: DataFrame, formats: dict | None = None) -> str:

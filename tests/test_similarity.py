@@ -68,8 +68,8 @@ def test_tfidf_by_hand(spark):
     doc = np.array([2 * idf["apple"], idf["pie"]])
     first = np.array([idf["apple"], idf["pie"], idf["red"]])
     want = doc @ first[:2] / np.linalg.norm(doc) / np.linalg.norm(first)
-    for cells in (10_000, 0):
-        out = S.tfidf_near_core(docs, core, 0.8, "id", "t", "core", "c", ["the"], max_task_cells=cells)
+    for rows in (10_000, 0):
+        out = S.tfidf_near_core(docs, core, 0.8, "id", "t", "core", "c", ["the"], broadcast_rows=rows)
         got = {r.id: (r.similarity, r.near_core) for r in out.collect()}
         assert got[0][0] == pytest.approx(want) and got[0][1] == (want >= 0.8)
         assert got[1] == (0.0, False) and got[3] == (0.0, False)

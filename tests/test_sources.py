@@ -50,13 +50,19 @@ def test_log_numbers_follow_files_and_splits(spark, tmp_path):
     assert all(r.line == f"{r.run} {r.idx}" for r in rows)
 
 
-def test_report_documents_share_long_runs(spark):
-    items = spark.range(100).select(F.lit("m").alias("run"), F.col("id"), (F.col("id") * 2).alias("x"))
-    summary = spark.createDataFrame([("m", 0.5)], "run string, average_combined_score double")
-    docs = writers.report_documents(summary, items, "run", "id", ["id", "x"], max_items=30).collect()
-    assert 2 <= len(docs) <= 4
-    results = [r for d in docs for r in json.loads(d.document)["individual_results"]]
-    assert sorted(r["id"] for r in results) == list(range(100))
+def test_report_documents_and_their_rows(spark, tmp_path):
+    items = spark.range(100).select(F.when(F.col("id") < 90, "m").otherwise("k").alias("run"), F.col("id"), F.lit("p").alias("prompt"), F.lit("r").alias("response"))
+    summary = spark.createDataFrame([("m", 0.5), ("k", 0.25)], "run string, average_combined_score double")
+    lines = writers.report_lines(summary, items, "run", "id", ["id", "prompt", "response"])
+    writers.sink_report_documents(lines, str(tmp_path / "out"), "run", "id")
+    docs = {p.parent.name: json.loads(p.read_text()) for p in (tmp_path / "out").glob("*/*.txt")}
+    assert [r["id"] for r in docs["name=m"]["individual_results"]] == list(range(90))
+    assert docs["name=k"]["evaluation_config"]["num_scenarios"] == 10
+    reports = readers.scan_eval_reports(spark, str(tmp_path / "out"))
+    assert readers.report_rows(reports).count() == 2 and readers.explode_results(reports).count() == 100
+    (tmp_path / "empty.json").write_text('{"evaluation_config": {"model_name": "x"}, "summary_metrics": {}, "individual_results": []}')
+    with pytest.raises(Exception, match="individual_results"):
+        readers.explode_results(readers.scan_eval_reports(spark, str(tmp_path / "empty.json"))).collect()
 
 
 def test_markdown(spark):
