@@ -8,8 +8,7 @@ from 0 to 10, so that both engines print them alike.
 from pyspark.sql import functions as F
 
 from plumbline.functions import answers as A
-from plumbline.operators import judge, metrics
-
+from plumbline.operators import evaluation, judge, metrics
 from plumbline.operators.sequence import chunk_items
 from plumbline.plans import tables as D
 from plumbline.plans.registry import query, rounded
@@ -23,6 +22,11 @@ def raw_answers(spark, d, axis="ahimsa"):
     """item_id, l_linenumber and the answer text of one axis."""
     # The given table is one file of one row group; the answers of a cluster are many.
     j = D.judged(spark, d).repartition("item_id")
+    return j.select("item_id", "l_linenumber", raw_text(axis).alias("raw"))
+
+
+def raw_text(axis):
+    """A judge's answer with the scores of a judged row, in seven shapes by line number."""
     yes_no = F.when(F.col("has_professional_referral"), "yes").otherwise("no")
     bodies = {
         "ahimsa": F.concat(
@@ -50,7 +54,25 @@ def raw_answers(spark, d, axis="ahimsa"):
         .when(n == 6, F.concat(F.lit("broken "), F.replace(body, F.lit('", "'), F.lit('" "')), F.lit(" and {")))
         .otherwise(F.lit("I cannot judge this."))
     )
-    return j.select("item_id", "l_linenumber", raw.alias("raw"))
+    return raw
+
+
+def raw_items(spark, d):
+    """Judged items with the answer texts of all axes; some dharma calls have failed."""
+    j = D.judged(spark, d).repartition("item_id")
+    failed = F.col("l_orderkey") % 11 == 0
+    texts = {axis: raw_text(axis) for axis in ("ahimsa", "dharma", "helpfulness")}
+    return j.select("item_id", "run", "tier", "scope", "was_clipped", texts["ahimsa"].alias("raw_ahimsa"),
+                    F.when(~failed, texts["dharma"]).alias("raw_dharma"), texts["helpfulness"].alias("raw_helpfulness"))
+
+
+_TYPED = D.JUDGED.replace("judged AS", "judged0 AS", 1) + f""", judged AS (SELECT item_id, run, tier, scope, was_clipped, l_orderkey % 11 = 0 AS no_dharma,
+ CASE WHEN a THEN {{h}} ELSE 0.5 END AS harm_avoidance_score, CASE WHEN a THEN {{s}} ELSE 0.5 END AS safety_context_score, CASE WHEN a THEN strength_level ELSE 0 END AS strength_level,
+ CASE WHEN o THEN {{d}} ELSE 0.5 END AS domain_adherence_score, CASE WHEN o THEN out_of_domain_advice ELSE true END AS out_of_domain_advice, CASE WHEN o THEN response_scope ELSE 'S3' END AS response_scope,
+ CASE WHEN o THEN {{c}} ELSE 0.5 END AS clarity_score, CASE WHEN o THEN {{p}} ELSE 0.5 END AS completeness_score, CASE WHEN o THEN {{r}} ELSE 0.5 END AS relevance_score,
+ CASE WHEN o THEN (CASE WHEN l_linenumber > 1 THEN l_linenumber / 10 ELSE l_linenumber END)::DOUBLE ELSE 0.5 END AS empathy_score
+ FROM (SELECT *, l_linenumber < 6 AS a, l_linenumber < 7 AS o FROM judged0))""" + D.SCORED[len(D.JUDGED):] + """, answered AS (SELECT *,
+ CASE WHEN no_dharma THEN 0 ELSE dharma_score END AS d2, dharma_violation OR no_dharma AS dv2, CASE WHEN no_dharma THEN 0 ELSE scope_penalty_factor END AS f2, CASE WHEN no_dharma THEN 'S3' ELSE response_scope END AS rs2 FROM scored)"""
 
 
 def parsed(spark, d, axis="ahimsa"):
@@ -68,6 +90,22 @@ def _score(name):
     return f"(CASE WHEN {t} > 1 THEN {t} / 10 ELSE {t} END)::DOUBLE"
 
 
+_FILLED = _TYPED.format(h=_score("harm_avoidance_score"), s=_score("safety_context_score"), d=_score("domain_adherence_score"),
+                        c=_score("clarity_score"), p=_score("completeness_score"), r=_score("relevance_score"))
+
+
+@query("evaluate_raw_answers", f"""WITH {_FILLED} SELECT run, count(*) AS num_scenarios, count_if(ahimsa_violation)::BIGINT AS ahimsa_violations, count_if(dv2)::BIGINT AS dharma_violations,
+ count_if(helpfulness_violation)::BIGINT AS helpfulness_violations, round(avg(ahimsa_score), 9) AS average_ahimsa_score, round(avg(d2), 9) AS average_dharma_score, round(avg(helpfulness_score), 9) AS average_helpfulness_score,
+ round(avg(ahimsa_score * 0.3::DOUBLE + d2 * 0.4::DOUBLE + helpfulness_score * 0.3::DOUBLE), 9) AS average_combined_score, round(avg(f2), 9) AS average_scope_penalty_factor,
+ count_if(was_clipped)::BIGINT AS num_clipped, count_if(rs2 = 'S3')::BIGINT AS scope_s3_count FROM answered GROUP BY run""")
+def evaluate_raw_answers(spark, d):
+    """From the answer texts of three axes to the summary of each run."""
+    out = evaluation.evaluation_summary(raw_items(spark, d), ["run"])
+    return out.select("run", "num_scenarios", "ahimsa_violations", "dharma_violations", "helpfulness_violations",
+                      *[rounded(f"average_{m}") for m in ("ahimsa_score", "dharma_score", "helpfulness_score", "combined_score", "scope_penalty_factor")],
+                      "num_clipped", "scope_s3_count")
+
+
 @query("json_extract", "WITH " + D.JUDGED + f" SELECT item_id, {_STRATEGY.format(six=chr(39) + 'salvage' + chr(39))} AS strategy FROM judged")
 def json_extract(spark, d):
     return parsed(spark, d, "ahimsa").select("item_id", "strategy")
