@@ -399,7 +399,8 @@ def links(docs: DataFrame, sets: DataFrame, n: int, percent: int, id_column: str
         F.slice("grams.h", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("h")))
 
     score = F.struct((F.col("weight") / F.col("size")).alias("w"), F.col("v").alias("v"))
-    centres = prefix.groupBy("h").agg(F.max(F.struct(score.alias("score"), "size", "shared")).alias("c"))
+    # Written, so that both sides of the join are plain exchanges and a hot shingle can be split.
+    centres = written(prefix.groupBy("h").agg(F.max(F.struct(score.alias("score"), "size", "shared")).alias("c")))
     best = prefix.join(centres, "h").groupBy("v", "size", "shared").agg(F.max("c").alias("c"))
     stars = best.where("c.score.v <> v").select(
         F.col("v").alias("a"), F.col("c.score.v").alias("b"), F.col("size").alias("size_a"),
@@ -419,9 +420,9 @@ def links(docs: DataFrame, sets: DataFrame, n: int, percent: int, id_column: str
     placed = written(prefix.join(near, "v", "left").join(centre, "v", "left").withColumns({
         "component": F.coalesce("component", "v"), "centre": F.coalesce("centre", "v")}))
     sizes = placed.groupBy("h", "component").agg(F.count(F.lit(1)).alias("n"))
-    mains = sizes.groupBy("h").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("k"),
-                                   ).where("k > 1")
-    open_ = placed.join(mains.select("h", F.col("m.component").alias("main")), "h")
+    mains = written(sizes.groupBy("h").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("k")).where(
+        "k > 1").select("h", F.col("m.component").alias("main")))
+    open_ = placed.join(mains, "h")
     x, y = open_.where("component <> main").alias("x"), open_.alias("y")
     differ = (F.col("x.component") != F.col("y.component")) & (F.col("x.centre") != F.col("y.centre")) & (
         (F.col("y.component") == F.col("y.main")) | (F.col("x.v") < F.col("y.v")))
