@@ -54,14 +54,15 @@ def _with_home(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 def has_partner(queries: DataFrame, partners: DataFrame, threshold: float, same_table: bool,
-                pivots: int = 64, block: int = 4096) -> DataFrame:
+                pivots: int = 64, block: int = 4096, earlier: bool = False) -> DataFrame:
     """`rep` of every query vector with a partner at cosine >= threshold.
 
     Partners are cut into cells by nearest pivot. By the triangle inequality on
     angles a query needs only the cells that can hold a partner, and a query
     whose cell surely holds one needs none. Cells are compared block by block
     (at most about `block` rows a side), so a cell holding a third of all rows
-    is many tasks; only query keys leave a task, never pairs.
+    is many tasks; only query keys leave a task, never pairs. With `earlier` only
+    partners of a smaller `rep` count.
     """
     reach = math.acos(min(1.0, max(-1.0, threshold)))
     points = _pivots(partners, pivots)
@@ -97,7 +98,7 @@ def has_partner(queries: DataFrame, partners: DataFrame, threshold: float, same_
                 if h in best:
                     rep1, a1, a2 = best[h]
                     other = a2 if (same_table and rep == rep1) else a1
-                    sure[k] = other is not None and x + other <= reach - _SLACK
+                    sure[k] = not earlier and other is not None and x + other <= reach - _SLACK
             near = (a <= reach + radius[None, :] + _SLACK) & (a <= own[:, None] + 2 * reach + _SLACK)
             near[sure] = False
             q, c = np.nonzero(near)
@@ -135,6 +136,8 @@ def has_partner(queries: DataFrame, partners: DataFrame, threshold: float, same_
         cosine = _unit(left["v"]) @ _unit(right["v"]).T
         if same_table:
             cosine[left["rep"].to_numpy()[:, None] == right["rep"].to_numpy()[None, :]] = -2.0
+        if earlier:
+            cosine[left["rep"].to_numpy()[:, None] < right["rep"].to_numpy()[None, :]] = -2.0
         return pd.DataFrame({"rep": left["rep"][cosine.max(axis=1) >= threshold]})
 
     left = spread(open_queries, "q_blocks", "p_blocks").groupBy("cell", "q", "p")
@@ -161,9 +164,20 @@ def near_dup_existing(new: DataFrame, existing: DataFrame, threshold: float, key
 
 
 def near_dup_within(df: DataFrame, threshold: float, key: str = "vec_id", vec: str = "embedding",
-                    **options) -> DataFrame:
-    """Rows without a near copy in the same table; both members of a pair go."""
+                    mode: str = "drop_both", **options) -> DataFrame:
+    """Rows without a near copy in the same table.
+
+    `drop_both`: both members of a pair go. `keep_first`: a row goes if a row of
+    a smaller key is near, so the first of each group stays.
+    """
     reps = written(_distinct_vectors(df, key, vec))
+    if mode == "keep_first":
+        flagged = has_partner(reps, reps, threshold, same_table=True, earlier=True, **options)
+        later = df.join(reps.select(F.col("rep").alias(key)), key, "left_semi")
+        zero = F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x * x) <= 0
+        return later.join(flagged.select(F.col("rep").alias(key)), key, "left_anti").unionByName(df.where(zero))
+    if mode != "drop_both":
+        raise ValueError(f"unknown mode {mode}")
     flagged = has_partner(reps, reps, threshold, same_table=True, **options)
     copies = reps.where("copies > 1").select("v")
     return _drop_vectors(df, _expand(flagged, reps).union(copies), vec)

@@ -32,6 +32,11 @@ def near_dup_within(spark, d):
     return S.near_dup_within(_vectors(spark, d), T).select("vec_id")
 
 
+@query("near_dup_keep_first", f"WITH {_V} SELECT vec_id FROM v a WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.vec_id < a.vec_id AND {_COS} >= {T})")
+def near_dup_keep_first(spark, d):
+    return S.near_dup_within(_vectors(spark, d), T, mode="keep_first").select("vec_id")
+
+
 @query("exclude_previous", f"""WITH {_V}, s AS (SELECT * FROM v a WHERE label <> 0 AND NOT EXISTS (SELECT 1 FROM v b WHERE b.label = 0 AND {_COS} >= {T}))
  SELECT vec_id FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE a.vec_id <> b.vec_id AND {_COS} >= {T})""")
 def exclude_previous(spark, d):
