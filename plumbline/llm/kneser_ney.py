@@ -14,7 +14,8 @@ predicted word is hot, so one frequent word is many shards.
    owner shard, which answers with the context's discounted mass and count.
 3. Scores: tasks pack (bigram, document, count) for all texts. A shard stores its
    part of the model as sorted hash arrays in a file, maps it into memory,
-   looks the bigrams up, and sums per document; Spark adds the shards' sums.
+   looks the bigrams up, and sums per document. The sums of a pack's documents
+   meet by pack, one short row per shard, and are added there.
 
 Bigram discounts follow from the counts of counts (modified Kneser-Ney); the
 lower order uses continuation counts with discounts of its own and gives what
@@ -444,6 +445,8 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text: str =
     packs = score_packs(texts, layout).withColumn("kind", F.lit(1))
     every = packs.unionByName(replies.withColumn("kind", F.lit(0)), allowMissingColumns=True)
 
+    id_type = to_arrow_type(docs.schema[id_column].dataType)
+
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_shard(batches):
             packs_of, told = [r for r in rows if r["kind"]], [r for r in rows if not r["kind"]]
@@ -451,27 +454,33 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text: str =
                 continue
             model = ModelShard(packs_of, told, layout, known)
             for row in packs_of:
-                doc, n_known, base, total = model.sums(row)
-                ids = row["ids"] or []
-                marks = np.unpackbits(np.frombuffer(row["train"], np.uint8))[: len(ids)].astype(bool)
-                blank = len(doc)
-                yield pa.RecordBatch.from_pydict({
-                    "pack": pa.array(np.full(blank + len(ids), row["pack"])),
-                    "row": pa.array(np.append(doc, np.arange(len(ids))).astype(np.int32)),
-                    "id": pa.array([None] * blank + ids, row_type),
-                    "train": pa.array([None] * blank + marks.tolist(), pa.bool_()),
-                    "n_tokens": pa.array([0] * blank + (row["tokens"] or []), pa.int64()),
-                    "n_known": pa.array(np.append(n_known, np.zeros(len(ids))).astype(np.int64)),
-                    "base_score": pa.array(np.append(base, np.zeros(len(ids)))),
-                    "score": pa.array(np.append(total, np.zeros(len(ids)))),
-                })
-
-    row_type = to_arrow_type(docs.schema[id_column].dataType)
+                doc, *sums = model.sums(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["pack"]], pa.int64()), pa.array([row["rows"]], pa.int32()), pa.array([row["train"]]),
+                     pa.array([row["ids"]], pa.list_(id_type)), pa.array([row["tokens"]], pa.list_(pa.int64())),
+                     pa.array([doc.astype(np.uint16).tobytes()]), *[pa.array([x.tobytes()]) for x in sums]],
+                    names=["pack", "rows", "train", "ids", "tokens", "doc", "n_known", "base_score", "score"])
+
     parts = _dealt(every, "shard", layout.shards, "kind").mapInArrow(
-        summed, f"pack bigint, row int, id {kind}, train boolean, n_tokens bigint, n_known bigint, "
-                "base_score double, score double")
-    sums = parts.groupBy("pack", "row").agg(
-        F.max("id").alias("id"), F.max("train").alias("train"),
-        *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-    return sums.select(F.col("id").alias(id_column), "train", "n_tokens", "n_known",
-                       F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+        summed, f"pack bigint, rows int, train binary, ids array<{kind}>, tokens array<bigint>, doc binary, "
+                "n_known binary, base_score binary, score binary")
+
+    def totalled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("n_known", "base_score", "score")
+        for _, rows in _by_shard(batches, "pack"):
+            totals = np.zeros((len(names), rows[0]["rows"]))
+            carrier = next(r for r in rows if r["ids"] is not None)
+            for r in rows:
+                doc = np.frombuffer(r["doc"], np.uint16)
+                for total, name in zip(totals, names):
+                    total[doc] += np.frombuffer(r[name], np.float64)
+            marks = np.unpackbits(np.frombuffer(carrier["train"], np.uint8))[: carrier["rows"]].astype(bool)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(carrier["ids"], id_type), pa.array(marks), pa.array(carrier["tokens"], pa.int64()),
+                 pa.array(totals[0].astype(np.int64)), pa.array([tokens] * len(marks), pa.int64()), pa.array(totals[1]),
+                 pa.array(totals[2])],
+                names=[id_column, "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return parts.repartition("pack").sortWithinPartitions("pack").mapInArrow(
+        totalled, f"`{id_column}` {kind}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
+                  "base_score double, score double")
