@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline.functions import labels as L, text as T
 from plumbline.session import written
 
+BROADCAST_BATCHES = 1_000_000
+SALTS = 16
+
 
 def validate_required(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """One row: every row has all needed fields, and there is a row at all."""
@@ -62,14 +65,22 @@ def lexicon_gate(df: DataFrame, matched: Column, batch: str, enforce: bool) -> D
 
     Enforcing needs no batches at all. Otherwise the batch ids that have a
     match are found by a partial aggregate, not by a window over each batch,
-    and written, so that their real size decides how they are joined.
+    and broadcast up to BROADCAST_BATCHES of them; more are joined with salt.
     """
     marked = df.withColumn("__match", matched)
-    hits = marked.where("__match").drop("__match")
     if enforce:
-        return hits
+        return marked.where("__match").drop("__match")
+    marked = written(marked)  # matched once
+    hits = marked.where("__match").drop("__match")
     matching = written(marked.where("__match").select(batch).distinct())
-    return hits.unionByName(marked.where("NOT __match").drop("__match").join(matching, batch, "left_anti"))
+    rest = marked.where("NOT __match").drop("__match")
+    if matching.count() <= BROADCAST_BATCHES:
+        return hits.unionByName(rest.join(F.broadcast(matching), batch, "left_anti"))
+    # A hot batch is cut into as many places as the ids are copied to.
+    place = F.pmod(F.xxhash64(*rest.columns), F.lit(SALTS)).cast("int")
+    dealt = matching.withColumn("__place", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    left = rest.withColumn("__place", place).join(dealt, [batch, "__place"], "left_anti").drop("__place")
+    return hits.unionByName(left)
 
 
 def exact_dedupe(df: DataFrame, key: str, column: str = "prompt") -> DataFrame:

@@ -7,6 +7,7 @@ from 0 to 10, so that both engines print them alike.
 
 from pyspark.sql import functions as F
 
+from plumbline import config as C
 from plumbline.functions import answers as A
 from plumbline.operators import evaluation, judge, metrics
 from plumbline.operators.sequence import chunk_items
@@ -329,14 +330,14 @@ def sanitize_response(spark, d):
     return out.select("doc_id", F.md5("sanitized").alias("sanitized"), F.md5("processed").alias("processed"))
 
 
-@query("validate_response", """SELECT doc_id, CASE WHEN length(s) < 10 THEN 'too_short' WHEN length(s) < n_chars * 0.3 THEN 'lost_content' END AS invalid_reason
- FROM (SELECT doc_id, n_chars, CASE WHEN doc_id % 3 = 0 THEN left(text, 9) WHEN doc_id % 3 = 1 THEN left(text, n_chars // 5) ELSE text END AS s FROM documents)""")
+@query("validate_response", f"WITH {_SANITIZED} SELECT doc_id, reason AS message FROM z5")
 def validate_response(spark, d):
-    n = F.col("doc_id") % 3
-    s = F.when(n == 0, F.substring("text", F.lit(1), F.lit(9))).when(
-        n == 1, F.substring("text", F.lit(1), F.floor(F.col("n_chars") / 5).cast("int"))).otherwise(F.col("text"))
-    docs = D.load(spark, d, "documents").withColumn("s", s)
-    return docs.select("doc_id", A.invalid_reason(F.col("s"), F.col("text")).alias("invalid_reason"))
+    """Whole sanitised texts against the texts they came from."""
+    texts = metrics.sanitize_table(model_texts(spark, d))
+    message = F.lit(None).cast("string")
+    for reason, words in C.INVALID_MESSAGES.items():
+        message = F.when(F.col("invalid_reason") == reason, F.lit(words)).otherwise(message)
+    return texts.select("doc_id", message.alias("message"))
 
 
 @query("fallback_response", r"""SELECT event_id, CASE WHEN length(r) > 20 AND length(p) > 20 THEN p ELSE '[Invalid response that could not be processed. Error: Response too short or empty after sanitization]' END AS response

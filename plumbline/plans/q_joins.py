@@ -6,6 +6,7 @@ from plumbline.functions import names as N
 from plumbline.operators import compare, joins, metrics
 from plumbline.plans import tables as D
 from plumbline.plans.registry import query, rounded
+from plumbline.session import shared_dir
 
 _S = "WITH " + D.SCORED
 
@@ -199,9 +200,22 @@ def sort_models(spark, d):
     return compare.sort_models(counted)
 
 
-@query("sink_records_json", f"WITH {_REPORTS} SELECT count(*) AS total_evaluations, string_agg(DISTINCT model_name, ',' ORDER BY model_name) AS models, string_agg(DISTINCT evaluator_name, ',' ORDER BY evaluator_name) AS evaluators FROM named")
+@query("sink_records_json", f"""WITH {_REPORTS} SELECT 'record' AS kind, model_name, evaluator_name, num_scenarios, round(average_combined_score, 9) AS average_combined_score FROM named
+ UNION ALL SELECT 'total', NULL, NULL, count(*), NULL FROM named UNION ALL SELECT DISTINCT 'model', model_name, NULL, NULL::BIGINT, NULL::DOUBLE FROM named UNION ALL SELECT DISTINCT 'evaluator', NULL, evaluator_name, NULL::BIGINT, NULL::DOUBLE FROM named""")
 def sink_records_json(spark, d):
-    return compare.records_metadata(reports(spark, d))
+    """The written records, their number and the names, read back from JSON."""
+    from plumbline.sources.writers import sink_records_json as sink
+
+    path = shared_dir(spark)
+    sink(reports(spark, d).select("model_name", "evaluator_name", "num_scenarios", "average_combined_score"), path)
+    schema = "model_name STRING, evaluator_name STRING, num_scenarios BIGINT, average_combined_score DOUBLE"
+    out = spark.read.schema(schema).json(f"{path}/records").withColumn("kind", F.lit("record"))
+    total = spark.read.schema("total_evaluations BIGINT").json(f"{path}/metadata").select(
+        F.lit("total").alias("kind"), F.col("total_evaluations").alias("num_scenarios"))
+    for rows in (total, spark.read.schema("model_name STRING").json(f"{path}/model_name").withColumn("kind", F.lit("model")),
+                 spark.read.schema("evaluator_name STRING").json(f"{path}/evaluator_name").withColumn("kind", F.lit("evaluator"))):
+        out = out.unionByName(rows, allowMissingColumns=True)
+    return out.select("kind", "model_name", "evaluator_name", "num_scenarios", rounded("average_combined_score"))
 
 
 _PIVOT = _REPORTS + """, e AS (SELECT evaluator_name, coalesce(arg_min(average_combined_score, c_nationkey) FILTER (model_name LIKE 'Llama%'), 0) AS b1, coalesce(arg_min(average_combined_score, c_nationkey) FILTER (model_name LIKE 'Tuned%'), 0) AS c1,
@@ -248,9 +262,20 @@ def metric_key_union(spark, d):
     return compare.metric_key_union([_metric_rows(spark, d), kinds])
 
 
-@query("sink_markdown", f"WITH {_REPORTS}, t AS (SELECT model_name, evaluator_name, sum(num_scenarios) AS n FROM named GROUP BY ALL) SELECT '| ' || model_name || ' | ' || evaluator_name || ' | ' || n || ' |' AS line FROM t")
+@query("sink_markdown", f"""WITH {_PIVOT}, t AS (SELECT model_name, evaluator_name, sum(num_scenarios) AS n FROM named GROUP BY ALL), x AS (SELECT evaluator_name, metric, CASE WHEN baseline > candidate THEN 'baseline' WHEN candidate > baseline THEN 'candidate' ELSE 'equal' END AS higher FROM p)
+ SELECT unnest(['# Model Evaluation Results Comparison', '## Key Metrics Comparison', '| metric | evaluator_name | higher |', '| --- | --- | --- |', '## Detailed Metrics by Model and Evaluator', '| model_name | evaluator_name | n |', '| --- | --- | --- |']) AS line
+ UNION ALL SELECT '| ' || metric || ' | ' || evaluator_name || ' | ' || higher || ' |' FROM x UNION ALL SELECT '| ' || model_name || ' | ' || evaluator_name || ' | ' || n || ' |' FROM t""")
 def sink_markdown(spark, d):
-    from plumbline.sources.writers import markdown_lines
-
-    t = reports(spark, d).groupBy("model_name", "evaluator_name").agg(F.sum("num_scenarios").alias("n"))
-    return markdown_lines(t, ["model_name", "evaluator_name", "n"])
+    """The whole report, written as text and read back."""
+    from plumbline.sources import writers
+
+    pivot = _pivoted(spark, d)
+    higher = F.when(F.col("baseline") > F.col("candidate"), "baseline").when(
+        F.col("candidate") > F.col("baseline"), "candidate").otherwise("equal")
+    detail = reports(spark, d).groupBy("model_name", "evaluator_name").agg(F.sum("num_scenarios").alias("n"))
+    path = shared_dir(spark)
+    writers.sink_markdown(writers.markdown_report([
+        ("Key Metrics Comparison", pivot.withColumn("higher", higher), ["metric", "evaluator_name", "higher"]),
+        ("Detailed Metrics by Model and Evaluator", detail, ["model_name", "evaluator_name", "n"]),
+    ], "Model Evaluation Results Comparison"), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))

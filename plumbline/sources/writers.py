@@ -72,3 +72,32 @@ def markdown_lines(df: DataFrame, columns: list[str]) -> DataFrame:
     """Markdown rows as a table, for results that are written rather than shown."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("N/A")) for c in columns]
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def markdown_report(sections: list[tuple[str, DataFrame, list[str]]], title: str) -> DataFrame:
+    """Lines (section, part, line) of a report: title, then a heading and a table per section.
+
+    Ordered by these columns they are the report; rows of a table are in order of their text.
+    """
+    spark = sections[0][1].sparkSession
+    heads = [(0, 0, f"# {title}")]
+    for k, (heading, _, columns) in enumerate(sections, 1):
+        heads += [(k, 0, f"## {heading}"), (k, 1, "| " + " | ".join(columns) + " |"),
+                  (k, 2, "| " + " | ".join("---" for _ in columns) + " |")]
+    out = spark.createDataFrame(heads, "section int, part int, line string")
+    for k, (_, df, columns) in enumerate(sections, 1):
+        out = out.unionByName(markdown_lines(df, columns).select(F.lit(k).alias("section"), F.lit(3).alias("part"), "line"))
+    return out
+
+
+def sink_markdown(report: DataFrame, path: str) -> None:
+    """Write the lines of a report in order; a sorted write keeps any size readable in file order."""
+    report.orderBy("section", "part", "line").select("line").write.mode("overwrite").text(path)
+
+
+def sink_records_json(records: DataFrame, path: str, names: tuple[str, ...] = ("model_name", "evaluator_name")) -> None:
+    """Records as JSON lines, with their number and the distinct names beside them."""
+    records.write.mode("overwrite").json(f"{path}/records")
+    records.agg(F.count(F.lit(1)).alias("total_evaluations")).write.mode("overwrite").json(f"{path}/metadata")
+    for name in names:
+        records.select(name).distinct().write.mode("overwrite").json(f"{path}/{name}")
