@@ -56,25 +56,24 @@ def score_consistency(pairs: DataFrame, scores: list[str] | None = None) -> Data
 def run_consistency(left: DataFrame, right: DataFrame, key: str, scores: list[str] | None = None) -> DataFrame:
     """Agreement of two runs; runs that do not hold the same items give one error row.
 
-    The two sizes and the number of common items are counted in the same
-    aggregate as the join's sides, so unequal runs are never compared in part.
+    One row of counts is read first, so unequal runs are never compared in part.
     """
     names = scores or SCORES
     sides = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
         right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r")))
     per_key = sides.groupBy(key).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    counts = per_key.agg(F.coalesce(F.sum("l"), F.lit(0)).alias("n_left"), F.coalesce(F.sum("r"), F.lit(0)).alias("n_right"),
-                         F.coalesce(F.bool_and(F.col("l") == F.col("r")), F.lit(True)).alias("same"))
+    counts = per_key.agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right"),
+                         F.bool_and(F.col("l") == F.col("r")).alias("same")).first()
     pairs = left.select(key, *[F.col(s).alias(f"{s}_left") for s in names]).join(
         right.select(key, *[F.col(s).alias(f"{s}_right") for s in names]), key)
-    text = F.when(F.col("n_left") != F.col("n_right"), F.concat(
-        F.lit("Mismatched result counts: left="), "n_left", F.lit(", right="), "n_right")).otherwise("Mismatched items")
-    wrong = counts.where("NOT same").select(text.alias("error"))
-    rows = score_consistency(pairs, names)
-    # The one-row table of the check is joined by a constant, as it decides over all rows.
-    fine = rows.withColumn("__k", F.lit(1)).join(
-        F.broadcast(counts.where("same").select(F.lit(1).alias("__k"))), "__k").drop("__k").withColumn("error", F.lit(None).cast("string"))
-    return fine.unionByName(wrong.select("error", F.lit("error").alias("rating")), allowMissingColumns=True)
+    rows = score_consistency(pairs, names).withColumn("error", F.lit(None).cast("string"))
+    if counts["same"] is not False:
+        return rows
+    text = "Mismatched items"
+    if counts["n_left"] != counts["n_right"]:
+        text = f"Mismatched result counts: left={counts['n_left']}, right={counts['n_right']}"
+    wrong = left.sparkSession.createDataFrame([("error", text)], "rating string, error string")
+    return rows.limit(0).unionByName(wrong, allowMissingColumns=True)
 
 
 def overall_consistency(consistency: DataFrame) -> DataFrame:

@@ -22,11 +22,20 @@ def test_expressions_need_no_python(spark, sf, name):
     assert not re.search(r"BatchEvalPython|ArrowEvalPython|MapInPandas", text)
 
 
-@pytest.mark.parametrize("name", ["cross_mode", "filter_prompt_artifacts", "scope_penalty", "tfidf_near_core", "token_estimate"])
+@pytest.mark.parametrize("name", ["cross_mode", "filter_prompt_artifacts", "scope_penalty", "token_estimate"])
 def test_row_jobs_do_not_shuffle(spark, sf, name):
     assert "Exchange" not in plan(Q[name](spark, sf))
 
 
+def test_core_set_is_broadcast_without_python(spark, sf):
+    text = plan(Q["tfidf_near_core"](spark, sf))
+    assert "BroadcastHashJoin" in text and not re.search(r"ArrowEvalPython|MapInPandas", text)
+
+
+def test_log_sampling_needs_no_python(spark, sf):
+    assert not re.search(r"Python|Pandas|Arrow", plan(Q["condense_log"](spark, sf)))
+
+
 def test_parsing_does_not_shuffle_split_tables(spark):
     from plumbline.operators.judge import parse_answers
 
@@ -69,6 +78,7 @@ def test_hash_takes_broadcast_the_block_table(spark, sf, name):
 
 @pytest.mark.parametrize("name", sorted(Q))
 def test_no_cartesian_product(spark, sf, name):
-    if name.startswith(("stream_", "near_dup", "scan_", "sink_", "exclude", "log_", "condense")):
+    if name.startswith(("stream_", "near_dup", "scan_", "sink_", "exclude", "log_", "condense", "curate", "pipeline") + tuple(
+            f"op{k}_" for k in range(1, 11))):
         pytest.skip("runs jobs to build its plan; covered by the result tests")
     assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin", plan(Q[name](spark, sf)))
