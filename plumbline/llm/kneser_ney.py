@@ -41,7 +41,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from plumbline.llm.packed import FOLD, SLICE_ROWS, hashes, mix, slices, unpack, words
 from plumbline.session import written
 
-PACK_TOKENS = 1_500_000
+PACK_TOKENS = 1_000_000
 PACK_DOCS = 60_000
 HOT = 4096
 WORD_BITS, CONTEXT_BITS = 48, 40
@@ -437,7 +437,7 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text: str =
     texts = docs.select(F.col(id_column).alias("id"), F.coalesce(train, F.lit(False)).alias("train"),
                         F.col(text).alias("text"))
     hot, tokens = hot_words(texts)
-    layout = Layout(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2), hot)
+    layout = Layout(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), hot)
     facts = written(shard_facts(count_packs(texts, layout), layout))
     known = constants(facts, tokens)
     replies = written(answers(facts, layout, known))
