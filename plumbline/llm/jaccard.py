@@ -5,10 +5,12 @@ Two documents link if their sets of n-word shingles overlap by at least
 exact; no pair of a class of copies is formed, and no bucket is capped.
 
 1. Filter. Of a set of n shingles a partner misses at most (100 - percent) % n.
-   In the order of hashes, each set's first `PREFIX_PERCENT` are dealt to
-   fragments by hash; a fragment counts, for every set, the shingles that no
-   other set has, and the counts are summed per set. A set with too many is linked to
-   nothing and goes. What a task can tell alone is settled before the exchange.
+   The shingles whose hash is below one bound, the same for all sets and about
+   `PREFIX_PERCENT` of all, are dealt to fragments by hash, so a shared shingle
+   is dealt by each set that has it or by none; a fragment counts, for every
+   set, the shingles that no other set has, and the counts are summed per set. A
+   set with too many is linked to nothing and goes. What a task can tell alone is
+   settled before the exchange.
 2. Order. For the remaining sets all shingles are ordered by how many of these
    sets have them, then by hash, and cut into fragments at quantiles; a set
    becomes one sorted segment per fragment.
@@ -41,6 +43,8 @@ from plumbline.llm.packed import FOLD, gram_hashes, hashes, mix, owner, slices,
 from plumbline.session import written
 
 PREFIX_PERCENT = 30
+#: Hashes below it are dealt by the filter.
+DEALT_BELOW = np.uint64(2**64 * PREFIX_PERCENT // 100)
 SEGMENTS = 8
 FLUSH_SHINGLES = 1_000_000
 FLUSH_TEXTS = 60_000
@@ -115,7 +119,7 @@ def _tie(text: str) -> Column:
 
 
 def _unshared(docs: DataFrame, text: str, n: int, fragments: int) -> DataFrame:
-    """(s1, unshared): shingles of each set's hash prefix that no other set has."""
+    """(s1, unshared): shingles of each set with a hash below the bound that no other set has."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -125,9 +129,10 @@ def _unshared(docs: DataFrame, text: str, n: int, fragments: int) -> DataFrame:
                 rows, grams = shingle_sets(part.column("text"), n)
                 if not len(rows):
                     continue
-                size, one, _ = _signatures(rows, grams, part.num_rows)
-                at = np.concatenate([[0], np.cumsum(size)])
-                taken = np.arange(len(rows)) - at[rows] < -(-size[rows] * PREFIX_PERCENT // 100)
+                _, one, _ = _signatures(rows, grams, part.num_rows)
+                taken = grams < DEALT_BELOW
+                if not taken.any():
+                    continue
                 held.append((one[rows[taken]], grams[taken]))
                 total += int(taken.sum())
                 texts_held += part.num_rows

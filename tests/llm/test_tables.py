@@ -124,6 +124,23 @@ def test_jaccard_edges(spark):
     assert jaccard.join(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("percent, common, more", [(85, 17, 3), (80, 8, 2)])
+def test_jaccard_keeps_pairs_at_the_threshold(spark, percent, common, more):
+    """A text and its copy with a few words appended: the filter may drop neither."""
+    texts = []
+    for k in range(600):
+        words = [f"p{k}w{i}" for i in range(common + more + 3)]
+        texts += [" ".join(words[:common + 3]), " ".join(words)]
+    found = {r.doc_id: r.component_id for r in jaccard.join(make(spark, texts), 4, percent).collect()}
+    assert found == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_jaccard_of_tasks_that_deal_nothing(spark):
+    """Texts of one shingle, a task each: most have no hash below the bound."""
+    docs = make(spark, [f"t{i // 2}" for i in range(8)]).repartition(8, "doc_id")
+    assert {r.doc_id: r.component_id for r in jaccard.join(docs).collect()} == {i: i - i % 2 for i in range(8)}
+
+
 # --- fingerprints ----------------------------------------------------------------------------
 
 def test_next_document_and_edit(spark, corpus):
