@@ -23,6 +23,8 @@ from plumbline.session import written
 
 #: Texts whose language scores lower are rejected.
 LEAST_SCORE = 0.3
+#: Words a shingle and least overlap of near duplicates.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates: that of the least id."""
-    found = jaccard.join(docs)
+    found = jaccard.join(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
     row = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("t"))
     others = found.where("component_id <> doc_id").select(
         F.struct("doc_id", F.lit(None).cast("string").alias("t")).alias("__row"))

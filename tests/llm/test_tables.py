@@ -141,6 +141,20 @@ def test_jaccard_of_tasks_that_deal_nothing(spark):
     assert {r.doc_id: r.component_id for r in jaccard.join(docs).collect()} == {i: i - i % 2 for i in range(8)}
 
 
+def test_pipeline_stage_removes_copies_between_80_and_85(spark):
+    import corpus_pipeline
+
+    texts = []
+    for k in range(20):
+        words = [f"k{k}w{i}" for i in range(125)]
+        # 96 of 116 shingles of five words are shared, then 96 of 121.
+        texts += [" ".join(words[:100]), " ".join(words[:120])] if k % 2 else [" ".join(words[:100]), " ".join(words)]
+    docs = make(spark, texts).withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text")})
+    left = corpus_pipeline.one_of_each(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted(r.doc_id for r in left.collect()) == [i for i in range(40) if i % 4 != 3]
+
+
 # --- fingerprints ----------------------------------------------------------------------------
 
 def test_next_document_and_edit(spark, corpus):
