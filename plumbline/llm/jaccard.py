@@ -23,10 +23,13 @@ exact; no pair of a class of copies is formed, and no bucket is capped.
 4. Verification. Per fragment and pair the segments' overlap is counted; the
    partial overlaps are summed per pair and compared with the union.
 
-Texts with fewer words than n are one shingle; texts without words are linked
-with nothing. The result has one row per id: rows that repeat an id count once,
-and if their texts differ, that of the least digest counts. Rows of a null id
-are one row without links.
+Texts with fewer words than n are one shingle; texts without words (null, empty
+or blank) are linked with nothing. The result has one row per input row: rows
+that repeat an id each have their own set, and rows of a null id link with
+nothing. Inside, a class of equal sets has a number of its own, so ids may be of
+any type and repeat. Ties between centres change the order of the work only.
+Texts of any length are read whole, an empty table gives no rows, and columns
+other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -97,7 +100,7 @@ def _signatures(rows: np.ndarray, grams: np.ndarray, texts: int) -> tuple[np.nda
 
 
 def describe(docs: DataFrame, id_column: str, text: str, n: int) -> DataFrame:
-    """(id, tie, size, s1, s2): digest of the text, set size and digest of the set of every id."""
+    """(id, tie, size, s1, s2): digest of the text, set size and digest of the set of every row."""
     kind = docs.schema[id_column].dataType.simpleString()
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,9 +112,8 @@ def describe(docs: DataFrame, id_column: str, text: str, n: int) -> DataFrame:
                     [part.column("id"), part.column("tie"), pa.array(size.astype(np.int64)), pa.array(_signed(one)),
                      pa.array(_signed(two))], names=["id", "tie", "size", "s1", "s2"])
 
-    rows = docs.select(F.col(id_column).alias("id"), _tie(text).alias("tie"), F.col(text).alias("text")).mapInArrow(
+    return docs.select(F.col(id_column).alias("id"), _tie(text).alias("tie"), F.col(text).alias("text")).mapInArrow(
         described, f"id {kind}, tie string, size bigint, s1 bigint, s2 bigint")
-    return rows.groupBy("id").agg(F.min(F.struct("tie", "size", "s1", "s2")).alias("d")).select("id", "d.*")
 
 
 def _tie(text: str) -> Column:
@@ -253,13 +255,13 @@ def _ordered(docs: DataFrame, sets: DataFrame, n: int, percent: int, id_column:
     fragments = 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lonely = _unshared(docs, text, n, fragments)
     alive = sets.join(lonely, "s1", "left").where(
-        F.coalesce("unshared", F.lit(0)) * 100 <= F.col("size") * (100 - percent)).select("v", "tie")
-    texts = docs.select(F.col(id_column).alias("v"), _tie(text).alias("tie"), F.col(text).alias("text"))
+        F.coalesce("unshared", F.lit(0)) * 100 <= F.col("size") * (100 - percent)).select("v", "id", "tie")
+    texts = docs.select(F.col(id_column).alias("id"), _tie(text).alias("tie"), F.col(text).alias("text"))
     alive = written(alive)
     # Few sets remain; texts move only if they are many.
     alive = F.broadcast(alive) if alive.count() <= BROADCAST_SETS else alive
-    chosen = texts.join(alive, ["v", "tie"]).groupBy("v", "tie").agg(F.min("text").alias("text"))
-    grams = written(_grams_of(chosen.select("v", "text"), n))
+    chosen = texts.join(alive, ["id", "tie"]).groupBy("v").agg(F.min("text").alias("text"))
+    grams = written(_grams_of(chosen, n))
     common = grams.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # The global order: how many sets have a shingle, then its hash.
     return written(grams.join(common, "h").groupBy("v", "size").agg(
@@ -315,23 +317,14 @@ def _within_centres(members: DataFrame, percent: int) -> DataFrame:
     `members` has (c, size_c, v, size, component, more, less): what a set has
     beyond its centre and what it lacks of it. The overlap of two sets follows
     from these: size_c - |less_a or less_b| + |more_a and more_b|. Sets that are
-    not in the centre's main component meet all sets of the centre in pairs of
-    blocks; a task holds one pair and returns only links that join components.
+    not in the centre's main component are open; blocks of them meet blocks of
+    all sets of the centre. A task holds one pair of blocks and returns only
+    links that join components. Each side is cut by its own size, so N sets with
+    one open set among them are copied once.
     """
     count = F.count(F.lit(1)).alias("n")
     sizes = members.groupBy("c", "component").agg(count)
-    mains = sizes.groupBy("c").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"),
-                                   F.count(F.lit(1)).alias("k")).where("k > 1")
-    blocks = F.ceil(F.col("n") / BLOCK_SETS).cast("int")
-    dealt = members.join(mains.select("c", F.col("m.component").alias("main"), blocks.alias("blocks")), "c").withColumn(
-        "block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    # As the open side a set meets every block, as the other side every block meets it.
-    asks = dealt.where("component <> main").select("*", F.lit(0).alias("side"), F.explode(every).alias("other"))
-    gives = dealt.select("*", F.lit(1).alias("side"), F.explode(every).alias("other"))
-    columns = ["c", "size_c", "v", "size", "component", "more", "less", "side"]
-    rows = asks.select(*columns, F.col("block").alias("i"), F.col("other").alias("j")).unionByName(
-        gives.select(*columns, F.col("other").alias("i"), F.col("block").alias("j")))
+    rows = _dealt_members(members)
     kind = members.schema["v"].dataType.simpleString()
     meet = rows.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "side")
 
@@ -351,6 +344,30 @@ def _within_centres(members: DataFrame, percent: int) -> DataFrame:
     return meet.mapInArrow(compared, f"a {kind}, b {kind}")
 
 
+def _dealt_members(members: DataFrame) -> DataFrame:
+    """Rows of each pair (i, j) of a block of open sets and a block of all sets, per centre."""
+    sizes = members.groupBy("c", "component").agg(F.count(F.lit(1)).alias("n"))
+    mains = sizes.groupBy("c").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"),
+                                   F.count(F.lit(1)).alias("k")).where("k > 1")
+    plan = mains.select(
+        "c", F.col("m.component").alias("main"),
+        F.ceil((F.col("n") - F.col("m.n")) / BLOCK_SETS).cast("int").alias("opens"),
+        F.ceil(F.col("n") / BLOCK_SETS).cast("int").alias("blocks"))
+    dealt = members.join(plan, "c")
+    columns = ["c", "size_c", "v", "size", "component", "more", "less", "side", "i", "j"]
+
+    def place(blocks: str) -> Column:
+        return F.pmod(F.xxhash64("v"), F.col(blocks)).cast("int")
+
+    def each(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+    asks = dealt.where("component <> main").select(
+        "*", F.lit(0).alias("side"), place("opens").alias("i"), each("blocks").alias("j"))
+    gives = dealt.select("*", F.lit(1).alias("side"), each("opens").alias("i"), place("blocks").alias("j"))
+    return asks.select(*columns).unionByName(gives.select(*columns))
+
+
 def _block_links(rows: list[dict], percent: int) -> pa.RecordBatch:
     """Links of one pair of blocks that join components."""
     x, y = [r for r in rows if r["side"] == 0], [r for r in rows if r["side"] == 1]
@@ -439,17 +456,23 @@ def links(docs: DataFrame, sets: DataFrame, n: int, percent: int, id_column: str
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id), one row per id."""
+    """(id, n_shingles, component_id) of every row."""
     described = written(describe(docs, id_column, text, n))
     classes = written(described.where("size > 0 AND id IS NOT NULL").groupBy("s1", "s2", "size").agg(
         F.min(F.struct("id", "tie")).alias("m"), F.count(F.lit(1)).alias("n")).select(
-            "s1", "s2", "size", F.col("m.id").alias("v"), F.col("m.tie").alias("tie"), "n"))
-    joined = components(links(docs, classes, n, percent, id_column, text))
+            "s1", "s2", "size", F.col("m.id").alias("id"), F.col("m.tie").alias("tie"), "n",
+            F.monotonically_increasing_id().alias("v")))
+    joined = written(components(links(docs, classes, n, percent, id_column, text)).withColumnRenamed("vertex", "v"))
+    total = described.count()
+    linked = classes.join(joined, "v", "left")
+    least = linked.where("component IS NOT NULL").groupBy("component").agg(
+        F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     key = F.concat_ws(":", "s1", "s2", "size")
-    # Only classes of several ids or with links need a look-up.
-    roots = classes.join(joined.withColumnRenamed("vertex", "v"), "v", "left").where(
-        "n > 1 OR component IS NOT NULL").select(key.alias("key"), "n", F.coalesce("component", "v").alias("root"))
-    keyed = described.select("id", "size", F.when((F.col("size") > 0) & F.col("id").isNotNull(), key).alias("key"))
-    found = attach(keyed, roots, "key", F.xxhash64("id"), described.count())
+    # Only classes of several rows or with links need a look-up.
+    roots = attach(linked, least, "component", F.col("v"), total).where("n > 1 OR component IS NOT NULL").select(
+        key.alias("key"), "n", F.coalesce("least", "id").alias("root"))
+    keyed = described.select(
+        "id", "tie", "size", F.when((F.col("size") > 0) & F.col("id").isNotNull(), key).alias("key"))
+    found = attach(keyed, roots, "key", F.xxhash64("id", "tie"), total)
     return found.select(F.col("id").alias(id_column), F.col("size").alias("n_shingles"),
                         F.coalesce("root", "id").alias("component_id"))
