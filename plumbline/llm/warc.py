@@ -3,11 +3,14 @@
 A payload is streamed as (record, chunk number) rows of at most `chunk_bytes`
 bytes. Each row carries the SHA-1 of its own bytes, that of all bytes so far and
 whether it is the last, so neither writer nor reader holds a second copy of a
-payload. A row becomes one WARC record: the first a `response`, later ones
+payload: chunks are views of the batch that Spark hands over. A row becomes one WARC record: the first a `response`, later ones
 `continuation` records of the same origin, as the format has it for segments.
 Spark's text writer puts the records behind each other (the line end is the
 format's own CR LF); the text reader cuts at the version line. A chunk ends
-inside any version line that a payload contains, so the cut is exact.
+inside any version text that a payload contains, whatever follows it, so a
+record's own line end never completes one and the cut is exact. In header values
+control characters and version texts are %-coded; page ids are read back as they
+were, urls keep the codes.
 
 Of records with equal payloads of at least `revisit_bytes`, that of the smallest
 page is a response and the others are `revisit` records without a payload.
@@ -15,13 +18,15 @@ page is a response and the others are `revisit` records without a payload.
 Null html is an empty payload; a null url is left out. Rows that repeat the
 smallest page are responses too; a row with a null page is a response. Very long
 payloads are many chunks; a row of the input table itself is held as Spark
-reads it. An empty table writes an empty archive.
+reads it. An empty table writes an empty archive. Columns other than the id, the
+url and the html are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,7 +35,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from plumbline.llm.groups import attach
 from plumbline.session import shared_dir
 
-MAGIC = "WARC/1.1\r\n"
+VERSION = "WARC/1.1"
+MAGIC = VERSION + "\r\n"
+_VERSION = re.compile(re.escape(VERSION).encode())
 CHUNK_BYTES = 1 << 20
 NO_DATE = "1970-01-01T00:00:00Z"
 
@@ -51,7 +58,7 @@ def decisions(pages: DataFrame, id_column: str, html: str, revisit_bytes: int) -
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     keyed = pages.select(
         F.col(id_column).alias("page"), F.col("url") if "url" in pages.columns else F.lit(None).cast("string").alias("url"),
-        F.coalesce(F.col(html), F.lit("")).alias("payload"), F.octet_length(payload).cast("bigint").alias("bytes"),
+        payload.alias("payload"), F.octet_length(payload).cast("bigint").alias("bytes"),
         base32_sha1(payload).alias("digest"))
     keyed = keyed.withColumn("key", F.when(F.col("bytes") >= revisit_bytes, F.concat_ws(":", "digest", "bytes")))
     groups = keyed.where("key IS NOT NULL").groupBy("key").agg(
@@ -64,16 +71,16 @@ def decisions(pages: DataFrame, id_column: str, html: str, revisit_bytes: int) -
                         F.monotonically_increasing_id().alias("row"))
 
 
-def pieces(payload: bytes, chunk_bytes: int) -> Iterator[memoryview]:
-    """Cut a payload at characters, and inside every version line in it; nothing for an empty one."""
-    view, start, magic = memoryview(payload), 0, MAGIC.encode()
+def pieces(payload: bytes | memoryview, chunk_bytes: int) -> Iterator[memoryview]:
+    """Cut a payload at characters, and inside every version text in it; nothing for an empty one."""
+    view, start = memoryview(payload), 0
     while start < len(view):
         stop = min(start + chunk_bytes, len(view))
-        while stop < len(view) and stop > start + 1 and payload[stop] & 0xC0 == 0x80:
+        while stop < len(view) and stop > start + 1 and view[stop] & 0xC0 == 0x80:
             stop -= 1
-        found = payload.find(magic, start, min(stop + len(magic), len(view)))
-        if found >= 0:
-            stop = min(stop, found + 4)
+        found = _VERSION.search(view, start, min(stop + len(VERSION), len(view)))
+        if found:
+            stop = min(stop, found.start() + 4)
         yield view[start:stop]
         start = stop
 
@@ -90,9 +97,10 @@ def chunk_rows(known: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         for batch in batches:
             place, out, held = [], [], 0
             for k in range(batch.num_rows):
-                payload = b"" if batch.column("revisit")[k].as_py() else batch.column("payload")[k].as_py().encode()
+                held_here = not batch.column("revisit")[k].as_py()
+                payload = memoryview(batch.column("payload")[k].as_buffer()) if held_here else memoryview(b"")
                 whole, at = hashlib.sha1(), 0
-                for number, piece in enumerate(pieces(payload, chunk_bytes) if payload else [memoryview(b"")]):
+                for number, piece in enumerate(pieces(payload, chunk_bytes) if len(payload) else [payload]):
                     whole.update(piece)
                     at += len(piece)
                     place.append(k)
@@ -115,16 +123,31 @@ def _rows(batch: pa.RecordBatch, fixed: list[str], place: list[int], out: list[t
     return pa.RecordBatch.from_arrays(columns, names=[*fixed, "chunk", "last", "body", "body_digest", "so_far"])
 
 
+#: Characters of header values that are written as %-codes; "%" itself only where a value is read back as it was.
+_CODES = {"\r": "%0D", "\n": "%0A", VERSION: VERSION.replace(".", "%2E")}
+
+
 def _line(name: str, value: Column) -> Column:
-    """A header line, or null (left out) if the value is null; control characters become %-codes."""
+    """A header line, or null (left out) if the value is null."""
     safe = value.cast("string")
-    for c in ("\r", "\n"):
-        safe = F.replace(safe, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    for plain, code in _CODES.items():
+        safe = F.replace(safe, F.lit(plain), F.lit(code))
     return F.concat(F.lit(f"{name}: "), safe)
 
 
+def _kept(value: Column) -> Column:
+    """A value whose codes `_plain` undoes."""
+    return F.replace(value.cast("string"), F.lit("%"), F.lit("%25"))
+
+
+def _plain(value: Column) -> Column:
+    for plain, code in _CODES.items():
+        value = F.replace(value, F.lit(code), F.lit(plain))
+    return F.replace(value, F.lit("%25"), F.lit("%"))
+
+
 def _record_id(page: Column, *more: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.concat_ws(":", F.coalesce(page.cast("string"), F.lit("null")), *more), F.lit(">"))
+    return F.concat(F.lit("<urn:page:"), F.concat_ws(":", F.coalesce(_kept(page), F.lit("null")), *more), F.lit(">"))
 
 
 def write(chunks: DataFrame, path: str, compression: str = "gzip") -> None:
@@ -138,7 +161,7 @@ def write(chunks: DataFrame, path: str, compression: str = "gzip") -> None:
         _line("WARC-Record-ID", _record_id(F.col("page"), F.col("row"), F.col("chunk"))),
         F.lit(f"WARC-Date: {NO_DATE}"),
         _line("WARC-Target-URI", F.when(first, F.col("url"))),
-        _line("WARC-Page", F.col("page")),
+        _line("WARC-Page", _kept(F.col("page"))),
         _line("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.col("body_digest"))),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.when(F.col("revisit"), F.col("digest")).otherwise(F.col("so_far")))),
         _line("WARC-Payload-Length", F.col("bytes")),
@@ -165,9 +188,9 @@ def read(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
         found = F.regexp_extract(F.concat(F.lit("\n"), F.col("head")), rf"\n{name}: ([^\r]*)", 1)
         return F.when(found != "", found)
 
-    page = F.regexp_extract(field("WARC-Refers-To"), "page:(.*)>", 1)
+    page = _plain(F.regexp_extract(field("WARC-Refers-To"), "page:(.*)>", 1))
     return parts.select(
-        field("WARC-Page").cast(id_type).alias("page"), field("WARC-Target-URI").alias("url"),
+        _plain(field("WARC-Page")).cast(id_type).alias("page"), field("WARC-Target-URI").alias("url"),
         field("WARC-Type").alias("type"), page.cast(id_type).alias("refers_to"),
         (F.coalesce(field("WARC-Segment-Number").cast("int"), F.lit(1)) - 1).alias("chunk"),
         field("WARC-Segment-Number").isNotNull().alias("segmented"),
