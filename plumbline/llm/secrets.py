@@ -3,24 +3,37 @@
 The field tags tokens (runs of letters, digits and `_+/-.`) as outside, begin or
 inside a secret. Features: the token's shape (length, character kinds, changes
 between letters and digits), what stands between it and its neighbours, hashed
-neighbouring words, and properties of the whole file. It is trained by
-likelihood on windows of at most about `sample_rows` texts whose tokens the base
-patterns have labelled, and adds spans the patterns do not cover.
+neighbouring words, and properties of the whole file. It adds spans that the
+patterns do not cover.
+
+Training. Windows of about `sample_rows` texts are labelled by the base patterns.
+As these know a few key words and alphabets only, every secret is also shown
+rewritten: under another word of its text, with other quotes and signs, and as a
+random string of another alphabet; ordinary words and numbers in the same places
+are shown as no secrets. Whole groups of features are left out at random, so that
+shape and context each suffice. Tokens with digits or of unusual length that are
+no secret are shown too. A part of the windows is held back, and the outside tag
+is raised until (nearly) none of its tokens outside is taken for a secret.
 
 Decoding is Viterbi. A token whose outside score leads by more than any change
 of its two transitions can win is outside on every best path, so only the runs
-between such tokens are decoded; the result is that of the whole chain. A chain
-starts anew at the first white space after every `CHAIN_BYTES` bytes of a text.
-
-Text null or empty: no spans. Repeated rows each get their row; ties in the
-score go to the lower tag. Very long texts are read whole, chain by chain. Only
-the named columns are read.
+between such tokens are decoded; the result is that of the whole chain. A long
+text is read in pieces that end at such a token; the file's properties are
+counted over the whole text first, and neighbours are seen across the cut, so
+tags do not depend on where a text is cut.
+
+Text null or empty: no spans. Without a text that holds a base span there is no
+field (None) and `find` returns the base spans; an empty table gives no rows.
+Repeated rows each get their row; ties in the score go to the lower tag. Very
+long texts are read whole, piece by piece. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +43,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline.llm.packed import FOLD, SPACE, hashes, owner, runs, slices, unpack
 
-CHAIN_BYTES = 1 << 21
+#: Code points of a text that are looked at together; it bounds memory and changes no result.
+PIECE = 1 << 20
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 KINDS = ["assign", "access", "hex", "crf"]
 ASSIGN = re.compile(
@@ -84,10 +98,20 @@ class Tokens:
     row: np.ndarray
     #: index of each feature, one column per field
     features: np.ndarray
+    #: per text: tokens, tokens of letters and digits, tokens behind an equals sign or colon
+    counts: np.ndarray
+
+
+def file_index(counts: np.ndarray) -> np.ndarray:
+    """Class of a file by the counts of its tokens, below 64."""
+    total = np.maximum(counts[:, 0], 1)
+    steps = [0.001, 0.01, 0.05]
+    file = np.searchsorted(steps, counts[:, 1] / total, "right") * 4 + np.searchsorted(steps, counts[:, 2] / total, "right")
+    return file * 4 + np.searchsorted([30, 300, 3000], total, "right")
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
-    """Tokens of all texts with their feature indices."""
+def tokens(data: np.ndarray, offsets: np.ndarray, counts: np.ndarray | None = None) -> Tokens:
+    """Tokens of all texts with their feature indices; `counts` are the files' own where texts are pieces of them."""
     starts, ends = runs(_TOKEN[data], offsets)
     row = owner(starts, offsets)
     n, texts = len(starts), len(offsets) - 1
@@ -122,18 +146,15 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
             out[b] = np.where(row[a] == row[b], h[a], 0)
         return out
 
-    total = np.maximum(np.bincount(row, minlength=texts), 1)
-    mixed = np.bincount(row, weights=(kinds & 4 > 0) & (kinds & 3 > 0), minlength=texts)
-    equals = np.bincount(row, weights=gap >= 2, minlength=texts)
-    file = (np.searchsorted([0.001, 0.01, 0.05], mixed / total, "right") * 4
-            + np.searchsorted([0.001, 0.01, 0.05], equals / total, "right")) * 4
-    file += np.searchsorted([30, 300, 3000], total, "right")
-    own_file = file[row]
+    own = np.column_stack([
+        np.bincount(row, minlength=texts), np.bincount(row, weights=(kinds & 4 > 0) & (kinds & 3 > 0), minlength=texts),
+        np.bincount(row, weights=gap >= 2, minlength=texts)]).astype(np.int64)
+    own_file = file_index(own if counts is None else counts)[row]
     both = ((kinds & 3 > 0) & (kinds & 4 > 0)).astype(np.int64)
     random = (both * 4 + changes) * 8 + np.minimum(size, 4)  # whatever the alphabet
     columns = [shape, coarse, neighbour(-1), neighbour(-2), neighbour(1), own_file, (size * 32 + kinds) * 4 + own_file // 16,
                random]
-    return Tokens(starts, ends, row, np.column_stack([c + s for c, s in zip(columns, _START.values())]))
+    return Tokens(starts, ends, row, np.column_stack([c + s for c, s in zip(columns, _START.values())]), own)
 
 
 @dataclass(frozen=True)
@@ -149,14 +170,18 @@ class Field:
             out += self.emission[column]
         return out
 
+    def open_tokens(self, score: np.ndarray) -> np.ndarray:
+        """Tokens that may be part of a secret whatever stands around them."""
+        swing = float(2 * (self.transition.max() - self.transition.min()))
+        return score[:, OUTSIDE] - score[:, 1:].max(1) <= swing
+
     def decode(self, found: Tokens) -> np.ndarray:
-        """Viterbi tags of all tokens, chain by chain."""
+        """Viterbi tags of all tokens, text by text."""
         tags = np.zeros(len(found.row), np.int8)
         if not len(tags):
             return tags
         score = self.scores(found.features)
-        swing = float(2 * (self.transition.max() - self.transition.min()))
-        open_ = score[:, OUTSIDE] - score[:, 1:].max(1) <= swing
+        open_ = self.open_tokens(score)
         if not open_.any():
             return tags
         at = np.flatnonzero(open_)
@@ -198,109 +223,283 @@ def crf_spans(found: Tokens, tags: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def _chains(texts: list[str | None]) -> tuple[pa.Array, list[tuple[int, int]]]:
-    """Texts cut into chains, with the text and the first code point of each."""
-    pieces, place = [], []
-    for k, text in enumerate(texts):
-        text = text or ""
-        start = 0
-        while len(text) - start > CHAIN_BYTES:
-            found = _BLANK.search(text, start + CHAIN_BYTES)
-            stop = found.start() if found else len(text)
-            pieces.append(text[start:stop])
-            place.append((k, start))
-            start = stop
-        pieces.append(text[start:])
-        place.append((k, start))
-    return pa.array(pieces, pa.large_string()), place
+def _bytes_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    return unpack(pa.array([text], pa.large_string()))
 
 
 _BLANK = re.compile("[\x20\x09-\x0d]")
 
 
+def _blank_cut(text: str, at: int) -> int:
+    """The first white space from a place on, or the end: no token is cut there."""
+    found = _BLANK.search(text, at)
+    return found.start() if found else len(text)
+
+
+def file_counts(text: str) -> np.ndarray:
+    """Token counts of a whole text, summed over pieces."""
+    total, at = np.zeros((1, 3), np.int64), 0
+    while at < len(text):
+        stop = _blank_cut(text, min(at + PIECE, len(text)))
+        data, offsets = _bytes_of(text[at:stop])
+        found = tokens(data, offsets)
+        total += found.counts
+        # The sign in front of a piece's first token may lie in the piece before.
+        if at and len(found.starts):
+            before = _LAST_TOKEN_GAP.search(text, max(0, at - PIECE), at)
+            own = bytes(data[: found.starts[0]])
+            if before and set(before.group(1)) & set("=:") and not set(own) & set(b"=:"):
+                total[0, 2] += 1
+        at = stop
+    return total
+
+
+#: What stands behind the last token.
+_LAST_TOKEN_GAP = re.compile(r"([^A-Za-z0-9_+/.\x80-\U0010ffff-]*)\Z")
+
+
+def long_spans(text: str, field: Field) -> list[tuple[int, int]]:
+    """Tagged spans of a text read in pieces, in code points; the same as read at once."""
+    counts, out, at, size = file_counts(text), [], 0, PIECE
+    while at < len(text):
+        stop = _blank_cut(text, min(at + size, len(text)))
+        # Tokens on either side are seen as neighbours.
+        low = _back(text, at)
+        high = _blank_cut(text, min(stop + REACH * 64, len(text))) if stop < len(text) else stop
+        data, offsets = _bytes_of(text[low:high])
+        found = tokens(data, offsets, counts)
+        place = np.cumsum((data & 0xC0) != 0x80)
+        starts, ends = low + place[found.starts] - 1, low + place[found.ends - 1]
+        inside = np.flatnonzero((starts >= at) & (starts < stop))
+        open_ = field.open_tokens(field.scores(found.features)) if len(starts) else np.zeros(0, bool)
+        if stop < len(text):
+            # Go on from the last token that is surely outside; what follows is decoded with the next piece.
+            sure = inside[~open_[inside]]
+            if not len(sure) or starts[sure[-1]] <= at:
+                if len(inside):
+                    size *= 2
+                    continue
+                at = stop
+                continue
+            inside = inside[inside < sure[-1]]
+            stop = int(starts[sure[-1]])
+        tags = field.decode(found)
+        keep = np.zeros(len(tags), bool)
+        keep[inside] = True
+        tags[~keep] = OUTSIDE
+        for _, a, b in crf_spans(found, tags):
+            out.append((int(low + place[a] - 1), int(low + place[b - 1])))
+        at, size = stop, PIECE
+    return out
+
+
+def _back(text: str, at: int) -> int:
+    """A place at white space with a few tokens between it and `at`."""
+    low = at
+    for _ in range(4):
+        if not low:
+            return 0
+        low = max(text.rfind(c, 0, max(low - 1, 0)) for c in " \n\t")
+        low = max(low, 0)
+    return low
+
+
 def scan(texts: list[str | None], field: Field | None) -> Iterator[tuple[list, list]]:
     """Base spans and all spans of each text."""
     base = [base_spans(t) if t else [] for t in texts]
     more: list[list] = [[] for _ in texts]
+
+    def add(k: int, start: int, stop: int) -> None:
+        if not any(s[0] < stop and start < s[2] for s in base[k]):
+            more[k].append((start, 3, stop, start))
+
     if field is not None:
-        pieces, place = _chains(texts)
-        data, offsets = unpack(pieces)
+        data, offsets = unpack(pa.array([t if t and len(t) <= PIECE else "" for t in texts], pa.large_string()))
         found = tokens(data, offsets)
         for row, start, end in crf_spans(found, field.decode(found)):
-            k, first = place[row]
-            lead = first + int(((data[offsets[row]:start] & 0xC0) != 0x80).sum())
-            stop = lead + int(((data[start:end] & 0xC0) != 0x80).sum())
-            if not any(s[0] < stop and lead < s[2] for s in base[k]):
-                more[k].append((lead, 3, stop, lead))
+            lead = int(((data[offsets[row]:start] & 0xC0) != 0x80).sum())
+            add(row, lead, lead + int(((data[start:end] & 0xC0) != 0x80).sum()))
+        for k, text in enumerate(texts):
+            if text and len(text) > PIECE:
+                for start, stop in long_spans(text, field):
+                    add(k, start, stop)
     for b, m in zip(base, more):
         yield b, sorted(b + m)
 
 
-def train(docs: DataFrame, text: str = "text", id_column: str = "doc_id", sample_rows: int = 3000,
-          longest: int = 50_000, windows: int = 6, epochs: int = 30) -> Field | None:
-    """A field from windows of about `sample_rows` texts of at most `longest` characters.
-
-    Windows of 2 * REACH + 1 tokens: up to `windows` a text around secrets that
-    the base patterns find, and two at regular places. None if no secret is found.
+_HEX, _LOW, _BIG = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_NUM = "0123456789"
+
+
+def _random_secret(rng: random.Random) -> str:
+    """A string of a random alphabet, as keys and tokens have them."""
+    def some(alphabet: str, low: int, high: int) -> str:
+        return "".join(rng.choices(alphabet, k=rng.randint(low, high)))
+
+    kind = rng.randrange(8)
+    if kind == 0:
+        body = list(some(_HEX, 24, 64))
+        for _ in range(rng.randint(1, 3)):
+            body[rng.randrange(len(body))] = rng.choice("ghjkmnpqrstuvwxyz")
+        return "".join(body)
+    if kind == 1:
+        return some(_LOW + _NUM, 20, 48)
+    if kind == 2:
+        return some(_LOW + _BIG + _NUM, 16, 44)
+    if kind == 3:
+        return some(_LOW + _BIG + _NUM + "+/", 24, 60)
+    if kind == 4:
+        return some(_BIG + _NUM, 16, 40)
+    if kind == 5:
+        return some(_LOW, 2, 5) + rng.choice("_-") + some(_LOW + _BIG + _NUM, 20, 40)
+    if kind == 6:
+        return ".".join(some(_LOW + _BIG + _NUM + "_-", 18, 40) for _ in range(3))
+    return some(_LOW + _BIG + _NUM, 4, 8) + rng.choice("_-/+") + some(_LOW + _BIG + _NUM, 8, 24)
+
+
+def _no_secret(rng: random.Random, words: list[str]) -> str:
+    """What stands in the same places without being a secret."""
+    kind = rng.randrange(6)
+    if kind == 0:
+        return "".join(rng.choices(_NUM, k=rng.randint(1, 16)))
+    if kind == 1:
+        return ".".join(str(rng.randrange(1000)) for _ in range(rng.randint(2, 4)))
+    if kind == 2:
+        return f"{rng.randint(1990, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}"
+    if kind == 3:
+        return rng.choice(words) + str(rng.randrange(100))
+    if kind == 4:
+        return rng.choice(words) + rng.choice("_-./") + rng.choice(words)
+    return rng.choice(words)
+
+
+def rewritten(text: str, span: tuple[int, int, int, int], rng: random.Random) -> tuple[str, int, int]:
+    """A passage around a span with another name and value; where its secret lies (nowhere: equal ends)."""
+    before, after = text[max(0, span[0] - 160):span[0]], text[span[2]:span[2] + 160]
+    words = re.findall("[^\\W\\d_]+", before + " " + after) or ["a"]
+    name = rng.choice(words).lower()
+    if rng.random() < 0.3:
+        name += rng.choice("_-") + rng.choice(words).lower()
+    quote = rng.choice(["\"", "'", ""])
+    sign = rng.choice([" = ", "=", ": ", ":", " "])
+    secret = rng.random() < 0.6
+    value = _random_secret(rng) if secret else _no_secret(rng, words)
+    head = f"{before.rstrip(_QUOTES)} {name}{sign}{quote}"
+    return f"{head}{value}{quote} {after.lstrip(_QUOTES)}", len(head), len(head) + len(value) * secret
+
+
+_QUOTES = " \"'"
+
+
+def _windows(text: str, hits: int, variants: int, odd: int, rng: random.Random) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Training windows (features, tags) of one text: around secrets, rewritten ones, odd tokens and one regular place."""
+    counts = file_counts(text)
+    spans = base_spans(text)
+    places = [s[3] for s in spans[:hits]] + [rng.randrange(len(text))]
+    numbers = [m.start() for m in _ODD.finditer(text)]
+    places += rng.sample(numbers, min(odd, len(numbers)))
+    for at in places:
+        # A passage that holds the window's tokens whole.
+        low, high = _back(text, max(0, at - 40 * REACH)), _blank_cut(text, min(len(text), at + 40 * REACH))
+        yield from _window(text[low:high], at - low, [], counts)
+    for span in spans[:hits]:
+        for _ in range(variants):
+            passage, a, b = rewritten(text, span, rng)
+            yield from _window(passage, a, [(a, b)] if a < b else [], counts)
+
+
+#: Long runs and runs with a digit: most are no secrets.
+_ODD = re.compile("[\\w+/.-]{16,}|[\\w+/.-]*[0-9][\\w+/.-]*")
+
+
+def _window(passage: str, at: int, secrets: list[tuple[int, int]], counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features and tags around a place; what the base patterns find is a secret as well."""
+    data, offsets = _bytes_of(passage)
+    found = tokens(data, offsets, counts)
+    if not len(found.starts):
+        return
+    gold = np.zeros(len(found.starts), np.int32)
+    for a, b in [*secrets, *((s[3], s[2]) for s in base_spans(passage))]:
+        low, high = len(passage[:a].encode()), len(passage[:b].encode())
+        first, stop = np.searchsorted(found.ends, low, "right"), np.searchsorted(found.starts, high, "left")
+        gold[first:stop] = INSIDE
+        gold[first:first + 1] = BEGIN if stop > first else gold[first:first + 1]
+    centre = int(np.searchsorted(found.ends, len(passage[:at].encode()), "right"))
+    low, high = max(0, centre - REACH), min(len(gold), centre + REACH + 1)
+    if high <= low:
+        return
+    x, y = np.full((2 * REACH + 1, len(FIELDS)), -1, np.int32), np.zeros(2 * REACH + 1, np.int32)
+    x[: high - low], y[: high - low] = found.features[low:high], gold[low:high]
+    yield x.ravel(), y
+
+
+def train(docs: DataFrame, text: str = "text", id_column: str = "doc_id", sample_rows: int = 3000, hits: int = 4,
+          variants: int = 16, odd: int = 3, epochs: int = 60) -> Field | None:
+    """A field from windows of about `sample_rows` texts, chosen by a hash of id and text.
+
+    Windows of 2 * REACH + 1 tokens: of each text up to `hits` around secrets that
+    the base patterns find, `variants` rewritten passages for each of these, up to
+    `odd` tokens that look unusual, and one at any place. None if no secret is found.
     """
     total = docs.count()
-    bucket = F.pmod(F.xxhash64(F.col(id_column), F.lit(1)), F.lit(1_000_000))
+    bucket = F.pmod(F.xxhash64(F.col(id_column), F.col(text), F.lit(1)), F.lit(1_000_000))
     part = int(min(1.0, sample_rows / max(total, 1)) * 1_000_000) + 1
-    rows = docs.where((bucket < part) & (F.length(text) <= longest)).select(F.col(text).alias("text"))
-    width = 2 * REACH + 1
+    rows = docs.where((bucket < part) & (F.length(text) > 0)).select(F.col(text).alias("text"))
 
     def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
-                texts = piece.column("text").to_pylist()
-                data, offsets = unpack(piece.column("text"))
-                found = tokens(data, offsets)
-                gold = _gold(texts, found, data, offsets)
-                bounds = np.searchsorted(found.row, np.arange(len(texts) + 1))
                 out = []
-                for a, b in zip(bounds[:-1], bounds[1:]):
-                    hits = (np.flatnonzero(gold[a:b] == BEGIN) + a)[:windows]
-                    plain = np.linspace(a, b - 1, 4).astype(int)[1:-1] if b > a else []
-                    for centre in [*hits, *plain]:
-                        low, high = max(a, centre - REACH), min(b, centre + REACH + 1)
-                        x = np.full((width, len(FIELDS)), -1, np.int32)
-                        x[: high - low] = found.features[low:high]
-                        y = np.zeros(width, np.int32)
-                        y[: high - low] = gold[low:high]
-                        out.append((x.ravel(), y))
+                for value in piece.column("text").to_pylist():
+                    # The same windows of the same text wherever it is read.
+                    seed = zlib.crc32(value.encode())
+                    held = seed % 5 == 0
+                    out += [(x, y, held) for x, y in _windows(value, hits, variants, odd, random.Random(seed))]
                 if out:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([o[0] for o in out], pa.list_(pa.int32())),
-                         pa.array([o[1] for o in out], pa.list_(pa.int32()))], names=["x", "y"])
+                         pa.array([o[1] for o in out], pa.list_(pa.int32())), pa.array([o[2] for o in out])],
+                        names=["x", "y", "held"])
 
-    sample = rows.mapInArrow(windowed, "x array<int>, y array<int>").toPandas()
+    sample = rows.mapInArrow(windowed, "x array<int>, y array<int>, held boolean").toPandas()
     if sample.empty:
         return None
-    y = np.vstack(sample["y"])
+    x, y, held = np.vstack(sample["x"]), np.vstack(sample["y"]), sample["held"].to_numpy()
+    if not y[~held].any():
+        held = np.zeros(len(y), bool)
     if not y.any():
         return None
-    order = np.lexsort(np.hstack([np.vstack(sample["x"]), y]).T[:64])  # the same sums however rows arrive
-    return fit(np.vstack(sample["x"]).reshape(len(y), width, -1)[order], y[order], epochs)
-
-
-def _gold(texts: list[str | None], found: Tokens, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Tags of tokens by the base patterns: those that overlap the secret part of a span."""
-    gold = np.zeros(len(found.row), np.int8)
-    for k, text in enumerate(texts):
-        for _, _, end, secret in base_spans(text) if text else []:
-            low = offsets[k] + len(text[:secret].encode())
-            high = low + len(text[secret:end].encode())
-            a, b = np.searchsorted(found.ends, low, "right"), np.searchsorted(found.starts, high, "left")
-            gold[a:b] = INSIDE
-            gold[a:a + 1] = BEGIN
-    return gold
+    order = np.lexsort(np.hstack([y, x]).T[:90])  # the same sums however rows arrive
+    x, y, held = x[order].reshape(len(y), 2 * REACH + 1, -1), y[order], held[order]
+    field = fit(x[~held], y[~held], epochs)
+    return calibrated(field, x[held], y[held]) if held.any() else field
+
+
+def calibrated(field: Field, x: np.ndarray, y: np.ndarray, share: float = 1e-3, step: float = 0.25) -> Field:
+    """The field with its outside tag raised until at most `share` of the given windows without a secret get a tag."""
+    clean = x[~y.any(1)]
+    if not len(clean):
+        return field
+    real = clean[:, :, 0] >= 0
+    flat = clean[real]
+    row = np.repeat(np.arange(len(clean)), real.sum(1))
+    none = np.zeros(0, np.int64)
+    for k in range(40):
+        emission = field.emission.copy()
+        # Every token has one shape.
+        emission[_START["shape"]:_START["gap"], OUTSIDE] += k * step
+        raised = Field(emission, field.transition)
+        tags = raised.decode(Tokens(none, none, row, flat, none))
+        if len(np.unique(row[tags > 0])) <= share * len(clean):
+            break
+    return raised
 
 
 def fit(x: np.ndarray, y: np.ndarray, epochs: int, rate: float = 0.3, ridge: float = 1e-4) -> Field:
     """Adagrad on the conditional log likelihood of padded windows (feature -1 is padding).
 
-    In each pass a seeded third of the fields of each window is left out, so that
-    shape, gaps and neighbours each learn to tell a secret without the others.
+    In each pass a seeded part of the fields of each window is left out: a third of
+    them one by one, or all that tell the context, or all that tell the shape.
     """
     rng = np.random.default_rng(3)
     n, width, fields = x.shape
@@ -311,7 +510,10 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int, rate: float = 0.3, ridge: flo
     gold = np.eye(3)[y] * real[:, :, None]
     gold_pairs = np.einsum("nti,ntj->ij", gold[:, :-1], gold[:, 1:])
     for _ in range(epochs):
-        x = np.where(rng.random((n, 1, fields)) < 1 / 3, DIMENSIONS, whole)
+        out = rng.random((n, 1, fields)) < 1 / 3
+        group = rng.random((n, 1, 1))
+        out = np.where(group < 1 / 4, _CONTEXT, np.where(group < 3 / 8, _SHAPE, out))
+        x = np.where(out, DIMENSIONS, whole)
         flat = x.reshape(-1)
         score = emission[x].sum(2)
         score[~real] = 0
@@ -341,6 +543,10 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int, rate: float = 0.3, ridge: flo
     return Field(emission[:-1].astype(np.float32), transition.astype(np.float32))
 
 
+_CONTEXT = np.array([name in ("gap", "previous", "before", "next") for name in FIELDS])
+_SHAPE = np.array([name in ("shape", "gap", "file_shape", "random") for name in FIELDS])
+
+
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis, keepdims=True)
     return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)

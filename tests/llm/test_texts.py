@@ -170,42 +170,98 @@ def test_base_spans():
         assert [s[:3] for s in secrets.base_spans(text)] == plain_spans(text)
 
 
-def windows(texts):
-    data, offsets = packed.unpack(pa.array(texts))
-    found = secrets.tokens(data, offsets)
-    return found, secrets._gold(texts, found, data, offsets)
+KEYS = ["token", "password", "api_key"]
 
 
-def trained():
-    rng = random.Random(1)
-    texts = []
-    for i in range(300):
-        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(12)]
+def secret_texts(n=240, seed=1):
+    """Invented prose, half of it with a secret that the base patterns know."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        words = ["".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(20, 60))]
+        words += [str(rng.randrange(10**rng.randint(1, 15))), "a.b@mail3.example.com", f"10.0.{i}.7"]
+        rng.shuffle(words)
         if i % 2:
-            words[6:7] = [rng.choice(["token", "password"]), "=", '"' + "".join(rng.choice("abcdefghij0123456789") for _ in range(24)) + '"']
-        texts.append(" ".join(words))
-    found, gold = windows(texts)
-    width = int(np.bincount(found.row).max())
-    x, y = np.full((300, width, len(secrets.FIELDS)), -1), np.zeros((300, width), int)
-    for k in range(300):
-        at = found.row == k
-        x[k, : at.sum()], y[k, : at.sum()] = found.features[at], gold[at]
-    return secrets.fit(x, y, 30), texts
-
-
-def test_pruned_viterbi_is_the_whole_chain_and_adds_spans():
-    field, texts = trained()
-    texts = texts[:60] + ["some x = \"q7w8e9r0t1y2u3i4o5p6a7s8\" text", "a b c"]
+            words[6:7] = [rng.choice(KEYS), "=", '"' + "".join(rng.choice("0123456789abcdef") for _ in range(40)) + '"']
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.fixture(scope="module")
+def field():
+    rng = random.Random(2)
+    rows = [w for t in secret_texts() for w in secrets._windows(t, 4, 8, 3, rng)]
+    x, y = np.vstack([r[0] for r in rows]), np.vstack([r[1] for r in rows])
+    return secrets.fit(x.reshape(len(y), 2 * secrets.REACH + 1, -1), y, 40)
+
+
+def plain_path(field, score):
+    """Viterbi over the whole chain, all paths of each tag kept."""
+    best = [(float(score[0][t]), [t]) for t in range(3)]
+    for emission in score[1:]:
+        best = [max(((s + float(field.transition[p[-1], t]) + float(emission[t]), [*p, t]) for s, p in best), key=lambda c: c[0])
+                for t in range(3)]
+    return max(best, key=lambda c: c[0])[1]
+
+
+def tagged(field, text):
+    ((_, spans),) = secrets.scan([text], field)
+    return [text[s[0]:s[2]] for s in spans if s[1] == 3]
+
+
+def test_pruned_viterbi_is_the_whole_chain(field):
+    texts = secret_texts(30, 5) + ["some x = \"q7w8e9r0t1y2u3i4o5p6a7s8\" text", "a b c"]
     data, offsets = packed.unpack(pa.array(texts))
     found = secrets.tokens(data, offsets)
     tags, score = field.decode(found), field.scores(found.features)
     for k in range(len(texts)):
         at = np.flatnonzero(found.row == k)
-        if len(at):
-            assert field._path(score[at], False, False) == tags[at].tolist()
-    more = list(secrets.scan(texts, field))
-    assert any(s[1] == 3 for s in more[60][1]) and not more[61][1]
-    assert all(set(b) <= set(a) for b, a in more)
+        assert plain_path(field, score[at]) == tags[at].tolist()
+
+
+def test_the_field_finds_what_the_patterns_miss(field):
+    hits = total = 0
+    for text in secret_texts(200, 9):
+        base = secrets.base_spans(text)
+        ((same, spans),) = secrets.scan([text], field)
+        assert same == base and set(base) <= set(spans)
+        if not base:
+            assert not tagged(field, text)
+            continue
+        secret = re.search("[0-9a-f]{40}", text).group()
+        broken = secret[:9] + "z" + secret[10:30] + "q" + secret[31:]
+        hidden = re.sub("|".join(KEYS), "value", text.replace(secret, broken))
+        assert not secrets.base_spans(hidden)
+        total += 1
+        hits += broken in tagged(field, hidden)
+    assert hits >= 0.9 * total > 0
+    for text, secret in [("see key ghp_16C7e42F292c6912E7710c838347Ae178B4a here", "ghp_16C7e42F292c6912E7710c838347Ae178B4a"),
+                         ("so credential = \"Zx81kPq09LmVb3Tt77\" is", "Zx81kPq09LmVb3Tt77")]:
+        assert tagged(field, "words stand in front of it " + text + " and some more words stand behind") == [secret]
+
+
+def test_tags_do_not_depend_on_where_a_long_text_is_cut(field, monkeypatch):
+    parts = [re.sub("|".join(KEYS), "é", t).replace("e", "z") for t in secret_texts(40, 3)]
+    text = "\n".join(parts) + " x=\n" + "q7w8e9r0t1" * 30 + " 9a8b7c6d5e4f3g2h1i " * 40 + " ".join(parts)
+    whole = tagged(field, text)
+    counts = secrets.file_counts(text)
+    assert len(whole) > 20
+    for size in (200, 333, 1000, 5000):
+        monkeypatch.setattr(secrets, "PIECE", size)
+        assert (secrets.file_counts(text) == counts).all()
+        assert tagged(field, text) == whole
+
+
+def test_training_on_a_table(spark):
+    docs = docs_of(spark, [*secret_texts(120), None, "", "x" * 100])
+    field = secrets.train(docs.repartition(3), variants=6, epochs=30)
+    again = secrets.train(docs.repartition(7), variants=6, epochs=30)
+    assert np.array_equal(field.emission, again.emission)
+    found = {r.doc_id: r for r in secrets.find(docs, field).collect()}
+    assert len(found) == 123 and found[120].spans == found[121].spans == ""
+    for i, t in enumerate(secret_texts(120)):
+        assert found[i].n_assign == len([s for s in plain_spans(t) if s[1] == 0])
+    assert secrets.train(docs_of(spark, ["no secret", "at all"])) is None
 
 
 def test_secret_query_and_redaction(spark):
@@ -221,10 +277,3 @@ def test_secret_query_and_redaction(spark):
     assert secrets.train(docs.where("false")) is None
 
 
-def test_long_chain_is_cut_at_blanks(monkeypatch):
-    monkeypatch.setattr(secrets, "CHAIN_BYTES", 50)
-    pieces, place = secrets._chains(["ab " * 60, None, "x" * 200])
-    assert "".join(pieces.to_pylist()[: place.index((1, 0))]) == "ab " * 60
-    assert "".join(pieces.to_pylist()) == "ab " * 60 + "x" * 200
-
-
