@@ -1,18 +1,21 @@
 """A corpus pipeline: language, near duplicates, secrets, mix, token ids.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows it is given. All
-but the last return the columns of `documents`. Stages are written to the shared
-folder and read again, so a lost executor costs at most one stage.
-
-Nulls: a null text has no letter and goes in the first stage. A null id is never
-linked with another row. Rows that repeat an id become one row in the second
-stage (that of the least text). A null source is a source of its own. An empty
-table stays empty through all stages.
+but the last return the columns of `documents`; other columns of `docs`, whatever
+their names, travel along. Stages are written to the shared folder and read
+again, so a lost executor costs at most one stage.
+
+Nulls: a null text has no letter and goes in the first stage. Rows that repeat an
+id or have none are rows of their own everywhere. A null source is a source of
+its own. Texts of any length are read whole. Of near duplicates the row of the
+smallest id stays (a null id comes last), then that of the smallest text; rows
+that are equal in all are one near-duplicate group too. An empty table stays
+empty through all stages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm import jaccard, language, mixing, secrets
 from plumbline.llm.pieces import encode_texts
@@ -28,36 +31,45 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with letters whose language the output codes tell."""
+    """Rows with letters whose language the output codes tell.
+
+    Texts that are null or have no letter go, and so do rows whose best language
+    scores below LEAST_SCORE; without any labelled row all rows go.
+    """
     model = language.fit(docs, remainder("doc_id", 3) != 1)
-    found = language.predict(docs, model, keep=docs.columns)
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    # As one column, so that no name of the input meets a name of the model.
+    carried = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    found = language.predict(carried, model, keep=["row"])
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near duplicates: that of the least id."""
-    found = jaccard.join(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
-    row = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("t"))
-    others = found.where("component_id <> doc_id").select(
-        F.struct("doc_id", F.lit(None).cast("string").alias("t")).alias("__row"))
-    left = docs.withColumn("__row", row).join(others, "__row", "left_anti")
-    first = W.partitionBy("__row").orderBy("text", "source", "lang")
-    return left.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*docs.columns)
+    """One row of each class of near duplicates; texts without words are near nothing and stay.
+
+    Every row gets a number, so that rows of one id or of none are told apart.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"),
+                     F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"),
+                     F.monotonically_increasing_id().alias("number"))
+    numbered = written(docs.select(F.struct(*docs.columns).alias("row"), place.alias("place")))
+    found = jaccard.join(numbered.select("place", F.col("row.text").alias("text")), NEAR_WORDS, NEAR_PERCENT, "place")
+    left = found.where("component_id = place").select("place")
+    return numbered.join(left, "place", "left_semi").select("row.*")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows with secrets masked in their texts."""
+    """The rows with secrets masked in their texts; null texts stay null, all rows stay."""
     hidden = secrets.redact(docs, secrets.train(docs))
     return hidden.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows repeated or left out so that sources reach their targets."""
+    """Rows repeated or left out so that sources reach their targets; a text without words is taken once or not at all."""
     return mixing.mix(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each row's text, with their number and digests."""
+    """Ids of each row's text, with their number and digests; an empty or null text has the end id only."""
     return encode_texts(docs, model_path(), with_ids=True, keep=["lang", "source"])
 
 
@@ -69,7 +81,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", token_ids),
 ]
 
-#: Trained classifiers and merge vocabularies are not expressible in SQL; tests hold a brute-force twin.
+#: Trained classifiers and merge vocabularies are not expressible in SQL; tests/llm holds the stages against plain Python.
 ORACLE_SQL = None
 
 
