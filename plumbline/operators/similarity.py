@@ -3,147 +3,39 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql import DataFrame, functions as F
 
 from plumbline import config as C
 from plumbline.functions.text import WORD
-from plumbline.operators.ordering import hash_order, take_ranked
+from plumbline.operators import pivot_tree
 from plumbline.session import written
 
-_SLACK = 1e-6
-
-
-def _unit(vectors: pd.Series) -> np.ndarray:
-    m = np.stack(vectors.to_numpy()).astype("float64")
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+def _has_direction(vec: str):
+    """Whether a vector can be near another one: no nulls, finite, not zero."""
+    length = F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x * x)
+    return F.coalesce((length > 0) & (length < F.lit(float("inf"))), F.lit(False))
 
 
 def _distinct_vectors(df: DataFrame, key: str, vec: str) -> DataFrame:
-    """Equal vectors once (`rep` key, number of `copies`), zero vectors left out."""
-    length = F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x * x)
-    return df.where(length > 0).groupBy(F.col(vec).alias("v")).agg(
+    """Equal vectors once (`rep` key, number of `copies`), those without a direction left out."""
+    return df.where(_has_direction(vec)).groupBy(F.col(vec).alias("v")).agg(
         F.min(key).alias("rep"), F.count(F.lit(1)).alias("copies")
     )
 
 
-def _pivots(vectors: DataFrame, count: int) -> np.ndarray:
-    """A fixed number of vectors in hash order; they shape the work, not the result."""
-    rows = take_ranked(vectors.select("rep", "v"), hash_order(F.col("rep")), "rep", count).collect()
-    return _unit(pd.Series([r["v"] for r in rows])) if rows else np.empty((0, 0))
-
-
-def _angles(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(v @ pivots.T, -1.0, 1.0))
-
-
-def _with_home(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Nearest pivot and the angle to it."""
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            a = _angles(_unit(pdf["v"]), pivots)
-            home = a.argmin(axis=1)
-            yield pdf.assign(cell=home, angle=a[np.arange(len(a)), home])
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema.fields)
-    return vectors.mapInPandas(assign, f"{fields}, cell int, angle double")
-
-
 def has_partner(queries: DataFrame, partners: DataFrame, threshold: float, same_table: bool,
-                pivots: int = 64, block: int = 4096, earlier: bool = False) -> DataFrame:
+                pivots: int = 32, block: int = 4096, earlier: bool = False) -> DataFrame:
     """`rep` of every query vector with a partner at cosine >= threshold.
 
-    Partners are cut into cells by nearest pivot. By the triangle inequality on
-    angles a query needs only the cells that can hold a partner, and a query
-    whose cell surely holds one needs none. Cells are compared block by block
-    (at most about `block` rows a side), so a cell holding a third of all rows
-    is many tasks; only query keys leave a task, never pairs. With `earlier` only
-    partners of a smaller `rep` count.
+    Partners lie in a tree that splits cells of more than `block` rows around
+    `pivots` of their vectors; see `pivot_tree`. Only query keys leave a task,
+    never pairs. With `earlier` only partners of a smaller `rep` count.
     """
     reach = math.acos(min(1.0, max(-1.0, threshold)))
-    points = _pivots(partners, pivots)
-    if len(points) == 0:
-        return queries.select("rep").limit(0)
-    located = written(_with_home(partners, points))
-    by_angle = W.partitionBy("cell").orderBy("angle", "rep")
-    nearest = located.select("cell", "angle", "rep").withColumn("r", F.row_number().over(by_angle)).where("r <= 2")
-    sizes = located.groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n"))
-    stats = sizes.join(
-        nearest.groupBy("cell").agg(
-            F.min(F.when(F.col("r") == 1, F.col("rep"))).alias("rep1"),
-            F.min(F.when(F.col("r") == 1, F.col("angle"))).alias("a1"),
-            F.min(F.when(F.col("r") == 2, F.col("angle"))).alias("a2"),
-        ), "cell",
-    ).collect()  # one row per pivot
-    radius = np.full(len(points), -np.inf)
-    best = {}
-    p_blocks = {}
-    for s in stats:
-        radius[s["cell"]] = s["radius"]
-        best[s["cell"]] = (s["rep1"], s["a1"], s["a2"])
-        p_blocks[s["cell"]] = max(1, math.ceil(s["n"] / block))
-
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            a = _angles(_unit(pdf["v"]), points)
-            home = a.argmin(axis=1)
-            own = a[np.arange(len(a)), home]
-            reps = pdf["rep"].to_numpy()
-            sure = np.zeros(len(a), dtype=bool)
-            for k, (h, x, rep) in enumerate(zip(home, own, reps)):
-                if h in best:
-                    rep1, a1, a2 = best[h]
-                    other = a2 if (same_table and rep == rep1) else a1
-                    sure[k] = not earlier and other is not None and x + other <= reach - _SLACK
-            near = (a <= reach + radius[None, :] + _SLACK) & (a <= own[:, None] + 2 * reach + _SLACK)
-            near[sure] = False
-            q, c = np.nonzero(near)
-            out = pd.concat([
-                pd.DataFrame({"rep": reps[sure], "v": None, "cell": -1}),
-                pd.DataFrame({"rep": reps[q], "v": pdf["v"].to_numpy()[q], "cell": c}),
-            ])
-            yield out
-
-    rep_type = queries.schema["rep"].dataType.simpleString()
-    vec_type = queries.schema["v"].dataType.simpleString()
-    routed = written(queries.select("rep", "v").mapInPandas(visits, f"rep {rep_type}, v {vec_type}, cell int"))
-    sure = routed.where("cell < 0").select("rep")
-    open_queries = routed.where("cell >= 0")
-    q_sizes = {r["cell"]: max(1, math.ceil(r["n"] / block))
-               for r in open_queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    cells = sorted(set(q_sizes) & set(p_blocks))
-    if not cells:
-        return sure.distinct()
-    table = queries.sparkSession.createDataFrame(
-        [(c, q_sizes[c], p_blocks[c]) for c in cells], "cell int, q_blocks int, p_blocks int"
-    )
-
-    def spread(df: DataFrame, own: str, other: str) -> DataFrame:
-        """Own block by hash, one copy per block of the other side."""
-        cut = df.join(F.broadcast(table), "cell")  # one row per pivot
-        mine = F.pmod(F.xxhash64("rep"), F.col(own)).cast("int")
-        return cut.withColumn(own[0], mine).withColumn(
-            other[0], F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        ).select("cell", "q", "p", "rep", "v")
-
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"rep": left["rep"].iloc[:0]})
-        cosine = _unit(left["v"]) @ _unit(right["v"]).T
-        if same_table:
-            cosine[left["rep"].to_numpy()[:, None] == right["rep"].to_numpy()[None, :]] = -2.0
-        if earlier:
-            cosine[left["rep"].to_numpy()[:, None] < right["rep"].to_numpy()[None, :]] = -2.0
-        return pd.DataFrame({"rep": left["rep"][cosine.max(axis=1) >= threshold]})
-
-    left = spread(open_queries, "q_blocks", "p_blocks").groupBy("cell", "q", "p")
-    right = spread(located.select("cell", "rep", "v"), "p_blocks", "q_blocks").groupBy("cell", "q", "p")
-    found = left.cogroup(right).applyInPandas(match, f"rep {rep_type}")
-    return sure.unionByName(found).distinct()
+    tree = pivot_tree.build(partners.select("rep", "v"), pivots, block)
+    search = pivot_tree.Search(reach, same_table, earlier)
+    return pivot_tree.partnered(tree, queries.select("rep", "v"), search, threshold, block).distinct()
 
 
 def _expand(flagged: DataFrame, reps: DataFrame) -> DataFrame:
@@ -168,14 +60,15 @@ def near_dup_within(df: DataFrame, threshold: float, key: str = "vec_id", vec: s
     """Rows without a near copy in the same table.
 
     `drop_both`: both members of a pair go. `keep_first`: a row goes if a row of
-    a smaller key is near, so the first of each group stays.
+    a smaller key is near, so the first of each group stays. Vectors that are
+    null, zero or not finite, or hold a null, are near nothing and stay.
     """
     reps = written(_distinct_vectors(df, key, vec))
     if mode == "keep_first":
         flagged = has_partner(reps, reps, threshold, same_table=True, earlier=True, **options)
         later = df.join(reps.select(F.col("rep").alias(key)), key, "left_semi")
-        zero = F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x * x) <= 0
-        return later.join(flagged.select(F.col("rep").alias(key)), key, "left_anti").unionByName(df.where(zero))
+        return later.join(flagged.select(F.col("rep").alias(key)), key, "left_anti").unionByName(
+            df.where(~_has_direction(vec)))
     if mode != "drop_both":
         raise ValueError(f"unknown mode {mode}")
     flagged = has_partner(reps, reps, threshold, same_table=True, **options)
