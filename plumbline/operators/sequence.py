@@ -129,6 +129,13 @@ def adaptive_weights(means: DataFrame, run: str = "run", step: str = "step", str
     axes = ["ahimsa", "dharma", "helpfulness"]
     complete = means.where(" AND ".join(f"{a} IS NOT NULL" for a in axes))
     out = ema_scan(complete, [run], step, axes, gamma, start=C.ADAPTIVE_START, prefix="mean_")
+    return axis_weights(out, strategy, targets, min_weight)
+
+
+def axis_weights(means: DataFrame, strategy: str = "mean_inverse", targets: tuple[float, float, float] = (0.3, 0.4, 0.3),
+                 min_weight: float = C.ADAPTIVE_MIN_WEIGHT) -> DataFrame:
+    """Axis weights of rows with running means (mean_<axis>), row by row."""
+    axes, out = ["ahimsa", "dharma", "helpfulness"], means
     mean = F.array(*[F.col(f"mean_{a}") for a in axes])
     target = F.array(*[F.lit(float(t)) for t in targets])
     if strategy == "mean_inverse":

@@ -23,6 +23,27 @@ def _stream(spark, d):
     return jobs.event_stream(spark, path, files_per_batch=2)
 
 
+def _timed_stream(spark, d):
+    """The events about in the order of their time, half a day early or late, and a heartbeat at the end.
+
+    Three writes of two files and one of the heartbeat, two files a micro-batch.
+    """
+    path = shared_dir(spark)
+    events = D.events(spark, d)
+    late = F.expr("INTERVAL 12 HOURS") * (F.pmod(F.xxhash64("event_id"), F.lit(3)) - 1)
+    span = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
+    low, high = span.first()
+    shown = F.unix_micros(F.col("ts") + late)
+    for k in range(3):
+        a, b = (F.unix_micros(F.lit(low)) + (F.unix_micros(F.lit(high)) - F.unix_micros(F.lit(low))) * (k + j) / 3 for j in (0, 1))
+        part = (shown >= a if k else F.lit(True)) & (shown < b if k < 2 else F.lit(True))
+        events.where(part).repartition(2, "event_id").write.mode("append").parquet(path)
+    beat = span.select((F.col("high") + F.expr("INTERVAL 10 DAYS")).alias("ts"))
+    beat.select(*[("ts" if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name)) for f in events.schema]).write.mode(
+        "append").parquet(path)
+    return jobs.event_stream(spark, path, files_per_batch=2)
+
+
 def _day():
     return F.floor((F.unix_micros("ts") - 1_704_067_200_000_000) / 86_400_000_000)
 
@@ -43,20 +64,21 @@ _EMA = ORACLES["ema_mean_std"]
 
 @query("stream_ema", "SELECT run AS user_id, step, ema_ahimsa, ema_dharma, ema_helpfulness FROM (" + _EMA + ")")
 def stream_ema(spark, d):
-    out = jobs.stream_ema(_stream(spark, d), shared_dir(spark), "user_id", _day(), _values(), delay=_DELAY)
+    out = jobs.stream_ema(_timed_stream(spark, d), shared_dir(spark), "user_id", _day(), _values(), delay="2 days")
     return out.select("user_id", "step", *[rounded(f"ema_{a}") for a in _values()])
 
 
 @query("stream_adaptive_weights", "SELECT run AS user_id, step, weight_ahimsa, weight_dharma, weight_helpfulness FROM (" + ORACLES["adaptive_weights"] + ")")
 def stream_adaptive_weights(spark, d):
-    out = jobs.stream_adaptive_weights(_stream(spark, d), shared_dir(spark), "user_id", _day(), _values(), delay=_DELAY)
+    out = jobs.stream_adaptive_weights(_timed_stream(spark, d), shared_dir(spark), "user_id", _day(), _values(), delay="2 days")
     return out.select("user_id", "step", *[rounded(f"weight_{a}") for a in _values()])
 
 
 @query("stream_error_alarm", "SELECT user_id, event_id, errors, calls FROM (" + ORACLES["error_rate_alarm"] + ")")
 def stream_error_alarm(spark, d):
     out = jobs.stream_error_alarm(
-        _stream(spark, d), shared_dir(spark), "user_id", ["ts", "event_id"], D.time_block, F.col("event_type") == "error")
+        _timed_stream(spark, d), shared_dir(spark), "user_id", ["ts", "event_id"], F.col("event_type") == "error",
+        delay="2 days", piece="1 day")
     return out.select("user_id", "event_id", "errors", "calls")
 
 
