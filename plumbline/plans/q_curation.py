@@ -21,13 +21,14 @@ _CHAIN = f"""WITH {D.TIERS}, {_TFIDF},
   WHEN doc_id NOT IN (SELECT * FROM d3) THEN 'not_challenging' WHEN doc_id NOT IN (SELECT * FROM d4) THEN 'near_duplicate' ELSE 'accepted' END) AS stage FROM m)"""
 
 
-def _staged(spark, d):
+def _staged(spark, d, accepted=None):
+    """`accepted`: a condition on the vectors that tells those of prompts accepted before."""
     prompts = D.tiers(spark, d)
     core = similarity.scan_core_set(D.load(spark, d, "benchmark"))
     vectors = D.load(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
     stages = curation.curate_prompts(
         prompts, "doc_id", F.contains("prompt", F.lit("th")), core, "item_id", "text", F.col("doc_id") % 4 != 0,
-        vectors, "embedding", 0.7, T)
+        vectors, "embedding", 0.7, T, existing=vectors.where(accepted) if accepted else None)
     return prompts, stages
 
 
@@ -37,6 +38,20 @@ def curate_funnel(spark, d):
     return curation.funnel(_staged(spark, d)[1])
 
 
+# Vectors of label 0 are those of prompts accepted before, whatever their own stage.
+_AGAINST = _CHAIN.replace(" d4 AS (", f""" old AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE label = 0),
+ gone AS (SELECT doc_id FROM v a WHERE EXISTS (SELECT 1 FROM old b WHERE {_COS} >= {T})),
+ v4 AS (SELECT * FROM v WHERE doc_id NOT IN (SELECT * FROM gone)),
+ d4 AS (""", 1).replace("(SELECT a.doc_id FROM v a WHERE EXISTS (SELECT 1 FROM v b", "(SELECT a.doc_id FROM v4 a WHERE EXISTS (SELECT 1 FROM v4 b").replace(
+    "WHEN doc_id NOT IN (SELECT * FROM d4)", "WHEN doc_id IN (SELECT * FROM gone) THEN 'near_existing' WHEN doc_id NOT IN (SELECT * FROM d4)")
+
+
+@query("curate_against_existing", _AGAINST + " SELECT doc_id, stage FROM staged")
+def curate_against_existing(spark, d):
+    """The stage of every document when a set accepted before is compared first."""
+    return _staged(spark, d, "label = 0")[1].select("doc_id", "stage")
+
+
 _T = sampling.quota_targets(_QUOTA, _RATIOS)
 
 

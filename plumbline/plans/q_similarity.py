@@ -1,7 +1,8 @@
 """Queries over near-duplicate removal and closeness to a core set.
 
-The given vectors are nearly random, so the threshold is far lower than the
-0.8 to 0.95 used on real prompts; it is a parameter.
+The given vectors are nearly random, so their threshold is far lower than the
+0.8 to 0.95 used on real prompts; it is a parameter. Vectors made of the words of
+`documents` are compared at 0.9.
 """
 
 from pyspark.sql import functions as F
@@ -45,6 +46,31 @@ def exclude_previous(spark, d):
     return S.near_dup(v.where("label <> 0"), v.where("label = 0"), T).select("vec_id")
 
 
+#: Threshold of the text vectors.
+T_TEXT = 0.9
+_TV = "WITH " + D.TEXT_VECTORS
+_OLD = "CAST(substr(source, 4) AS INT) < 10"
+_KEPT = f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM v a WHERE EXISTS (SELECT 1 FROM v b WHERE {{}} AND {_COS} >= {T_TEXT}))"
+
+
+@query("near_dup_texts", f"{_TV} {_KEPT.format('a.doc_id <> b.doc_id')}")
+def near_dup_texts(spark, d):
+    """Documents whose words are not those of another one; documents without a word stay."""
+    return S.near_dup_within(D.text_vectors(spark, d), T_TEXT, "doc_id", "v").select("doc_id")
+
+
+@query("near_dup_texts_keep_first", f"{_TV} {_KEPT.format('b.doc_id < a.doc_id')}")
+def near_dup_texts_keep_first(spark, d):
+    return S.near_dup_within(D.text_vectors(spark, d), T_TEXT, "doc_id", "v", mode="keep_first").select("doc_id")
+
+
+@query("near_dup_texts_existing", f"{_TV} {_KEPT.format(_OLD.replace('source', 'b.source'))} AND NOT ({_OLD})")
+def near_dup_texts_existing(spark, d):
+    """Documents of the later sources against those of the first ten."""
+    v = D.text_vectors(spark, d)
+    return S.near_dup_existing(v.where(f"NOT ({_OLD})"), v.where(_OLD), T_TEXT, "doc_id", "v").select("doc_id")
+
+
 _STOP = ", ".join(f"'{w}'" for w in C.STOP_WORDS)
 _TFIDF = f"""words AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM benchmark),
  tf AS (SELECT item_id, term, count(*) AS tf FROM words WHERE term NOT IN ({_STOP}) GROUP BY ALL),

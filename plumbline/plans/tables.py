@@ -117,6 +117,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").withColumnRenamed("text", "prompt")
 
 
+#: Buckets of a text vector.
+TEXT_DIMENSIONS = 32
+
+
+def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a vector: roots of the word counts per hash bucket; null without a word."""
+    docs = load(spark, sf_dir, "documents")
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)))
+    bucket = F.conv(F.substring(F.md5("word"), 1, 4), 16, 10).cast("int") % TEXT_DIMENSIONS
+    counts = docs.select("doc_id", word.alias("word")).groupBy("doc_id", bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    held = counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(TEXT_DIMENSIONS - 1)), lambda b: F.sqrt(F.coalesce(F.element_at("m", b), F.lit(0))))
+    return docs.select("doc_id", "source", "lang").join(held.select("doc_id", vector.alias("v")), "doc_id", "left")
+
+
+TEXT_VECTORS = f"""words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS word FROM documents),
+ counts AS (SELECT doc_id, ('0x' || substr(md5(word), 1, 4))::BIGINT % {TEXT_DIMENSIONS} AS b, count(*) AS n FROM words GROUP BY ALL),
+ held AS (SELECT doc_id, map_from_entries(list((b, n))) AS m FROM counts GROUP BY 1),
+ v AS (SELECT doc_id, source, lang, list_transform(range({TEXT_DIMENSIONS}), lambda b: sqrt(coalesce(m[b], 0))::DOUBLE) AS v FROM held JOIN documents USING (doc_id))"""
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user turn with the assistant turn that follows it, joined by turn number."""
     talk = load(spark, sf_dir, "conversations")
