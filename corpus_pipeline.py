@@ -8,9 +8,9 @@ again, so a lost executor costs at most one stage.
 Nulls: a null text has no letter and goes in the first stage. Rows that repeat an
 id or have none are rows of their own everywhere. A null source is a source of
 its own. Texts of any length are read whole. Of near duplicates the row of the
-smallest id stays (a null id comes last), then that of the smallest text; rows
-that are equal in all are one near-duplicate group too. An empty table stays
-empty through all stages.
+smallest id stays (a null id comes last), then that of the smallest digest of its
+text; rows that are equal in all are one near-duplicate group too. An empty table
+stays empty through all stages.
 """
 
 from __future__ import annotations
@@ -37,24 +37,30 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     scores below LEAST_SCORE; without any labelled row all rows go.
     """
     model = language.fit(docs, remainder("doc_id", 3) != 1)
-    # As one column, so that no name of the input meets a name of the model.
-    carried = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = language.predict(carried, model, keep=["row"])
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    # The other columns as one, so that no name of the input meets a name of the model.
+    carried = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
+    found = language.predict(carried, model, keep=["row", "text"])
+    known = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return known.select("row.*", "text").select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates; texts without words are near nothing and stay.
 
-    Every row gets a number, so that rows of one id or of none are told apart.
+    Rows are told apart by id and text. Rows that repeat both become one, that of
+    the least language and source.
     """
-    place = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"),
-                     F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"),
-                     F.monotonically_increasing_id().alias("number"))
-    numbered = written(docs.select(F.struct(*docs.columns).alias("row"), place.alias("place")))
-    found = jaccard.join(numbered.select("place", F.col("row.text").alias("text")), NEAR_WORDS, NEAR_PERCENT, "place")
-    left = found.where("component_id = place").select("place")
-    return numbered.join(left, "place", "left_semi").select("row.*")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"),
+                     F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
+    found = written(jaccard.join(docs.select(place.alias("place"), "text"), NEAR_WORDS, NEAR_PERCENT, "place"))
+    dropped = found.where("component_id <> place").select("place").distinct()
+    again = found.where("component_id = place AND n_shingles > 0").groupBy("place").count().where("count > 1").select("place")
+    left = docs.select(F.struct(*docs.columns).alias("row"), place.alias("place")).join(dropped, "place", "left_anti")
+    if again.isEmpty():
+        return left.select("row.*")
+    least = F.min_by("row", F.struct("row.lang", "row.source")).alias("row")
+    single = left.join(again, "place", "left_semi").groupBy("place").agg(least)
+    return left.join(again, "place", "left_anti").select("row.*").unionByName(single.select("row.*"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
