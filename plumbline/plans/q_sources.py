@@ -8,7 +8,7 @@ from plumbline.plans import tables as D
 from plumbline.plans.q_text import _pick
 from plumbline.plans.registry import query, rounded
 from plumbline.session import shared_dir
-from plumbline.sources import readers, writers
+from plumbline.sources import readers, report_parts, writers
 
 _ROWS = """SELECT doc_id AS id, md5(text) AS digest, lang AS tier FROM documents"""
 
@@ -65,7 +65,7 @@ def report_files(spark, d):
     fields = ["scenario_id", "prompt", "response", "ahimsa_score", "combined_score"]
     lines = writers.report_lines(summary, s, "run", "scenario_id", fields)
     path = shared_dir(spark)
-    writers.sink_report_documents(lines.where("run <> 'sup-0'"), path, "run", "scenario_id")
+    report_parts.sink_report_parts(lines.where("run <> 'sup-0'"), path, "run", "scenario_id")
     # a stray document without the needed parts is skipped on reading
     spark.createDataFrame([("stray", '{"unrelated": true}')], "name string, line string").write.mode("append").partitionBy("name").text(path)
     return path
@@ -73,20 +73,23 @@ def report_files(spark, d):
 
 @query("scan_eval_report", _REPORTS + " SELECT 'sup-' || l_suppkey AS raw_model_name, n AS num_scenarios, round(c, 9) AS average_combined_score, v::BIGINT AS ahimsa_violations FROM m WHERE l_suppkey <> 0")
 def scan_eval_report(spark, d):
-    rows = readers.report_rows(readers.scan_eval_reports(spark, report_files(spark, d)))
+    reports, _ = report_parts.scan_report_parts(spark, report_files(spark, d), document="folder")
+    rows = readers.report_rows(reports)
     return rows.select("raw_model_name", "num_scenarios", rounded("average_combined_score"), "ahimsa_violations")
 
 
-@query("scan_glob", _REPORTS + " SELECT 'sup-' || l_suppkey AS raw_model_name, n AS num_scenarios FROM m WHERE l_suppkey % 2 = 1")
+@query("scan_glob", _REPORTS + " SELECT 'sup-' || l_suppkey AS raw_model_name, n AS num_scenarios FROM m WHERE l_suppkey <> 0")
 def scan_glob(spark, d):
-    rows = readers.report_rows(readers.scan_eval_reports(spark, report_files(spark, d) + "/name=sup-*[13579]", pattern="*.txt"))
+    """All reports by their names, beside a document of another name."""
+    reports, _ = report_parts.scan_report_parts(spark, report_files(spark, d) + "/name=sup-*", "*.txt", "folder")
+    rows = readers.report_rows(reports)
     return rows.select("raw_model_name", "num_scenarios")
 
 
 @query("explode_results", _REPORTS + " SELECT item_id AS scenario_id, 'prompt ' || l_partkey AS prompt, 'C' AS tier, 'S0' AS scope FROM scored WHERE l_suppkey <> 0 AND NOT was_clipped")
 def explode_results(spark, d):
-    reports = readers.scan_eval_reports(spark, report_files(spark, d))
-    return readers.explode_results(reports).select("scenario_id", "prompt", "tier", "scope")
+    reports, results = report_parts.scan_report_parts(spark, report_files(spark, d), document="folder")
+    return report_parts.explode_result_parts(reports, results).select("scenario_id", "prompt", "tier", "scope")
 
 
 @query("sink_eval_report", _REPORTS + " SELECT run, count(*) AS n, count_if(was_clipped)::BIGINT AS clipped FROM scored GROUP BY 1")

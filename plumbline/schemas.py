@@ -37,14 +37,17 @@ SUMMARY_FIELDS = [
     ("severe_scope_penalties", "BIGINT"), ("severe_scope_penalty_rate", "DOUBLE"),
 ]
 
+REPORT_RESULT = (
+    "scenario_id STRING, prompt STRING, response STRING, ahimsa_score DOUBLE, dharma_score DOUBLE,"
+    "helpfulness_score DOUBLE, combined_score DOUBLE, error STRING"
+)
+
 EVAL_REPORT = (
     "evaluation_config STRUCT<model_name: STRING, evaluator: STRING, num_scenarios: BIGINT,"
     "temperature: DOUBLE, timestamp: STRING>,"
     "summary_metrics STRUCT<" + ", ".join(f"{n}: {t}" for n, t in SUMMARY_FIELDS)
     + ", scope_response_counts: MAP<STRING, BIGINT>>,"
-    "individual_results ARRAY<STRUCT<scenario_id: STRING, prompt: STRING, response: STRING,"
-    "ahimsa_score: DOUBLE, dharma_score: DOUBLE, helpfulness_score: DOUBLE,"
-    "combined_score: DOUBLE, error: STRING>>"
+    "individual_results ARRAY<STRUCT<" + REPORT_RESULT + ">>"
 )
 
 EVENTS = (

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import compare
-from plumbline.sources import readers, writers
+from plumbline.sources import readers, report_parts, writers
 
 
 def test_jsonl_tolerant_and_strict(spark, tmp_path):
@@ -81,3 +81,66 @@ def test_markdown(spark):
 def test_terms(spark):
     lines = spark.createDataFrame([(" Heart ",), ("",), ("bp",), (None,)], "value string")
     assert {r.term for r in readers.scan_terms(lines, seed=["BP", "x"]).collect()} == {"heart", "bp", "x"}
+
+
+def pretty(name, results, **more):
+    return {"evaluation_config": {"model_name": name, "num_scenarios": len(results), **more}, "summary_metrics": {"average_combined_score": 0.5},
+            "notes": [{"a": [1, {"b": 2}]}, "x"], "individual_results": results, "trailer": [{"scenario_id": "no result"}]}
+
+
+def result(k):
+    odd = ['{"individual_results": [', "}],[{", 'a "quoted" \\ word', "é\nline two\n  },", "", "\\"][k % 6]
+    return {"scenario_id": str(k), "prompt": f"p{k} {odd}", "response": f"r{k} {odd}", "combined_score": k / 7}
+
+
+@pytest.mark.parametrize("split", [700, 100_000])
+def test_report_parts_of_any_layout(spark, tmp_path, split):
+    """Indented, one-line and empty documents, with brackets and quotes in their strings, cut at any place."""
+    many, few = [result(k) for k in range(200)], [result(k) for k in range(500, 503)]
+    (tmp_path / "a.json").write_text(json.dumps(pretty("many", many), indent=2))
+    (tmp_path / "b.json").write_text(json.dumps(pretty("wide", few), indent=4, ensure_ascii=False))
+    (tmp_path / "c.json").write_text(json.dumps(pretty("line", few)))
+    (tmp_path / "stray.json").write_text('{"unrelated": [\n{"scenario_id": "9"}\n]}')
+    (tmp_path / "broken.json").write_text('{"evaluation_config": {\n"individual_results": [\n{"scenario_id": "8"}')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        reports, results = report_parts.scan_report_parts(spark, str(tmp_path))
+        rows = report_parts.explode_result_parts(reports, results).collect()
+        assert {(r.evaluation_config.model_name, r.evaluation_config.num_scenarios) for r in reports.collect()} == {
+            ("many", 200), ("wide", 3), ("line", 3)}
+        assert results.count() == 203
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = sorted((r["scenario_id"], r["prompt"], r["response"]) for r in [*many, *few, *few])
+    assert sorted((r.scenario_id, r.prompt, r.response) for r in rows) == want
+    assert {r.combined_score for r in results.where("scenario_id = '14'").collect()} == {2.0}
+
+
+def test_report_without_results_fails(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(pretty("none", []), indent=2))
+    reports, results = report_parts.scan_report_parts(spark, str(tmp_path))
+    assert reports.count() == 1 and results.count() == 0
+    with pytest.raises(Exception, match="No 'individual_results' found"):
+        report_parts.explode_result_parts(reports, results).collect()
+
+
+def test_a_run_of_a_third_of_all_results_is_many_parts(spark, tmp_path):
+    items = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("m"), F.col("id") % 40)).alias("run"), F.col("id"),
+                                     F.col("id").cast("string").alias("scenario_id"), F.lit("p").alias("prompt"), F.lit("r").alias("response"))
+    summary = items.select("run").distinct().withColumn("average_combined_score", F.lit(0.5))
+    lines = writers.report_lines(summary, items, "run", "id", ["scenario_id", "prompt", "response"])
+    path = str(tmp_path / "out")
+    # So small a table would be one part otherwise.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        report_parts.sink_report_parts(lines, path, "run", "id")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "out" / "name=hot").glob("part-*"))
+    assert len(files) >= 3
+    whole = json.loads("".join(f.read_text() for f in files))
+    assert [int(r["scenario_id"]) for r in whole["individual_results"]] == list(range(0, 3000, 3))
+    placed = report_parts.placed_lines(report_parts.document_lines(spark, path, document="folder"))
+    assert placed.where("inside AND doc LIKE '%name=hot'").select("block").distinct().count() >= 3
+    reports, results = report_parts.scan_report_parts(spark, path, document="folder")
+    assert reports.count() == 41 and results.groupBy("file_path").count().agg(F.max("count")).first()[0] == 1000
