@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import similarity as S
+from plumbline.operators import pivot_tree, similarity as S
 
 
 def vectors(seed, n, dim=16, clusters=12, spread=0.25, hot=0.35):
@@ -56,6 +56,44 @@ def test_hot_ball_needs_no_comparisons(spark):
     assert S.near_dup_within(frame(spark, v), 0.9, pivots=4, block=100).count() == 0
 
 
+def visits_per_query(spark, clusters):
+    """Leaves searched per query in a table of tight clusters, each of 20 vectors."""
+    rng = np.random.default_rng(clusters)
+    centres = rng.normal(size=(clusters, 4))
+    v = np.repeat(centres / np.linalg.norm(centres, axis=1, keepdims=True), 20, 0) + rng.normal(size=(clusters * 20, 4)) * 0.002
+    rows = frame(spark, v.astype("float32")).selectExpr("vec_id AS rep", "embedding AS v")
+    tree = pivot_tree.build(rows, 8, 64)
+    queries = rows.where("rep % 20 = 0")
+    search = pivot_tree.Search(math.acos(0.9999), True, True)
+    _, visits = pivot_tree.descend(tree, queries, search, 64, nearest=False)
+    assert tree.ends.agg({"n": "sum"}).first()[0] == clusters * 20 and len(tree.levels) >= 2
+    return visits.count() / clusters
+
+
+def test_copies_of_a_query_stay_few_as_the_table_doubles(spark):
+    few, more = visits_per_query(spark, 60), visits_per_query(spark, 120)
+    assert few <= 4 and more <= 1.3 * few + 0.5
+
+
+def test_vectors_without_a_direction_stay(spark):
+    v = [[1.0, 0.0], [0.0, 0.0], None, [None, 1.0], [1.0, 0.001], [float("nan"), 1.0], None, [float("inf"), 0.0], [0.0, 1.0]]
+    df = spark.createDataFrame(list(enumerate(v)), "vec_id bigint, embedding array<double>")
+    stay = {1, 2, 3, 5, 6, 7, 8}
+    assert {r.vec_id for r in S.near_dup_within(df, 0.9).collect()} == stay
+    assert {r.vec_id for r in S.near_dup_within(df, 0.9, mode="keep_first").collect()} == stay | {0}
+    assert {r.vec_id for r in S.near_dup_existing(df, df.where("vec_id = 0"), 0.9).collect()} == stay
+    assert S.near_dup_within(df.where("vec_id IN (2, 3)"), 0.9, mode="keep_first").count() == 2
+
+
+def test_equal_directions_end_the_splitting(spark):
+    """Vectors of one direction and many lengths cannot be split; the first of them stays."""
+    v = [[float(k), 2.0 * k, 0.0] for k in range(1, 200)] + [[0.0, 0.0, 1.0]]
+    df = spark.createDataFrame(list(enumerate(v)), "vec_id bigint, embedding array<double>")
+    first = S.near_dup_within(df, 0.95, mode="keep_first", pivots=4, block=16)
+    assert sorted(r.vec_id for r in first.collect()) == [0, 199]
+    assert [r.vec_id for r in S.near_dup_within(df, 0.95, pivots=4, block=16).collect()] == [199]
+
+
 def test_empty_existing_set(spark):
     v = frame(spark, vectors(4, 50, hot=0.0))
     assert S.near_dup_existing(v, v.limit(0), 0.8).count() == 50
