@@ -8,11 +8,12 @@ the next one flags the text as ambiguous.
 
 The classifiers are log ratios of hashed byte n-gram frequencies, counted over
 all labelled rows in one pass (a few thousand counters per language leave a
-task). Bit weights come from a sample of about `sample_rows` labelled rows, at
-most `MAX_LANGUAGES` languages times `DIMENSIONS` counters reach the driver.
+task). Bit weights come from a sample of about `sample_rows` labelled rows.
+`DIMENSIONS` counters per language reach the driver; more than `MAX_LANGUAGES`
+labels stop the fit, none is left out.
 
 Text null or without a letter: `und`, score 0, not ambiguous. No labelled rows:
-`und` for all. Rows with a null label teach nothing. Repeated rows each get
+`und` for all. An empty table gives no rows. Rows with a null label teach nothing. Repeated rows each get
 their row. Ties go to the first language in code point order. Only the named
 columns are read.
 """
@@ -135,7 +136,9 @@ def fit(docs: DataFrame, train: Column, text: str = "text", label: str = "lang",
 
     summed = rows.select("label", "text").mapInArrow(counted, "label string, gram int, n double")
     found = summed.groupBy("label", "gram").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(found["label"].unique(), key=lambda v: v.encode())[:MAX_LANGUAGES]
+    languages = sorted(found["label"].unique(), key=lambda v: v.encode())
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"{len(languages)} labels; the model holds at most {MAX_LANGUAGES} languages")
     if not languages:
         return LanguageModel([], np.ones((0, 1)), np.zeros((DIMENSIONS, 1), np.float32), np.ones((0, 1)))
     counts = np.zeros((len(languages), DIMENSIONS))

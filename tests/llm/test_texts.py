@@ -277,3 +277,11 @@ def test_secret_query_and_redaction(spark):
     assert secrets.train(docs.where("false")) is None
 
 
+
+
+def test_too_many_labels_stop_the_fit(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+    docs = docs_of(spark, ["ab", "cd", "ef"], lang=["x", "y", "z"])
+    with pytest.raises(ValueError, match="3 labels"):
+        language.fit(docs, F.lit(True))
+    assert language.fit(docs.where("lang < 'z'"), F.lit(True)).languages == ["x", "y"]
