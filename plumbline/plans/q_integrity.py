@@ -90,6 +90,7 @@ _JOB = "WITH " + D.TIERS + """, c AS (SELECT doc_id, trim(replace(prompt, '’',
  SELECT doc_id, tier || ':' || sha1(prompt) AS tier, scope || ':' || sha1(prompt) AS scope FROM c"""
 
 
+@query("label_pipeline", _JOB)
 @query("label_job", _JOB)
 def label_job(spark, d):
     """Tier, scope and hash labels in one plan."""

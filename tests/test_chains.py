@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import labels as L, scores as S
-from plumbline.operators import compare, curation, evaluation, filters, scoring, sequence, similarity
+from plumbline.operators import compare, curation, evaluation, filters, scoring, sequence, similarity, training
 
 
 def test_failed_calls_count_as_errors(spark):
@@ -93,3 +93,41 @@ def test_curation_counts_every_prompt_once(spark):
     stages = curation.curate_prompts(prompts, "id", F.contains("prompt", F.lit("heart")), core, "core", "c", F.lit(True), vectors, "v", 0.9, 0.99)
     assert {r.id: r.stage for r in stages.collect()} == {
         0: "near_duplicate", 1: "duplicate", 2: "invalid", 3: "non_lexicon", 4: "core_similar", 5: "near_duplicate"}
+
+
+def test_training_chain_checks_batches(spark):
+    """One missing completion or one bad sampled label zeroes its batch, and only that."""
+    import hashlib
+
+    rows = []
+    for batch, size in (("good", 30), ("short", 10), ("bad", 10), ("one", 1), ("lucky", 30)):
+        for k in range(size):
+            prompt = f"{batch} {k}"
+            shown = "x" if batch == "bad" else prompt
+            rows.append((f"{batch}-{k}", batch, prompt, "A:" + hashlib.sha1(shown.encode()).hexdigest(), None if batch == "short" and k == 4 else "c"))
+    # A bad label that the sample of a tenth does not meet goes unseen.
+    order = sorted((r for r in rows if r[1] == "lucky"), key=lambda r: hashlib.md5(f"42:{r[0]}".encode()).hexdigest())
+    rows[rows.index(order[3])] = (*order[3][:3], "A:" + "0" * 40, "c")
+    calls = spark.createDataFrame(rows, "id string, batch string, prompt string, label string, completion string").withColumns(
+        {c: F.lit(0.8) for c in ("harm_avoidance_score", "safety_context_score", "domain_adherence_score", "clarity_score",
+                                 "completeness_score", "relevance_score", "empathy_score")}
+        | {c: F.lit("none") for c in ("referral_strength", "ahimsa_severity", "dharma_severity")}
+        | {"tier": F.lit("C"), "scope": F.lit("S0"), "response_scope": F.lit("S0"), "out_of_domain_advice": F.lit(False),
+           "run": F.lit("r"), "step": F.lit(1).cast("bigint")})
+    status = {r.batch: r.status for r in training.batch_status(calls, "batch", "id").collect()}
+    assert status == {"good": "ok", "short": "length", "bad": "hash", "one": "ok", "lucky": "ok"}
+    assert {r.status for r in training.batch_status(calls, "batch", "id", rate=1.0).where("batch = 'lucky'").collect()} == {"hash"}
+    rewarded = training.training_rewards(calls, "batch", "id")
+    found = {(r.batch, round(r.full_reward, 6), round(r.reward_only_reward, 6)) for r in rewarded.collect()}
+    assert found == {("good", 0.8, 0.8), ("one", 0.8, 0.8), ("lucky", 0.8, 0.8), ("short", 0.0, 0.0), ("bad", 0.0, 0.0)}
+    audit, averages = training.training_averages(rewarded, "run", "step")
+    assert audit.count() == 61 and averages.first().ema_combined == pytest.approx(0.8)
+
+
+def test_curation_against_an_accepted_set(spark):
+    prompts = spark.createDataFrame([(k, f"a long enough prompt about heart health number {k}") for k in range(4)], "id bigint, prompt string")
+    core = spark.createDataFrame([(0, "nothing shared here")], "core bigint, c string")
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.01, 1.0])], "id bigint, v array<double>")
+    old = spark.createDataFrame([(90, [1.0, 0.01])], "id bigint, v array<double>")
+    stages = curation.curate_prompts(prompts, "id", F.lit(True), core, "core", "c", F.lit(True), vectors, "v", 0.99, 0.99, existing=old)
+    assert {r.id: r.stage for r in stages.collect()} == {0: "near_existing", 1: "near_duplicate", 2: "near_duplicate", 3: "accepted"}
