@@ -69,6 +69,8 @@ def texts():
 @pytest.mark.parametrize("parts", [3, 4])
 def test_variants(spark, parts):
     rows = [(k if k % 7 else None, t) for k, t in enumerate(texts())] + [(5, "hotty hotly")] * 400
+    # A chain of two links.
+    rows += [(900 + k, w * n) for k, (w, n) in enumerate([("planet ", 20), ("planet ", 20), ("planot ", 8), ("planot ", 8), ("plamot ", 5)])]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n", F.lit(1)).withColumn("word", F.lit("q")).repartition(5)
     count = plain_words(rows)
     words = spelling.count_words(docs)
