@@ -58,7 +58,8 @@ class EmaFold(StatefulProcessor):
             else:
                 self.handle.registerTimer(now["end"] + self.quiet)
         self._keep(now)
-        yield self._frame(key, out)
+        if out:
+            yield self._frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = self._state()
@@ -66,7 +67,8 @@ class EmaFold(StatefulProcessor):
         # A later piece of the step has set a timer of its own.
         out = self._close(now) if now["step"] is not None and now["end"] + self.quiet <= due else []
         self._keep(now)
-        yield self._frame(key, out)
+        if out:
+            yield self._frame(key, out)
 
     def _close(self, now: dict) -> list[tuple]:
         means = _means(now["sums"], now["counts"])
@@ -134,9 +136,10 @@ class AlarmFold(StatefulProcessor):
                     break
                 calls, errors = calls + int(n), errors + int(failed)
         self.held.update((int(calls), int(errors), raised))
-        frame = pd.DataFrame(out, columns=[*self.order, "errors", "calls"])
-        frame.insert(0, self.run, key[0])
-        yield frame
+        if out:
+            frame = pd.DataFrame(out, columns=[*self.order, "errors", "calls"])
+            frame.insert(0, self.run, key[0])
+            yield frame
 
     def close(self) -> None:
         pass
