@@ -7,11 +7,13 @@ a text is cut there first: before each run of spaces, around line feeds, and
 between Latin letters and ASCII signs. Each rule is checked against the pieces
 and left out where a piece breaks it. Cut parts repeat, so a worker keeps a bounded table of parts it has encoded.
 Every part is compared with the sentencepiece library when it enters the table,
-one call per Arrow batch; a difference stops the job.
+one call per Arrow batch; a difference stops the job. The decoded text is built
+from the ids of the whole text, whatever its parts.
 
 Text null or empty: the end id alone, decoded as "". Repeated rows each give
 their row. Very long texts are encoded whole; a very long part costs
-n log n steps. Other columns of the input are not read.
+n log n steps. An empty table gives an empty result. Other columns of the input
+are not read.
 """
 
 from __future__ import annotations
@@ -64,6 +66,7 @@ class Vocabulary:
             self.cut = _FINE if signs else _PARTS
         self.text = [None if i in self.bytes else "" if i in self.control else p.replace(SPACE_MARK, " ")
                      for i, p in enumerate(self.pieces)]
+        self.written = {str(i): t for i, t in enumerate(self.text)}
 
     def merge(self, symbols: str) -> list[int]:
         """Ids of marked text by the score-ordered agenda."""
@@ -126,12 +129,16 @@ class Vocabulary:
     def encode(self, text: str) -> list[int]:
         return [i for part in self.parts(text) for i in self.merge(part)]
 
+    def decode_written(self, ids: str) -> str:
+        """Text of decimal ids joined by one space."""
+        numbers = ids.split(" ")
+        pieces = list(map(self.written.__getitem__, numbers))
+        if None in pieces:
+            return self.decode(list(map(int, numbers)))
+        return "".join(pieces).removeprefix(" ")
+
     def decode(self, ids: list[int]) -> str:
         """Text of ids: space marks become spaces, byte pieces characters, the dummy space goes."""
-        pieces = [self.text[i] for i in ids]
-        if None not in pieces:
-            text = "".join(pieces)
-            return text[1:] if text.startswith(" ") else text
         out, pending = [], bytearray()
         for i in ids:
             if i in self.bytes:
@@ -142,8 +149,7 @@ class Vocabulary:
                 pending = bytearray()
             out.append(self.text[i])
         out.append(pending.decode(errors="replace"))
-        text = "".join(out)
-        return text[1:] if text.startswith(" ") else text
+        return "".join(out).removeprefix(" ")
 
 
 _PARTS = re.compile("\n|▁*[^▁\n]+|▁+")
@@ -160,19 +166,12 @@ class Encoder:
         self.mark = self.vocabulary.merge(SPACE_MARK)
         #: ids of each known part
         self.table: dict[str, str] = {}
-        #: parts that do not decode to themselves
-        self.odd: set[str] = set()
-
-    def plain(self, ids: list[int]) -> str:
-        """Text of a part's ids with its leading space, if it has one."""
-        return self.vocabulary.decode([*self.mark, *ids])
 
     def learn(self, parts: set[str]) -> None:
         """Encode new parts and compare them with the library."""
         v = self.vocabulary
         if len(self.table) + len(parts) > TABLE_PARTS:
             self.table.clear()
-            self.odd.clear()
         # The library puts a space mark in front; what has none is compared behind a line feed.
         asked = list(parts)
         marked = [p[0] == SPACE_MARK and p != SPACE_MARK for p in asked]
@@ -184,8 +183,6 @@ class Encoder:
             if v.cut and ids != expected:
                 raise ValueError(f"agenda and library differ on {part!r}: {ids} and {expected}")
             self.table[part] = " ".join(map(str, ids))
-            if self.plain(ids) != part.replace(SPACE_MARK, " "):
-                self.odd.add(part)
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[str, int, str]]:
         """Ids as one string with the end id, their number, and the decoded text."""
@@ -196,7 +193,7 @@ class Encoder:
             new.update(set(parts).difference(self.table))
         if new:
             self.learn(new)
-        for text, parts in zip(texts, cut):
+        for parts in cut:
             if not parts:
                 yield end, 1, ""
                 continue
@@ -205,11 +202,7 @@ class Encoder:
             except KeyError:  # the table was emptied since
                 again = {p: " ".join(map(str, v.merge(p))) for p in set(parts)}
                 ids = " ".join([*map(again.__getitem__, parts), end])
-            if self.odd or v.cut is None:
-                decoded = v.decode(list(map(int, ids.split(" "))))
-            else:
-                decoded = text.replace(SPACE_MARK, " ")
-            yield ids, ids.count(" ") + 1, decoded
+            yield ids, ids.count(" ") + 1, v.decode_written(ids)
 
 
 @lru_cache(maxsize=1)
