@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -28,9 +29,11 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 SPACE_MARK = "▁"
+#: Parts in each of the two halves of a worker's table.
 TABLE_PARTS = 200_000
 SHORT = 48
 INFINITE = float("inf")
@@ -66,7 +69,10 @@ class Vocabulary:
             self.cut = _FINE if signs else _PARTS
         self.text = [None if i in self.bytes else "" if i in self.control else p.replace(SPACE_MARK, " ")
                      for i, p in enumerate(self.pieces)]
-        self.written = {str(i): t for i, t in enumerate(self.text)}
+        #: bytes and decimal form of each id, to be taken for all ids of a batch at once
+        coded = [bytes([self.bytes[i]]) if t is None else t.encode() for i, t in enumerate(self.text)]
+        self.coded = pa.array(coded, pa.binary())
+        self.decimal = pa.array([str(i) for i in range(size)])
 
     def merge(self, symbols: str) -> list[int]:
         """Ids of marked text by the score-ordered agenda."""
@@ -129,13 +135,14 @@ class Vocabulary:
     def encode(self, text: str) -> list[int]:
         return [i for part in self.parts(text) for i in self.merge(part)]
 
-    def decode_written(self, ids: str) -> str:
-        """Text of decimal ids joined by one space."""
-        numbers = ids.split(" ")
-        pieces = list(map(self.written.__getitem__, numbers))
-        if None in pieces:
-            return self.decode(list(map(int, numbers)))
-        return "".join(pieces).removeprefix(" ")
+    def decode_all(self, ids: pa.ListArray) -> list[str]:
+        """Texts of lists of ids, all pieces of a batch taken together."""
+        pieces = pa.ListArray.from_arrays(ids.offsets, self.coded.take(ids.values))
+        return [b.as_py().decode(errors="replace").removeprefix(" ") for b in pc.binary_join(pieces, b"")]
+
+    def written(self, ids: pa.ListArray) -> list[str]:
+        """Decimal ids of each list, joined by one space."""
+        return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, self.decimal.take(ids.values)), " ").to_pylist()
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: space marks become spaces, byte pieces characters, the dummy space goes."""
@@ -158,20 +165,41 @@ _OTHER = f"[^{LETTERS}{SIGNS}▁\n]"
 _FINE = re.compile(f"\n|▁*(?:[{LETTERS}]++(?!{_OTHER})|[{SIGNS}]++(?!{_OTHER})|[^▁\n]+)|▁+")
 
 
+class Parts(dict):
+    """Ids of known parts, four bytes each; what has not been used for long is forgotten.
+
+    A full table becomes the older half, whose parts come back as they are met.
+    """
+
+    def __init__(self, size: int):
+        self.size, self.older = size, {}
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.older.pop(part)
+        self.put(part, ids)
+        return ids
+
+    def put(self, part: str, ids: bytes) -> None:
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[part] = ids
+
+    def unknown(self, parts: list[str]) -> set[str]:
+        return {p for p in set(parts) if p not in self and p not in self.older}
+
+
 class Encoder:
     """A vocabulary with the bounded table of parts of one worker."""
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.mark = self.vocabulary.merge(SPACE_MARK)
-        #: ids of each known part
-        self.table: dict[str, str] = {}
+        self.table = Parts(TABLE_PARTS)
 
     def learn(self, parts: set[str]) -> None:
         """Encode new parts and compare them with the library."""
         v = self.vocabulary
-        if len(self.table) + len(parts) > TABLE_PARTS:
-            self.table.clear()
         # The library puts a space mark in front; what has none is compared behind a line feed.
         asked = list(parts)
         marked = [p[0] == SPACE_MARK and p != SPACE_MARK for p in asked]
@@ -182,27 +210,40 @@ class Encoder:
             expected = theirs if m else theirs[lead:]
             if v.cut and ids != expected:
                 raise ValueError(f"agenda and library differ on {part!r}: {ids} and {expected}")
-            self.table[part] = " ".join(map(str, ids))
+            self.table.put(part, _packed(ids))
 
-    def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[str, int, str]]:
-        """Ids as one string with the end id, their number, and the decoded text."""
-        v, end = self.vocabulary, str(self.vocabulary.end)
+    def encode_batch(self, texts: list[str | None]) -> pa.ListArray:
+        """Ids of each text with the end id."""
+        v, end = self.vocabulary, _packed([self.vocabulary.end])
         cut = [v.parts(t or "") for t in texts]
+        packed = [self._known(parts) for parts in cut]
         new: set[str] = set()
-        for parts in cut:
-            new.update(set(parts).difference(self.table))
+        for parts, ids in zip(cut, packed):
+            if ids is None:
+                new |= self.table.unknown(parts)
         if new:
             self.learn(new)
-        for parts in cut:
-            if not parts:
-                yield end, 1, ""
-                continue
-            try:
-                ids = " ".join([*map(self.table.__getitem__, parts), end])
-            except KeyError:  # the table was emptied since
-                again = {p: " ".join(map(str, v.merge(p))) for p in set(parts)}
-                ids = " ".join([*map(again.__getitem__, parts), end])
-            yield ids, ids.count(" ") + 1, v.decode_written(ids)
+        for i, ids in enumerate(packed):
+            if ids is None:
+                ids = self._known(cut[i])
+            if ids is None:  # forgotten since
+                again = {p: _packed(v.merge(p)) for p in set(cut[i])}
+                ids = b"".join(map(again.__getitem__, cut[i]))
+            packed[i] = ids + end
+        ends = np.cumsum([0, *map(len, packed)]) // 4
+        return pa.ListArray.from_arrays(
+            pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+
+    def _known(self, parts: list[str]) -> bytes | None:
+        """Ids of a text whose parts are all in the table."""
+        try:
+            return b"".join(map(self.table.__getitem__, parts))
+        except KeyError:
+            return None
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
 
 
 @lru_cache(maxsize=1)
@@ -227,16 +268,14 @@ def encode_texts(docs: DataFrame, model: str, id_column: str = "doc_id", text: s
         tool = encoder(model)
         for batch in batches:
             for part in slices(batch, "__text"):
-                rows = list(tool.encode_batch(part.column("__text").to_pylist()))
+                ids = tool.encode_batch(part.column("__text").to_pylist())
                 columns = [part.column(c) for c in kept]
-                columns += [pa.array([r[1] for r in rows], pa.int64()),
-                            pa.array([_sha(r[0]) for r in rows], pa.string()),
-                            pa.array([_sha(r[2]) for r in rows], pa.string())]
+                columns += [pc.list_value_length(ids).cast(pa.int64()),
+                            pa.array(map(_sha, tool.vocabulary.written(ids)), pa.string()),
+                            pa.array(map(_sha, tool.vocabulary.decode_all(ids)), pa.string())]
                 names = [*kept, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    flat = np.fromstring(" ".join([r[0] for r in rows]), np.int32, sep=" ")
-                    ends = np.cumsum([0, *[r[1] for r in rows]]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
+                    columns.append(ids)
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 

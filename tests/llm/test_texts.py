@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import language, packed, quality, secrets
-from plumbline.llm.pieces import Encoder, Vocabulary, encode_texts
+from plumbline.llm.pieces import Encoder, Parts, Vocabulary, encode_texts
 from plumbline.llm.q_pieces import model_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -51,12 +51,25 @@ def test_pieces_equal_the_library():
     rng = random.Random(4)
     texts = [t for t in ODD if t] + ["▁", "▁▁ \n ▁x", "<s>a</s>", "<0x41>", "\x00", "a" * 3000, "日本語\nテスト.x"]
     texts += ["".join(rng.choice("ab \n▁é<>x0😀t.") for _ in range(rng.randint(0, 40))) for _ in range(500)]
-    for text, (ids, n, decoded) in zip(texts, tool.encode_batch(texts)):
+    ids = tool.encode_batch(texts)
+    found = zip(texts, ids.to_pylist(), tool.vocabulary.written(ids), tool.vocabulary.decode_all(ids))
+    for text, mine, decimal, decoded in found:
         want = library.encode(text, add_eos=True)
-        assert list(map(int, ids.split())) == want and n == len(want)
+        assert mine == want and decimal == " ".join(map(str, want))
         assert decoded == library.decode(want) == tool.vocabulary.decode(want)
 
 
+def test_pieces_with_a_full_table():
+    tool = Encoder(model_path())
+    tool.table = Parts(7)
+    rng = random.Random(5)
+    for _ in range(20):
+        texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 3) for _ in range(30)) for _ in range(9)]
+        want = tool.vocabulary.library.encode(texts, add_eos=True)
+        assert tool.encode_batch(texts).to_pylist() == want
+        assert len(tool.table) <= 7 and len(tool.table.older) <= 7
+
+
 def test_pieces_short_and_long_agendas_agree():
     v = Vocabulary(model_path())
     for text in ["▁the▁theatre", "aaaaaaaaab", "▁▁▁▁▁x"]:
