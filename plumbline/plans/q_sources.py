@@ -7,7 +7,7 @@ from plumbline.operators import metrics
 from plumbline.plans import tables as D
 from plumbline.plans.q_text import _pick
 from plumbline.plans.registry import query, rounded
-from plumbline.session import shared_dir
+from plumbline.session import shared_dir, written
 from plumbline.sources import readers, report_parts, writers
 
 _ROWS = """SELECT doc_id AS id, md5(text) AS digest, lang AS tier FROM documents"""
@@ -37,6 +37,16 @@ def scan_jsonl_rejected(spark, d):
     return bad.agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("scan_jsonl_counted", """SELECT count_if(doc_id % 9 <> 0)::BIGINT AS accepted, count(*) AS lines,
+ count_if(doc_id % 9 = 0)::BIGINT AS rejected FROM documents""")
+def scan_jsonl_counted(spark, d):
+    good, counts = readers.scan_jsonl_counted(spark, scenario_files(spark, d, True))
+    rows = written(good)
+    seen = counts.get
+    return rows.agg(F.count(F.lit(1)).alias("accepted"), F.lit(seen["lines"]).cast("bigint").alias("lines"),
+                    F.lit(seen["rejected"]).cast("bigint").alias("rejected"))
+
+
 @query("scan_jsonl_strict", _ROWS)
 def scan_jsonl_strict(spark, d):
     return readers.scan_jsonl_strict(spark, scenario_files(spark, d, False)).select("id", F.md5("prompt").alias("digest"), "tier")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from plumbline import config as C
 from plumbline.functions.text import strip
@@ -22,6 +22,21 @@ def scan_jsonl(spark: SparkSession, path: str | list[str], schema: str = SCENARI
     return rows.where("_bad IS NULL").drop("_bad"), bad
 
 
+def scan_jsonl_counted(spark: SparkSession, path: str | list[str], schema: str = SCENARIO,
+                       pattern: str | None = None) -> tuple[DataFrame, Observation]:
+    """Good rows, and the numbers of `lines` and `rejected` lines, from one pass over the files.
+
+    The numbers are there once a first job has read all rows. Blank lines do not count.
+    """
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    lines = spark.read.options(**({"pathGlobFilter": pattern} if pattern else {})).text(path)
+    parsed = lines.where(strip(F.col("value")) != "").select(
+        F.from_json("value", schema + ", _bad STRING", options).alias("row")).select("row.*")
+    counts = Observation()
+    seen = parsed.observe(counts, F.count(F.lit(1)).alias("lines"), F.count("_bad").alias("rejected"))
+    return seen.where("_bad IS NULL").drop("_bad"), counts
+
+
 def scan_jsonl_strict(spark: SparkSession, path: str | list[str], schema: str = SCENARIO) -> DataFrame:
     """A malformed line fails the job."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)

@@ -19,6 +19,19 @@ def test_jsonl_tolerant_and_strict(spark, tmp_path):
         readers.scan_jsonl_strict(spark, str(tmp_path)).collect()
 
 
+def test_jsonl_counts_leave_with_the_rows(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"id": 1, "prompt": "a", "more": 2}\n\n{broken\n  \n{"id": 2, "prompt": null}\n[1\n')
+    rows, counts = readers.scan_jsonl_counted(spark, str(tmp_path))
+    both, bad = readers.scan_jsonl(spark, str(tmp_path))
+    found = sorted(rows.collect(), key=lambda r: r.id)
+    assert found == sorted(both.collect(), key=lambda r: r.id) and rows.schema == both.schema
+    assert counts.get == {"lines": 4, "rejected": 2} and bad.count() == 2
+    assert rows._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    (tmp_path / "x.jsonl").write_text("")
+    rows, counts = readers.scan_jsonl_counted(spark, str(tmp_path))
+    assert rows.collect() == [] and counts.get == {"lines": 0, "rejected": 0}
+
+
 def test_reports(spark, tmp_path):
     report = {
         "evaluation_config": {"model_name": "meta/Llama-3.2-1B", "evaluator": "gemini (gemini-2.0-flash)", "num_scenarios": 2},
