@@ -26,7 +26,9 @@ def scan_jsonl_counted(spark: SparkSession, path: str | list[str], schema: str =
                        pattern: str | None = None) -> tuple[DataFrame, Observation]:
     """Good rows, and the numbers of `lines` and `rejected` lines, from one pass over the files.
 
-    The numbers are there once a first job has read all rows. Blank lines do not count.
+    The numbers are there once a first job has read all rows; let that job write the
+    rows as they are, as tasks before a shuffle may run again and count twice when
+    executors are lost. Blank lines do not count.
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     lines = spark.read.options(**({"pathGlobFilter": pattern} if pattern else {})).text(path)
