@@ -14,7 +14,9 @@ def sink_jsonl(df: DataFrame, path: str, mode: str = "append") -> None:
 def sink_eval_report(summary: DataFrame, items: DataFrame, path: str, run: str = "run") -> None:
     """Summary and item tables; items lie in evenly sized files, sorted so that a run is found by file statistics."""
     summary.write.mode("overwrite").parquet(f"{path}/summary")
-    items.repartitionByRange(run).sortWithinPartitions(run).write.mode("overwrite").parquet(f"{path}/items")
+    # A row's number beside the run cuts a run that is a large part of all rows into many files.
+    placed = items.withColumn("__place", F.monotonically_increasing_id()).repartitionByRange(run, "__place")
+    placed.sortWithinPartitions(run).drop("__place").write.mode("overwrite").parquet(f"{path}/items")
 
 
 def report_lines(summary: DataFrame, items: DataFrame, run: str, key: str, fields: list[str]) -> DataFrame:

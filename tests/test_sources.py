@@ -157,3 +157,20 @@ def test_a_run_of_a_third_of_all_results_is_many_parts(spark, tmp_path):
     assert placed.where("inside AND doc LIKE '%name=hot'").select("block").distinct().count() >= 3
     reports, results = report_parts.scan_report_parts(spark, path, document="folder")
     assert reports.count() == 41 and results.groupBy("file_path").count().agg(F.max("count")).first()[0] == 1000
+
+
+def test_report_items_of_few_runs_are_many_files(spark, tmp_path):
+    """Two runs hold all rows: their items are cut into more files than runs, none of which holds most of them."""
+    items = spark.range(0, 40_000, 1, 4).selectExpr("if(id % 4 = 0, 'a', 'b') AS run", "id AS item_id", "sha2(string(id), 512) AS text")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        writers.sink_eval_report(items.groupBy("run").count(), items, str(tmp_path))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    back = spark.read.parquet(str(tmp_path / "items"))
+    assert back.columns == items.columns and back.exceptAll(items).count() == 0 and back.count() == 40_000
+    sizes = [r["count"] for r in back.groupBy(F.col("_metadata.file_path")).count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 10_000
