@@ -16,32 +16,50 @@ _DAY = "CAST(floor((epoch_us(ts) - 1704067200000000) / 86400000000) AS BIGINT)"
 _DELAY = "60 days"
 
 
+#: Rows of an event file, beyond the two files that a micro-batch has at least.
+_ROWS_PER_FILE = 50_000
+
+
+def _files(rows):
+    """Files of a micro-batch of so many rows: each of them is a task's work."""
+    return max(2, -(-rows // _ROWS_PER_FILE))
+
+
 def _stream(spark, d):
-    """The events in six files by a hash of their id, two per micro-batch."""
+    """The events by a hash of their id in files of three micro-batches."""
     path = shared_dir(spark)
-    D.events(spark, d).repartition(6, "event_id").write.parquet(path)
-    return jobs.event_stream(spark, path, files_per_batch=2)
+    events = D.events(spark, d)
+    files = _files(-(-events.count() // 3))
+    events.repartition(3 * files, "event_id").write.parquet(path)
+    return jobs.event_stream(spark, path, files_per_batch=files)
+
+
+def _dealt(rows, files):
+    """Rows in exactly so many files: dealt in turn where there are many, as equal ids would leave files
+    empty, and a micro-batch would then reach into the next write and move the watermark too early."""
+    return rows.repartition(files, "event_id") if files == 2 else rows.repartition(files)
 
 
 def _timed_stream(spark, d):
     """The events about in the order of their time, half a day early or late, and a heartbeat at the end.
 
-    Three writes of two files and one of the heartbeat, two files a micro-batch.
+    Three writes of as many files as a micro-batch takes, and one of the heartbeat.
     """
     path = shared_dir(spark)
     events = D.events(spark, d)
     late = F.expr("INTERVAL 12 HOURS") * (F.pmod(F.xxhash64("event_id"), F.lit(3)) - 1)
     span = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
-    low, high = span.first()
+    low, high, rows = events.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first()
+    files = _files(-(-rows // 3))
     shown = F.unix_micros(F.col("ts") + late)
     for k in range(3):
         a, b = (F.unix_micros(F.lit(low)) + (F.unix_micros(F.lit(high)) - F.unix_micros(F.lit(low))) * (k + j) / 3 for j in (0, 1))
         part = (shown >= a if k else F.lit(True)) & (shown < b if k < 2 else F.lit(True))
-        events.where(part).repartition(2, "event_id").write.mode("append").parquet(path)
+        _dealt(events.where(part), files).write.mode("append").parquet(path)
     beat = span.select((F.col("high") + F.expr("INTERVAL 10 DAYS")).alias("ts"))
     beat.select(*[("ts" if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name)) for f in events.schema]).write.mode(
         "append").parquet(path)
-    return jobs.event_stream(spark, path, files_per_batch=2)
+    return jobs.event_stream(spark, path, files_per_batch=files)
 
 
 def _day():
