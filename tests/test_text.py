@@ -69,6 +69,7 @@ def test_hashing_twice_changes_nothing(spark):
     ('{"a": 0.5, "b":', "salvage", {"a": "0.5"}),
     ('{"a": 1} and {"b": "No"}', "salvage", {"a": "1", "b": "false"}),
     ('{"a": 1 "a": 2, "n": -3', "salvage", {"a": "1"}),
+    ('{"a":b": 4 "c": "x"', "salvage", {"c": "x", ":b": "4"}),
     ('[1, 2]', "array", None), ("nothing", None, None), ("", None, None), (None, None, None),
 ])
 def test_extract_object(spark, raw, strategy, fields):
