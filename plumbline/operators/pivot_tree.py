@@ -13,7 +13,9 @@ its own, so it lies beyond the plane between the two. A query stops at the first
 partner: at a pivot within reach, or in a cell that lies wholly within reach.
 The nearest leaf is searched first, and only queries without a partner there
 look further. On data without clusters nothing can be pruned, and every leaf is
-searched.
+searched: a query would be copied once a leaf. Before the tree is asked, queries
+are therefore compared with a few partners (`scouted`), and a few blocks of
+queries that are left go over all partners at once (`flat`).
 """
 
 from __future__ import annotations
@@ -33,6 +35,10 @@ SLACK = 1e-6
 ONE_DIRECTION = 1e-6
 #: A cell's number holds its way from the root in this many bits.
 PATH_BITS = 60
+#: Rounds of scouts at most; a round that leaves more than this share is the last one.
+SCOUT_ROUNDS, SCOUTS_USEFUL = 4, 0.9
+#: So few blocks of queries are compared with all partners, each of which is copied once a block.
+FLAT_BLOCKS = 8
 
 
 def units(column: pa.ChunkedArray) -> np.ndarray:
@@ -66,7 +72,7 @@ class Tree:
 def _dealt(rows: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
     """Rows with `salt`: the rows of a cell lie in about n / block groups."""
     salts = sizes.select("cell", F.ceil(F.col("n") / block).cast("int").alias("salts"))
-    return rows.join(salts, "cell").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
+    return rows.join(F.broadcast(salts), "cell").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
 
 
 def _copied(cells: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
@@ -236,7 +242,7 @@ def compare(tree: Tree, visits: DataFrame, search: Search, threshold: float, blo
         held.select("cell", F.ceil(F.col("n") / block).cast("int").alias("ps")), "cell")
 
     def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
-        cut = rows.select("cell", "rep", "v").join(plan, "cell").withColumn(
+        cut = rows.select("cell", "rep", "v").join(F.broadcast(plan), "cell").withColumn(
             own[0], F.pmod(F.xxhash64("rep"), F.col(own)).cast("int"))
         return cut.withColumn(other[0], F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select("cell", "q", "p", "rep", "v")
 
@@ -253,11 +259,54 @@ def compare(tree: Tree, visits: DataFrame, search: Search, threshold: float, blo
     return left.cogroup(right).applyInArrow(match, f"rep {rep}").distinct()
 
 
+def flat(rows: DataFrame) -> Tree:
+    """All rows (rep, v) as one cell that is not split."""
+    # Under names of their own, as the queries may be the same table.
+    leaves = rows.select(F.col("rep").alias("rep"), F.col("v").alias("v"), F.lit(0).cast("bigint").alias("cell"))
+    return Tree(leaves, _counted(leaves), [])
+
+
+def _scouts(partners: DataFrame, search: Search, start: int, stop: int) -> DataFrame:
+    """Partners number `start` to `stop`: the smallest reps if only those count, else in hash order."""
+    placed = partners.withColumn("place", F.col("rep") if search.earlier else hash_order(F.col("rep"), "scouts"))
+
+    def cut(n: int):
+        return placed.select("place").orderBy("place").limit(n).agg(F.max("place")).first()[0]
+
+    upto = placed.where(F.col("place") <= F.lit(cut(stop)))
+    return (upto.where(F.col("place") > F.lit(cut(start))) if start else upto).select("rep", "v")
+
+
+def scouted(queries: DataFrame, partners: DataFrame, search: Search, threshold: float, block: int) -> tuple[list[DataFrame], DataFrame, int]:
+    """(found, rest, number of the rest): queries (rep, v) that a few partners settle, and the others.
+
+    Where near copies are common, most queries have one among any few partners, and
+    no tree need be asked for them. The partners of a round are four times those of
+    the one before; a round that settles little is the last.
+    """
+    found: list[DataFrame] = []
+    rest, left, all_partners = queries.select("rep", "v"), queries.count(), partners.count()
+    start, size = 0, block
+    for _ in range(SCOUT_ROUNDS):
+        if left <= FLAT_BLOCKS * block or start >= all_partners:
+            break
+        scouts = flat(written(_scouts(partners, search, start, start + size)))
+        met = written(compare(scouts, rest.withColumn("cell", F.lit(0).cast("bigint")), search, threshold, block))
+        found.append(met)
+        rest = written(rest.join(met, "rep", "left_anti"))
+        before, left = left, rest.count()
+        start, size = start + size, size * 4
+        if left > before * SCOUTS_USEFUL:
+            break
+    return found, rest, left
+
+
 def partnered(tree: Tree, queries: DataFrame, search: Search, threshold: float, block: int) -> DataFrame:
     """(rep) of every query (rep, v) with a partner in the tree."""
     if search.same_table:
         # Every row lies in its nearest leaf already, and its angle to the pivot is known.
-        placed = tree.leaves.join(tree.ends.select("cell", "high", "n", "first"), "cell")
+        own = tree.leaves.join(queries.select("rep"), "rep", "left_semi")
+        placed = own.join(tree.ends.select("cell", "high", "n", "first"), "cell")
         may = search.column(F.col("rep"), F.col("first")) | (F.lit(not search.earlier) & (F.col("n") > 1))
         sure = (F.col("angle") + F.col("high") <= search.reach - SLACK) & may
         by_pivot = (F.col("angle") <= search.reach - SLACK) & search.column(F.col("rep"), F.col("pivot_rep"))

@@ -30,12 +30,22 @@ def has_partner(queries: DataFrame, partners: DataFrame, threshold: float, same_
 
     Partners lie in a tree that splits cells of more than `block` rows around
     `pivots` of their vectors; see `pivot_tree`. Only query keys leave a task,
-    never pairs. With `earlier` only partners of a smaller `rep` count.
+    never pairs. With `earlier` only partners of a smaller `rep` count. Queries
+    that a few partners settle, and few blocks of queries, need no tree.
     """
     reach = math.acos(min(1.0, max(-1.0, threshold)))
-    tree = pivot_tree.build(partners.select("rep", "v"), pivots, block)
     search = pivot_tree.Search(reach, same_table, earlier)
-    return pivot_tree.partnered(tree, queries.select("rep", "v"), search, threshold, block).distinct()
+    partners = partners.select("rep", "v")
+    found, rest, left = pivot_tree.scouted(queries, partners, search, threshold, block)
+    if left <= pivot_tree.FLAT_BLOCKS * block:
+        last = pivot_tree.compare(
+            pivot_tree.flat(partners), rest.withColumn("cell", F.lit(0).cast("bigint")), search, threshold, block)
+    else:
+        tree = pivot_tree.build(partners, pivots, block)
+        last = pivot_tree.partnered(tree, rest, search, threshold, block)
+    for more in found:
+        last = last.unionByName(more)
+    return last.distinct()
 
 
 def _expand(flagged: DataFrame, reps: DataFrame) -> DataFrame:

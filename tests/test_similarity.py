@@ -117,3 +117,17 @@ def test_tfidf_by_hand(spark):
 def test_core_set_needs_forty_rows(spark):
     assert S.scan_core_set(spark.range(39)).count() == 0
     assert S.scan_core_set(spark.range(40)).count() == 40
+
+
+def test_dense_vectors_are_settled_by_few_partners(spark, monkeypatch):
+    # Without clusters a tree sends a query to every leaf; where near copies are common it must not be asked.
+    v = np.random.default_rng(5).normal(size=(300, 4))
+    near = cosines(v, v) >= 0.8
+    np.fill_diagonal(near, False)
+
+    def refused(*_):
+        raise AssertionError("the tree was asked")
+
+    monkeypatch.setattr(pivot_tree, "build", refused)
+    first = S.near_dup_within(frame(spark, v), 0.8, mode="keep_first", pivots=4, block=30)
+    assert {r.vec_id for r in first.collect()} == set(np.flatnonzero(~np.tril(near).any(1)).tolist())
