@@ -131,3 +131,22 @@ def test_curation_against_an_accepted_set(spark):
     old = spark.createDataFrame([(90, [1.0, 0.01])], "id bigint, v array<double>")
     stages = curation.curate_prompts(prompts, "id", F.lit(True), core, "core", "c", F.lit(True), vectors, "v", 0.99, 0.99, existing=old)
     assert {r.id: r.stage for r in stages.collect()} == {0: "near_existing", 1: "near_duplicate", 2: "near_duplicate", 3: "accepted"}
+
+
+def test_batches_are_ranked_whole_or_in_blocks_alike(spark, monkeypatch):
+    calls = spark.range(400).selectExpr(
+        "CASE WHEN id < 300 THEN 'large' WHEN id < 390 THEN concat('b', id % 9) END AS batch", "id", "concat('p', id) AS prompt",
+        "concat('A:', sha1(concat('p', if(id % 13 = 0, 0, id)))) AS label", "if(id = 301, null, 'c') AS completion")
+    asked = []
+    rank = training.add_rank
+
+    def counted(df, *args, **more):
+        asked.append(df)
+        return rank(df, *args, **more)
+
+    monkeypatch.setattr(training, "add_rank", counted)
+    whole = {tuple(r) for r in training.batch_status(calls, "batch", "id").collect()}
+    assert not asked and len(whole) == 11
+    monkeypatch.setattr(training, "BATCH_ROWS", 5)
+    blocks = {tuple(r) for r in training.batch_status(calls, "batch", "id").collect()}
+    assert len(asked) == 1 and blocks == whole
