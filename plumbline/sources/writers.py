@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions import names as N
+from plumbline.session import written
+
+#: Runs up to which their first results are broadcast.
+BROADCAST_RUNS = 1_000_000
 
 
 def sink_jsonl(df: DataFrame, path: str, mode: str = "append") -> None:
@@ -26,7 +30,7 @@ def report_lines(summary: DataFrame, items: DataFrame, run: str, key: str, field
     held in one row. The first result of a run (least key) opens the list.
     """
     facts = items.groupBy(run).agg(F.count(F.lit(1)).alias("__n"), F.min(key).alias("__first"))
-    heads = summary.join(facts, run)
+    heads = written(summary.join(facts, run))
     metrics = [c for c in summary.columns if c != run]
     head = F.concat(
         F.lit('{"evaluation_config": '),
@@ -36,6 +40,8 @@ def report_lines(summary: DataFrame, items: DataFrame, run: str, key: str, field
     tops = heads.select(run, F.lit(0).alias("part"), none.alias(key), head.alias("line"))
     ends = heads.select(run, F.lit(2).alias("part"), none.alias(key), F.lit("]}").alias("line"))
     firsts = heads.select(run, F.col("__first").alias(key), F.lit(True).alias("__opens"))
+    if firsts.count() <= BROADCAST_RUNS:
+        firsts = F.broadcast(firsts)
     body = items.select(run, key, F.to_json(F.struct(*fields)).alias("line")).join(firsts, [run, key], "left")
     rows = body.select(run, F.lit(1).alias("part"), key, F.concat(F.when(F.col("__opens"), "").otherwise(","), "line").alias("line"))
     return tops.unionByName(rows).unionByName(ends)

@@ -174,3 +174,53 @@ def test_report_items_of_few_runs_are_many_files(spark, tmp_path):
     assert back.columns == items.columns and back.exceptAll(items).count() == 0 and back.count() == 40_000
     sizes = [r["count"] for r in back.groupBy(F.col("_metadata.file_path")).count().collect()]
     assert len(sizes) >= 6 and max(sizes) < 10_000
+
+
+def test_many_reports_of_a_folder_are_told_apart(spark, tmp_path):
+    """Documents follow each other in packed files that cut them; the files do not grow in number with the runs."""
+    items = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("m"), F.col("id") % 80)).alias("run"), F.col("id"),
+                                     F.col("id").cast("string").alias("scenario_id"), F.lit("p {[").alias("prompt"), F.lit('r "}').alias("response"))
+    summary = items.select("run").distinct().withColumn("average_combined_score", F.lit(0.5))
+    lines = writers.report_lines(summary, items, "run", "id", ["scenario_id", "prompt", "response"])
+    path = str(tmp_path / "out")
+    report_parts.sink_many_reports(lines, path, "run", "id", 7)
+    assert len(list((tmp_path / "out").glob("part-*"))) == 7
+    placed = report_parts.placed_lines(report_parts.document_lines(spark, path, document="many"))
+    assert placed.count() == 4082 and placed.where("inside").groupBy("number").count().agg(F.max("count")).first()[0] == 2000
+    assert placed.groupBy("number").agg(F.countDistinct("block").alias("n")).agg(F.max("n")).first()[0] >= 3
+    reports, results = report_parts.scan_report_parts(spark, path, document="many")
+    assert {(r.evaluation_config.model_name, r.evaluation_config.num_scenarios) for r in reports.collect()} == {
+        ("hot", 2000), *((f"m{k}", 50) for k in range(1, 80, 2))}
+    assert results.groupBy("file_path").count().count() == 41
+    rows = report_parts.explode_result_parts(reports, results).collect()
+    assert sorted(int(r.scenario_id) for r in rows) == list(range(4000)) and {(r.prompt, r.response) for r in rows} == {("p {[", 'r "}')}
+
+
+@pytest.mark.parametrize("blocks", [0, 100_000])
+def test_many_reports_of_any_layout(spark, tmp_path, monkeypatch, blocks):
+    """Indented and one-line documents of one folder, cut at any place, beside one that is no report."""
+    monkeypatch.setattr(report_parts, "BROADCAST_BLOCKS", blocks)
+    docs = [pretty("many", [result(k) for k in range(60)]), {"unrelated": [{"scenario_id": "9"}]}, pretty("few", [result(k) for k in range(500, 503)])]
+    whole = [json.dumps(docs[0], indent=2), json.dumps(docs[1], indent=1), json.dumps(docs[2]), json.dumps(docs[2], indent=4)]
+    text = "\n".join(whole).split("\n")
+    for k in range(5):
+        (tmp_path / f"part-{k:05d}.txt").write_text("".join(f"{line}\n" for line in text[len(text) * k // 5:len(text) * (k + 1) // 5]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        reports, results = report_parts.scan_report_parts(spark, str(tmp_path), document="many")
+        rows = report_parts.explode_result_parts(reports, results).collect()
+        assert sorted(r.evaluation_config.model_name for r in reports.collect()) == ["few", "few", "many"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = sorted((r["scenario_id"], r["prompt"], r["response"]) for d in (docs[0], docs[2], docs[2]) for r in d["individual_results"])
+    assert sorted((r.scenario_id, r.prompt, r.response) for r in rows) == want
+
+
+def test_report_lines_are_not_exchanged_to_be_read(spark, tmp_path):
+    """What is shuffled to read reports is a few numbers per block and the lines that are no results."""
+    items = spark.range(100).select(F.lit("m").alias("run"), F.col("id"), F.col("id").cast("string").alias("scenario_id"), F.lit("p").alias("prompt"), F.lit("r").alias("response"))
+    lines = writers.report_lines(items.groupBy("run").agg(F.lit(0.5).alias("average_combined_score")), items, "run", "id", ["scenario_id", "prompt", "response"])
+    report_parts.sink_many_reports(lines, str(tmp_path / "out"), "run", "id", 2)
+    _, results = report_parts.scan_report_parts(spark, str(tmp_path / "out"), document="many")
+    plan = results._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "MapInArrow" in plan
