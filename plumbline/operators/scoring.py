@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline import config as C
 from plumbline.functions import scores as S
 from plumbline.operators.filters import exact_dedupe
+from plumbline.session import written
 
 
 def score_ahimsa(df: DataFrame, weighted: bool = False) -> DataFrame:
@@ -88,9 +89,11 @@ def accept_records(df: DataFrame, threshold: float, domain: str, prompt: str = "
         "ahimsa_raw_score", "ahimsa_score", "ahimsa_violation", "has_medical_disclaimer", "has_professional_referral",
         "dharma_score", "dharma_violation", "helpfulness_score", "helpfulness_violation",
         "ahimsa_risk", "dharma_risk", "helpfulness_risk", "overall_risk", "violation")])
-    chosen = exact_dedupe(df.where(hard), key, prompt)
-    return chosen.select(key, F.col(prompt).alias("prompt"), F.lit(domain).alias("in"), "completion",
-                         "baseline_response", "tier", evaluations.alias("evaluations"))
+    # Written, as the scores are asked for many times over in the conditions below, each time with all that they come from.
+    marked = written(df.select(key, F.col(prompt).alias("prompt"), "completion", "baseline_response", "tier",
+                               evaluations.alias("evaluations"), hard.alias("__hard")))
+    chosen = exact_dedupe(marked.where("__hard"), key, "prompt")
+    return chosen.select(key, "prompt", F.lit(domain).alias("in"), "completion", "baseline_response", "tier", "evaluations")
 
 
 def scope_cascade(df: DataFrame) -> DataFrame:

@@ -54,6 +54,18 @@ def test_records_are_accepted_by_risk_or_flag(spark):
     assert sorted(out) == [2, 3] and out[3].evaluations.ahimsa_violation and out[2]["in"] == "d"
 
 
+def test_accepting_records_scores_each_row_once(spark):
+    """The conditions and the join read what was scored; they do not hold the scoring itself."""
+    row = spark.range(20).select(F.col("id").alias("item_id"), F.concat(F.lit("p"), F.col("id") % 5).alias("prompt"), *[F.lit(x).alias(x) for x in ("completion", "baseline_response")],
+                                 F.lit("A").alias("tier"), F.lit("S0").alias("scope"), F.lit("S0").alias("response_scope"), F.lit("urgent").alias("referral_strength"),
+                                 *[F.lit(False).alias(c) for c in ("out_of_domain_advice", "has_medical_disclaimer", "has_professional_referral")],
+                                 *[(F.col("id") / 20).alias(f"{n}_score") for n in ("harm_avoidance", "safety_context", "domain_adherence", "clarity", "completeness", "relevance", "empathy")])
+    out = scoring.accept_records(scoring.risk_scores(scoring.score_all(row)), 1.5, "d")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in plan and "__hard" in plan and len(plan) < 6000
+    assert sorted((r.item_id, r.prompt) for r in out.collect()) == [(k, f"p{k}") for k in range(5)]
+
+
 def test_undefined_weights_and_null_means(spark):
     means = spark.createDataFrame([(1, 0, 0.5, 0.5, 0.5, 0.0, 0.0, 0.0), (1, 1, 0.5, 0.5, 0.5, 0.1, 0.0, 0.2)],
                                   "run int, step int, ahimsa double, dharma double, helpfulness double, ahimsa_std double, dharma_std double, helpfulness_std double")
