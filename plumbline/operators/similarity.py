@@ -113,14 +113,31 @@ def core_weights(core: DataFrame, key: str, text: str, stop_words: list[str] | N
     return raw.join(norm, "core_id").select("core_id", "term", "idf", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def core_similarity(docs: DataFrame, key: str, text: str, weights: DataFrame) -> DataFrame:
+#: What one task of `core_similarity` takes: bytes of text, and pairs of a document and a core row.
+TASK_BYTES, TASK_PAIRS = 8_000_000, 500_000
+#: More tasks than this one shuffle does not deal to; their maps grow and spill instead.
+MOST_TASKS = 10_000
+
+
+def deal_documents(docs: DataFrame, key: str, text: str, core_rows: int) -> DataFrame:
+    """(doc, text) dealt by key to tasks that grow in number, not in size, with the documents and the core."""
+    size = docs.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(text)).alias("bytes")).first()
+    tasks = max((size["bytes"] or 0) / TASK_BYTES, size["rows"] * core_rows / TASK_PAIRS)
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).repartition(
+        max(least, min(MOST_TASKS, math.ceil(tasks))), "doc")
+
+
+def core_similarity(docs: DataFrame, key: str, text: str, weights: DataFrame, core_rows: int) -> DataFrame:
     """Highest cosine of each document to any core row; documents sharing no term are absent.
 
-    Words outside the core vocabulary leave at the first join, before anything
-    is shuffled; the counts per document and term are combined map-side.
+    The documents are dealt by key once. Where the weights are broadcast, all
+    that follows stays in that task: a task holds the counts and dot products
+    of its own documents only, and nothing else is shuffled.
     """
     vocabulary = weights.select("term", "idf").distinct()
-    terms = docs.select(F.col(key).alias("doc"), F.explode(words(text)).alias("term"))
+    dealt = deal_documents(docs, key, text, core_rows)
+    terms = dealt.select("doc", F.explode(words("text")).alias("term"))
     tf = terms.join(vocabulary, "term").groupBy("doc", "term").agg(
         (F.count(F.lit(1)) * F.first("idf")).alias("w")
     )
@@ -145,9 +162,10 @@ def tfidf_near_core(docs: DataFrame, core: DataFrame, threshold: float, key: str
     broadcast, more go through shuffled joins. The plan is the same otherwise.
     """
     weights = written(core_weights(core, core_key, core_text, stop_words))
-    if weights.count() <= broadcast_rows:
+    size = weights.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("core_id").alias("core_rows")).first()
+    if size["rows"] <= broadcast_rows:
         weights = F.broadcast(weights)
-    close = core_similarity(docs, key, text, weights)
+    close = core_similarity(docs, key, text, weights, size["core_rows"])
     scored = docs.join(close, key, "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     return scored.withColumn("near_core", F.col("similarity") >= threshold)
 

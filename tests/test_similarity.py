@@ -1,6 +1,7 @@
 """Near-duplicates and TF-IDF closeness against brute force."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -114,6 +115,32 @@ def test_tfidf_by_hand(spark):
         assert got[2][0] == pytest.approx(1.0) and got[2][1]
 
 
+def test_core_tasks_grow_with_documents(spark, monkeypatch):
+    """Twice the documents, or twice their text, are twice the tasks, all of them by document; the results stay."""
+    core = spark.range(50).selectExpr("id AS core", "concat_ws(' ', 'all', 'w' || (id % 7), 'x' || id) AS c")
+    docs = spark.range(800).selectExpr("id", "concat_ws(' ', 'all', 'w' || (id % 5), 'x' || (id % 60), 'other') AS t")
+
+    def exchanges(n):
+        text = S.tfidf_near_core(docs.where(f"id < {n}"), core, 0.8, "id", "t", "core", "c")._jdf.queryExecution().executedPlan().toString()
+        return set(re.findall(r"Exchange hashpartitioning\((?:doc|id)#.*?, (\d+)\)", text))
+
+    def scores(rows):
+        out = S.tfidf_near_core(rows, core, 0.8, "id", "t", "core", "c")
+        return sorted((str(r.id), str(r.t), round(r.similarity, 9), r.near_core) for r in out.collect())
+
+    odd = docs.union(spark.createDataFrame([(3, "x3 x4"), (None, "all x1"), (None, "all x1"), (900, None)], "id bigint, t string"))
+    want = scores(odd)
+    monkeypatch.setattr(S, "TASK_PAIRS", 500, raising=False)
+    assert exchanges(400) == {"40"} and exchanges(800) == {"80"}
+    assert scores(odd) == want
+    got = {r[:2]: r[2:] for r in want}
+    assert got["None", "all x1"] == got["900", "None"] == (0.0, False)
+    assert got["3", "x3 x4"] == got["3", "all w3 x3 other"] != got["63", "all w3 x3 other"]
+    monkeypatch.setattr(S, "TASK_PAIRS", 10 ** 9)
+    monkeypatch.setattr(S, "TASK_BYTES", docs.agg(F.sum(F.octet_length("t"))).first()[0] / 30)
+    assert exchanges(800) == {"30"}
+
+
 def test_core_set_needs_forty_rows(spark):
     assert S.scan_core_set(spark.range(39)).count() == 0
     assert S.scan_core_set(spark.range(40)).count() == 40
