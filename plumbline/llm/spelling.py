@@ -9,7 +9,8 @@ exact signatures. A single edit also leaves the first or the last half of the
 shorter word as it was, so a signature holds one of these halves too: without it
 words of the same common letters would all meet. Pairs are verified by their
 edit distance inside the join. A pair that meets under several signatures leaves
-the join under the first one only, so no pair is sorted out afterwards.
+the join under the first one only, so no pair is sorted out afterwards. Tables of
+words are joined by sorting and never broadcast, as they grow with the input.
 
 Words are counted inside tasks first (a bounded table, flushed), then summed. A
 word has a bounded number of words one edit away, so no group grows with the
@@ -189,7 +190,8 @@ def near_pairs(vocabulary: DataFrame, parts: int = 4) -> DataFrame:
     for s in same:
         rule = rule & s
     rule = rule & (F.levenshtein(F.col("a.word"), F.col("b.word"), 1) == 1)
-    return rows.alias("a").join(rows.alias("b"), rule).select(
+    # Spark sizes the rows as if each word had one signature, so it would broadcast too large a table.
+    return rows.alias("a").join(rows.alias("b").hint("merge"), rule).select(
         F.col("a.word").alias("a"), F.col("a.n").alias("a_n"), F.col("b.word").alias("b"), F.col("b.n").alias("b_n"))
 
 
@@ -197,7 +199,7 @@ def roots(forms: DataFrame) -> DataFrame:
     """(word, root) of words with a form: the end of the chain of forms, by doubling steps."""
     now = written(forms.select("word", F.col("form").alias("root")))
     for _ in range(MOST_ROUNDS):
-        onward = now.select(F.col("word").alias("root"), F.col("root").alias("__next"))
+        onward = now.select(F.col("word").alias("root"), F.col("root").alias("__next")).hint("merge")
         stepped = written(now.join(onward, "root", "left").select(
             "word", F.coalesce("__next", "root").alias("root"), F.col("__next").isNotNull().alias("moved")))
         now = stepped.select("word", "root")
@@ -222,9 +224,9 @@ def variants(vocabulary: DataFrame, parts: int = 4, factor: int = 2) -> DataFram
     )).alias("w")).select("w.*")
     best = ways.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min("near").alias("near"))
     has_form = -F.col("near.less") >= factor * F.col("n")
-    found = written(words.join(best, "word", "left").select(
+    found = written(words.join(best.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"),
         F.when(has_form, F.col("near.word")).alias("form"), F.when(has_form, -F.col("near.less")).alias("form_n")))
     ends = roots(found.where("form IS NOT NULL"))
-    return found.join(ends, "word", "left").select(
+    return found.join(ends.hint("merge"), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -106,3 +106,19 @@ def test_one_edit_changes_at_most_two_partitions():
             if other:
                 a, b = spelling.partition_values([word, other], 4).view(np.uint64)
                 assert sum(int(a) >> 16 * p & 0xFFFF != int(b) >> 16 * p & 0xFFFF for p in range(4)) <= 2
+
+
+def test_tables_of_words_are_not_broadcast(spark):
+    """Spark leaves out that a word has 24 signatures, and takes their table for a small one."""
+    words = spark.createDataFrame([("letter", 9), ("leter", 3), ("later", 1)], "word string, n bigint")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        out = spelling.variants(words)
+        plans = [spelling.near_pairs(words), spelling.roots(words.where("word = 'leter'").select("word", F.lit("letter").alias("form"))), out]
+        assert {r.word: (r.form, r.root) for r in out.collect()} == {
+            "letter": (None, "letter"), "leter": ("letter", "letter"), "later": ("leter", "letter")}
+        for df in plans:
+            assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
