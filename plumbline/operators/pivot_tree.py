@@ -13,9 +13,11 @@ its own, so it lies beyond the plane between the two. A query stops at the first
 partner: at a pivot within reach, or in a cell that lies wholly within reach.
 The nearest leaf is searched first, and only queries without a partner there
 look further. On data without clusters nothing can be pruned, and every leaf is
-searched: a query would be copied once a leaf. Before the tree is asked, queries
-are therefore compared with a few partners (`scouted`), and a few blocks of
-queries that are left go over all partners at once (`flat`).
+searched: a query would be copied once a leaf, which fills the disks. The tree is
+therefore asked only where few leaves are visited. Before it, all queries are
+compared with a few partners (`scouted`); where it is not asked, chunks of queries
+go to all partners, one after the other (`flat`). In both the chunk is broadcast and
+the other side stays where it lies, so nothing is copied and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -37,8 +39,13 @@ ONE_DIRECTION = 1e-6
 PATH_BITS = 60
 #: Rounds of scouts at most; a round that leaves more than this share is the last one.
 SCOUT_ROUNDS, SCOUTS_USEFUL = 4, 0.9
-#: So few blocks of queries are compared with all partners, each of which is copied once a block.
-FLAT_BLOCKS = 8
+#: So few blocks of queries need no scouts, and so few go to all partners without a tree being built.
+SCOUT_BLOCKS, FLAT_BLOCKS = 8, 128
+#: Leaves that a query may visit in the mean, and queries that tell it.
+MOST_VISITS, PROBES = 8, 256
+#: Bytes of the unit vectors of a chunk, rows of a side that are compared at once, vectors of a task.
+CHUNK_BYTES, TILE, SHARE = 16_000_000, 1024, 50_000
+
 
 
 def units(column: pa.ChunkedArray) -> np.ndarray:
@@ -259,11 +266,94 @@ def compare(tree: Tree, visits: DataFrame, search: Search, threshold: float, blo
     return left.cogroup(right).applyInArrow(match, f"rep {rep}").distinct()
 
 
-def flat(rows: DataFrame) -> Tree:
-    """All rows (rep, v) as one cell that is not split."""
-    # Under names of their own, as the queries may be the same table.
-    leaves = rows.select(F.col("rep").alias("rep"), F.col("v").alias("v"), F.lit(0).cast("bigint").alias("cell"))
-    return Tree(leaves, _counted(leaves), [])
+def spread(rows: DataFrame) -> DataFrame:
+    """(rep, v) written in files that grow in number with the rows."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(rows.select("rep", "v").repartition(max(least, math.ceil(rows.count() / SHARE)), "rep"))
+
+
+def met(search: Search, threshold: float, reps: np.ndarray, at: np.ndarray, partner_reps: np.ndarray,
+        partners: np.ndarray) -> np.ndarray:
+    """Which of the unit vectors `at` have a partner; those that met one are left out of the next tile."""
+    found = np.zeros(len(at), bool)
+    for start in range(0, len(at), TILE):
+        left = np.arange(start, min(start + TILE, len(at)))
+        rows = at[left]
+        for k in range(0, len(partners), TILE):
+            cosine = rows @ partners[k:k + TILE].T
+            near = np.flatnonzero(cosine.max(axis=1) >= threshold)
+            if not len(near):
+                continue
+            may = search.may(reps[left[near]][:, None], partner_reps[None, k:k + TILE])
+            gone = near[((cosine[near] >= threshold) & may).any(1)]
+            found[left[gone]] = True
+            left = np.delete(left, gone)
+            if not len(left):
+                break
+            rows = at[left]
+    return found
+
+
+def _chunk(rows: DataFrame):
+    """Reps and unit vectors of few rows (rep, v) as a broadcast value."""
+    table = rows.select("rep", "v").toArrow()
+    return rows.sparkSession.sparkContext.broadcast((table.column("rep").combine_chunks(), units(table.column("v"))))
+
+
+def _reps(column: pa.Array) -> np.ndarray:
+    return np.array(column.to_pylist())
+
+
+def _chunk_rows(rows: DataFrame) -> int:
+    first = rows.select(F.size("v")).head()
+    return max(1, CHUNK_BYTES // (8 * max(1, first[0]))) if first else 1
+
+
+def _against(queries: DataFrame, partners: DataFrame, search: Search, threshold: float) -> DataFrame:
+    """(rep, v, found) of queries, compared where they lie with a chunk of partners."""
+    few = _chunk(partners)
+    rep, vec = (queries.schema[c].dataType.simpleString() for c in ("rep", "v"))
+
+    def asked(batches):
+        partner_reps, at = few.value
+        partner_reps = _reps(partner_reps)
+        for batch in batches:
+            own = pa.Table.from_batches([batch])
+            found = met(search, threshold, _reps(own.column("rep")), units(own.column("v")), partner_reps, at)
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("v"), pa.array(found)], names=["rep", "v", "found"])
+
+    out = written(queries.select("rep", "v").mapInArrow(asked, f"rep {rep}, v {vec}, found boolean"))
+    few.destroy()
+    return out
+
+
+def _among(queries: DataFrame, partners: DataFrame, search: Search, threshold: float) -> DataFrame:
+    """(rep) of a chunk of queries with a partner, compared where the partners lie; once a task at most."""
+    few = _chunk(queries)
+
+    def looked(batches):
+        reps, at = few.value
+        own, left = _reps(reps), np.arange(len(reps))
+        for batch in batches:
+            other = pa.Table.from_batches([batch])
+            found = met(search, threshold, own[left], at[left], _reps(other.column("rep")), units(other.column("v")))
+            if found.any():
+                yield pa.RecordBatch.from_arrays([reps.take(pa.array(left[found]))], names=["rep"])
+                left = left[~found]
+
+    out = written(partners.select("rep", "v").mapInArrow(looked, f"rep {queries.schema['rep'].dataType.simpleString()}"))
+    few.destroy()
+    return out
+
+
+def flat(queries: DataFrame, partners: DataFrame, search: Search, threshold: float, left: int) -> DataFrame:
+    """(rep) of the `left` queries (rep, v) with a partner among all, a chunk of queries after the other."""
+    out = queries.select("rep").limit(0)
+    chunks = math.ceil(left / _chunk_rows(queries)) if left else 0
+    for k in range(chunks):
+        chunk = queries.where(F.pmod(F.xxhash64("rep", F.lit("chunks")), F.lit(chunks)) == k)
+        out = out.unionByName(_among(chunk, partners, search, threshold))
+    return out
 
 
 def _scouts(partners: DataFrame, search: Search, start: int, stop: int) -> DataFrame:
@@ -286,14 +376,14 @@ def scouted(queries: DataFrame, partners: DataFrame, search: Search, threshold:
     """
     found: list[DataFrame] = []
     rest, left, all_partners = queries.select("rep", "v"), queries.count(), partners.count()
-    start, size = 0, block
+    start, size, most = 0, block, _chunk_rows(partners)
     for _ in range(SCOUT_ROUNDS):
-        if left <= FLAT_BLOCKS * block or start >= all_partners:
+        if left <= SCOUT_BLOCKS * block or start >= all_partners:
             break
-        scouts = flat(written(_scouts(partners, search, start, start + size)))
-        met = written(compare(scouts, rest.withColumn("cell", F.lit(0).cast("bigint")), search, threshold, block))
-        found.append(met)
-        rest = written(rest.join(met, "rep", "left_anti"))
+        size = min(size, most)
+        asked = _against(rest, _scouts(partners, search, start, start + size), search, threshold)
+        found.append(asked.where("found").select("rep"))
+        rest = asked.where("NOT found").select("rep", "v")
         before, left = left, rest.count()
         start, size = start + size, size * 4
         if left > before * SCOUTS_USEFUL:
@@ -301,6 +391,12 @@ def scouted(queries: DataFrame, partners: DataFrame, search: Search, threshold:
     return found, rest, left
 
 
+def visits_each(tree: Tree, queries: DataFrame, left: int, search: Search, block: int) -> float:
+    """Leaves that a query visits in the mean, by a hash sample of the `left` queries."""
+    probes = queries.where(F.pmod(F.xxhash64("rep", F.lit("probes")), F.lit(left // PROBES + 1)) == 0)
+    return descend(tree, probes, search, block, nearest=False)[1].count() / max(1, probes.count())
+
+
 def partnered(tree: Tree, queries: DataFrame, search: Search, threshold: float, block: int) -> DataFrame:
     """(rep) of every query (rep, v) with a partner in the tree."""
     if search.same_table:

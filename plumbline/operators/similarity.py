@@ -28,32 +28,36 @@ def has_partner(queries: DataFrame, partners: DataFrame, threshold: float, same_
                 pivots: int = 32, block: int = 4096, earlier: bool = False) -> DataFrame:
     """`rep` of every query vector with a partner at cosine >= threshold.
 
-    Partners lie in a tree that splits cells of more than `block` rows around
-    `pivots` of their vectors; see `pivot_tree`. Only query keys leave a task,
-    never pairs. With `earlier` only partners of a smaller `rep` count. Queries
-    that a few partners settle, and few blocks of queries, need no tree.
+    Queries are first compared with a few partners. What is left goes over all
+    partners in chunks, or, where that is much and a query visits few leaves, down
+    a tree that splits cells of more than `block` partners around `pivots` of their
+    vectors; see `pivot_tree`. Only query keys leave a task, never pairs. With
+    `earlier` only partners of a smaller `rep` count.
     """
     reach = math.acos(min(1.0, max(-1.0, threshold)))
     search = pivot_tree.Search(reach, same_table, earlier)
-    partners = partners.select("rep", "v")
+    own = queries is partners
+    partners = pivot_tree.spread(partners)
+    queries = partners if own else pivot_tree.spread(queries)
     found, rest, left = pivot_tree.scouted(queries, partners, search, threshold, block)
-    if left <= pivot_tree.FLAT_BLOCKS * block:
-        last = pivot_tree.compare(
-            pivot_tree.flat(partners), rest.withColumn("cell", F.lit(0).cast("bigint")), search, threshold, block)
-    else:
-        tree = pivot_tree.build(partners, pivots, block)
+    tree = pivot_tree.build(partners, pivots, block) if left > pivot_tree.FLAT_BLOCKS * block else None
+    if tree and pivot_tree.visits_each(tree, rest, left, search, block) <= pivot_tree.MOST_VISITS:
         last = pivot_tree.partnered(tree, rest, search, threshold, block)
+    else:
+        last = pivot_tree.flat(rest, partners, search, threshold, left)
     for more in found:
         last = last.unionByName(more)
     return last.distinct()
 
 
 def _expand(flagged: DataFrame, reps: DataFrame) -> DataFrame:
-    return reps.join(flagged, "rep", "left_semi").select("v")
+    return reps.join(flagged.hint("merge"), "rep", "left_semi").select("v")
 
 
 def _drop_vectors(df: DataFrame, vectors: DataFrame, vec: str) -> DataFrame:
-    return df.join(vectors.select(F.col("v").alias(vec)), vec, "left_anti")
+    # Vectors are far larger than the files Spark sizes them by, so they are not broadcast; sorted by a hash first, few are compared.
+    gone = vectors.select(F.xxhash64("v").alias("__hash"), F.col("v").alias(vec)).hint("merge")
+    return df.withColumn("__hash", F.xxhash64(vec)).join(gone, ["__hash", vec], "left_anti").select(df.columns)
 
 
 def near_dup_existing(new: DataFrame, existing: DataFrame, threshold: float, key: str = "vec_id",

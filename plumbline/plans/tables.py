@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from plumbline.operators.ordering import add_rank, key_blocks
 from plumbline.operators.scoring import score_all
 from plumbline.schemas import EVENTS
+from plumbline.session import written
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -126,10 +127,11 @@ def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)))
     bucket = F.conv(F.substring(F.md5("word"), 1, 4), 16, 10).cast("int") % TEXT_DIMENSIONS
-    counts = docs.select("doc_id", word.alias("word")).groupBy("doc_id", bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    held = counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(TEXT_DIMENSIONS - 1)), lambda b: F.sqrt(F.coalesce(F.element_at("m", b), F.lit(0))))
-    return docs.select("doc_id", "source", "lang").join(held.select("doc_id", vector.alias("v")), "doc_id", "left")
+    words = docs.select("doc_id", word.alias("word")).select("doc_id", bucket.alias("b"))
+    # One row a document leaves a task, and the texts are read once however often the vectors are.
+    counts = words.groupBy("doc_id").agg(*[F.count_if(F.col("b") == k).alias(f"n{k}") for k in range(TEXT_DIMENSIONS)])
+    vector = F.array(*[F.sqrt(f"n{k}") for k in range(TEXT_DIMENSIONS)])
+    return written(docs.select("doc_id", "source", "lang").join(counts.select("doc_id", vector.alias("v")), "doc_id", "left"))
 
 
 TEXT_VECTORS = f"""words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS word FROM documents),

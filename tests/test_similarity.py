@@ -1,5 +1,6 @@
 """Near-duplicates and TF-IDF closeness against brute force."""
 
+import hashlib
 import math
 import re
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import pivot_tree, similarity as S
+from plumbline.plans import tables as D
 
 
 def vectors(seed, n, dim=16, clusters=12, spread=0.25, hot=0.35):
@@ -158,3 +160,70 @@ def test_dense_vectors_are_settled_by_few_partners(spark, monkeypatch):
     monkeypatch.setattr(pivot_tree, "build", refused)
     first = S.near_dup_within(frame(spark, v), 0.8, mode="keep_first", pivots=4, block=30)
     assert {r.vec_id for r in first.collect()} == set(np.flatnonzero(~np.tril(near).any(1)).tolist())
+
+
+def test_queries_left_are_not_copied(spark, monkeypatch):
+    """Queries that visit many leaves go to all partners where those lie: in several chunks, and without an exchange of copies."""
+    v = np.random.default_rng(8).normal(size=(400, 6))
+    s = cosines(v, v)
+    np.fill_diagonal(s, -1)
+
+    def refused(*_):
+        raise AssertionError("the tree was asked for all")
+
+    for name, value in (("SCOUT_BLOCKS", 1), ("FLAT_BLOCKS", 1), ("MOST_VISITS", 2), ("CHUNK_BYTES", 90 * 6 * 8), ("TILE", 32), ("SHARE", 100)):
+        monkeypatch.setattr(pivot_tree, name, value, raising=False)
+    monkeypatch.setattr(pivot_tree, "partnered", refused)
+    monkeypatch.setattr(pivot_tree, "compare", refused)
+    within = S.near_dup_within(frame(spark, v), 0.9, pivots=4, block=20)
+    assert {r.vec_id for r in within.collect()} == set(np.flatnonzero(s.max(axis=1) < 0.9))
+    first = S.near_dup_within(frame(spark, v), 0.9, mode="keep_first", pivots=4, block=20)
+    assert {r.vec_id for r in first.collect()} == set(np.flatnonzero(~np.tril(s >= 0.9).any(1)))
+    against = S.near_dup_existing(frame(spark, v[:250]), frame(spark, v[250:], 1000), 0.9, pivots=4, block=20)
+    assert {r.vec_id for r in against.collect()} == set(np.flatnonzero(s[:250, 250:].max(axis=1) < 0.9))
+
+
+def test_tree_is_exact_where_it_is_asked(spark, monkeypatch):
+    new, old = vectors(9, 300), vectors(10, 250, hot=0.2)
+    for name, value in (("SCOUT_BLOCKS", 0), ("FLAT_BLOCKS", 0), ("MOST_VISITS", 10**9), ("SCOUT_ROUNDS", 0)):
+        monkeypatch.setattr(pivot_tree, name, value, raising=False)
+    s = cosines(new, new)
+    np.fill_diagonal(s, -1)
+    within = S.near_dup_within(frame(spark, new), 0.8, pivots=4, block=40)
+    assert {r.vec_id for r in within.collect()} == set(np.flatnonzero(s.max(axis=1) < 0.8))
+    against = S.near_dup_existing(frame(spark, new), frame(spark, old, 1000), 0.8, pivots=4, block=40)
+    assert {r.vec_id for r in against.collect()} == set(np.flatnonzero(cosines(new, old).max(axis=1) < 0.8))
+
+
+def test_copies_are_dropped_by_sorting(spark):
+    """Vectors are not broadcast, whatever their file's size; zeros of either sign are one value."""
+    v = [[0.0, 1.0, 0.0], [-0.0, 1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0], [0.0, 0.1, 5.0]]
+    df = spark.createDataFrame(list(enumerate(v)), "vec_id bigint, embedding array<double>")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        out = S.near_dup_within(df, 0.9)
+        assert [r.vec_id for r in out.collect()] == [2]
+        assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+        old = S.near_dup_existing(df, df.where("vec_id = 0"), 0.9)
+        assert sorted(r.vec_id for r in old.collect()) == [2, 3, 4] and old.columns == df.columns
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_text_vectors_are_read_from_the_texts_once(spark, tmp_path):
+    texts = [(1, "One two, two THREE"), (2, "a b"), (3, None), (None, "red blue"), (1, "three four"), (4, "ünder_score x2")]
+    docs = spark.createDataFrame([(i, t, "src1", "en") for i, t in texts], "doc_id bigint, text string, source string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = D.text_vectors(spark, str(tmp_path))
+
+    def want(i):
+        words = [w for k, t in texts if k == i and t for w in re.findall(r"\w{2,}", t.lower())]
+        counts = [0] * D.TEXT_DIMENSIONS
+        for w in words:
+            counts[int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % D.TEXT_DIMENSIONS] += 1
+        return [math.sqrt(n) for n in counts] if words and i is not None else None
+
+    assert sorted(map(str, ((r.doc_id, r.v) for r in out.collect()))) == sorted(str((i, want(i))) for i, _ in texts)
+    assert out.columns == ["doc_id", "source", "lang", "v"]
+    assert not re.search("Exchange|Generate", out._jdf.queryExecution().executedPlan().toString())
